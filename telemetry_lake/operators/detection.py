@@ -124,15 +124,16 @@ def sliced(keyed: DataFrame, cuts: DataFrame, only_cut: bool = False) -> DataFra
 
 def streaks_within_slices(rows: DataFrame) -> DataFrame:
     """Adds `since` (start of the open streak as far as the slice knows) and `broken` (a lower
-    reading came before in this slice). Readings with a null level are passed over."""
+    reading came before in this slice). Late readings are passed over."""
     window = Window.partitionBy("transformerId", "slice").orderBy("seq")
     running = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = F.last("level", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, -1))
-    starts = (F.col("level") > 0) & (F.coalesce(before, F.lit(0)) == 0)
+    counted = F.when(~F.col("late"), F.col("level"))
+    before = F.last(counted, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, -1))
+    starts = (counted > 0) & (F.coalesce(before, F.lit(0)) == 0)
     return (
         rows.withColumn("startedAt", F.when(starts, F.col("now")))
         .withColumn("since", F.last("startedAt", ignorenulls=True).over(running))
-        .withColumn("broken", F.coalesce(F.max(F.col("level") == 0).over(running), F.lit(False)))
+        .withColumn("broken", F.coalesce(F.max(counted == 0).over(running), F.lit(False)))
         .drop("startedAt")
     )
 
@@ -141,7 +142,7 @@ def slice_ends(rows: DataFrame) -> DataFrame:
     """One row per slice: does it contain a lower reading, and which streak is open at its end."""
     end = F.struct("broken", F.when(F.col("level") > 0, F.col("since")).alias("since"), "now")
     return (
-        rows.filter(F.col("level").isNotNull())
+        rows.filter(~F.col("late"))
         .groupBy("transformerId", "slice")
         .agg(F.max_by(end, F.col("seq")).alias("end"))
         .select("transformerId", "slice", "end.*")
@@ -169,7 +170,7 @@ def chain(ends: DataFrame) -> DataFrame:
 
 def alerts_of(rows: DataFrame, rules: AlertRules) -> DataFrame:
     """The alert envelope of every reading that alerts. Needs `since` resolved across slices."""
-    lasted = F.col("now") - F.col("since") >= rules.window_millis
+    lasted = ~F.col("late") & (F.col("now") - F.col("since") >= rules.window_millis)
     score = F.col("source.failureRiskScore")
     return (
         rows.filter((F.col("level") == 2) | ((F.col("level") == 1) & lasted))
@@ -205,11 +206,12 @@ def detect(
     (cut points, slice ends, alerts), so pass a table rather than undecoded messages; the row
     count is then read from the file footers.
     """
-    keyed = keyed_readings(readings, clock, rules)
+    # Nothing is late in a complete set.
+    keyed = keyed_readings(readings, clock, rules).withColumn("late", F.lit(False))
     cuts = cut_points(keyed, rows_per_slice)
     # Only histories that were cut have anything to hand over, and the payload stays behind.
     # The result has at most two rows per cut.
-    narrow = keyed.select("transformerId", "seq", "now", "level")
+    narrow = keyed.select("transformerId", "seq", "now", "level", "late")
     carried = chain(slice_ends(streaks_within_slices(sliced(narrow, cuts, only_cut=True))))
     local = streaks_within_slices(sliced(keyed, cuts))
     return alerts_of(resolve(local, carried, small=True), rules)
