@@ -67,7 +67,8 @@ def _plain_times(data: DataFrame) -> DataFrame:
 
 
 def silver_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain_times(_silver(spark, sf_dir))
+    """The alert flag as text: it has three values, and null must compare as null everywhere."""
+    return _plain_times(_silver(spark, sf_dir)).withColumn("isAlert", F.col("isAlert").cast("string"))
 
 
 def gold_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,6 +216,7 @@ def detect_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = DetectorPaths(
         messages=f"{folder}/messages",
         quarantine=f"{folder}/quarantine",
+        readings=f"{folder}/readings",
         streaks=f"{folder}/streaks",
         checkpoint=f"{folder}/checkpoint",
     )
@@ -624,7 +626,7 @@ def oracle_sql() -> dict[str, str]:
     full = "['LogAlert', 'StoreAlert', 'StoreCriticalAlert', 'SendMailNotification', 'AddToDashboardState']"
     rule = "=" * 60
     return {
-        "silver_clean": f"WITH {_SILVER} SELECT * FROM silver",
+        "silver_clean": f'WITH {_SILVER} SELECT * REPLACE (CAST("isAlert" AS VARCHAR) AS "isAlert") FROM silver',
         "gold_hourly": gold,
         "lake_round_trip": gold,
         "regions_highest_risk": f'WITH {_GOLD} {_REGIONS} ORDER BY "averageRisk" DESC, region',

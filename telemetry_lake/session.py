@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -48,14 +49,16 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tel
     return spark
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="telemetry-lake-")
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the cluster's shared checkpoint folder.
 
     The cluster names that folder in `spark.checkpoint.dir`; only where it is unset (tests, a
     laptop) is a temporary folder made.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="telemetry-lake-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

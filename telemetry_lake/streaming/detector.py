@@ -8,6 +8,7 @@ batch before it, so repeating it after a failure gives the same alerts and the s
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -40,6 +41,7 @@ MESSAGE_SCHEMA = "key string, value string"
 class DetectorPaths:
     messages: str
     quarantine: str
+    readings: str
     streaks: str
     checkpoint: str
 
@@ -50,14 +52,15 @@ def advance(
     clock: Clock = EVENT,
     rules: AlertRules = AlertRules(),
     rows_per_slice: int = ROWS_PER_SLICE,
+    keep: Callable[[DataFrame], DataFrame] = lambda data: data,
 ) -> tuple[DataFrame, DataFrame]:
     """Alerts of the new readings and the streaks after them.
 
     A reading older than the last one of its transformer came late: it leaves the streak alone,
-    and only a critical one still alerts.
+    and only a critical one still alerts. `keep` may cache what is used more than once.
     """
     keyed = keyed_readings(readings, clock, rules)
-    rows = sliced(keyed, cut_points(keyed, rows_per_slice))
+    rows = keep(sliced(keyed, cut_points(keyed, rows_per_slice)))
     # The old state is handed to slices, not to rows: this join is on (transformer, slice) like
     # the windows after it, so it adds no shuffle of the readings and no heavy key.
     touched = rows.groupBy("transformerId", "slice").agg(F.count(F.lit(1)).alias("rows")).drop("rows")
@@ -66,7 +69,7 @@ def advance(
     late = F.lit(False)
     if clock.can_be_late:
         late = F.coalesce(F.col("now") < F.col("lastMillis"), F.lit(False))
-    rows = streaks_within_slices(rows.withColumn("late", late).drop("lastMillis"))
+    rows = keep(streaks_within_slices(rows.withColumn("late", late).drop("lastMillis")))
 
     # An open streak enters the chain as a slice of its own before the first.
     entering = (
@@ -74,7 +77,7 @@ def advance(
         .select("transformerId", F.lit(-1).alias("slice"), F.lit(True).alias("broken"), "since", F.col("lastMillis").alias("now"))
         .distinct()
     )
-    chained = chain(slice_ends(rows).unionByName(entering))
+    chained = keep(chain(slice_ends(rows).unionByName(entering)))
     alerts = alerts_of(resolve(rows, chained.filter("slice >= 0"), small=False), rules)
 
     after = chained.groupBy("transformerId").agg(
@@ -105,19 +108,32 @@ def detect_stream(
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        decoded = decode_readings(batch).persist()
+        cached: list[DataFrame] = []
+
+        def keep(data: DataFrame) -> DataFrame:
+            cached.append(data.persist())
+            return cached[-1]
+
+        decoded = keep(decode_readings(batch))
         try:
             write_batch(quarantined(decoded, BRONZE.names), paths.quarantine, run, batch_id)
-            readings = accepted(decoded).withColumn("eventTime", event_time(F.col("timestamp")))
+            # Detection reads its input several times: give it a narrow typed table.
+            typed = accepted(decoded).drop("value", "topic")
+            typed = typed.withColumn("eventTime", event_time(F.col("timestamp")))
             if clock.can_be_late:
-                readings = readings.filter(F.col("eventTime").isNotNull())
+                typed = typed.filter(F.col("eventTime").isNotNull())
+            write_batch(typed, paths.readings, run, batch_id)
+            readings = read_version(spark, paths.readings, typed.schema, run, batch_id)
             before = read_version(spark, paths.streaks, STREAK, run, batch_id - 1)
-            alerts, after = advance(readings, before, clock, rules, rows_per_slice)
+            alerts, after = advance(readings, before, clock, rules, rows_per_slice, keep)
             write_batch(as_messages(alerts), paths.messages, run, batch_id)
             write_batch(after, paths.streaks, run, batch_id)
+            # A retry needs the snapshot before this batch, and makes its own readings.
             drop_version(spark, paths.streaks, run, batch_id - 2)
+            drop_version(spark, paths.readings, run, batch_id)
         finally:
-            decoded.unpersist()
+            for data in cached:
+                data.unpersist()
 
     writer = records.writeStream.foreachBatch(step).option("checkpointLocation", paths.checkpoint)
     return (writer.trigger(availableNow=True) if bounded else writer).start()
