@@ -4,75 +4,147 @@ A message is accepted only if it is a JSON object and every field is there with
 text fields must be JSON strings, numbers may be JSON numbers or numeric strings, and an
 explicit `null` measurement reads as NaN. Anything else is refused, never repaired.
 
-Every field is first taken as a VARIANT, which keeps the JSON type apart from the value.
+Parsing into text fields is cheap but loses the JSON types. Only a message it leaves in doubt (a
+text that looks like another type, a field that is null or missing) is parsed again into VARIANT
+fields, which keep them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemetry_lake.schemas import NUMBER_FIELDS, READING_FIELDS
 
-_READING_VARIANTS = ", ".join(f"{name} variant" for name in READING_FIELDS)
-_ALERT_VARIANTS = (
-    "alertId variant, severity variant, reason variant, detectedAt variant, "
-    f"source struct<{_READING_VARIANTS}>"
-)
 _JSON_NUMBER = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
+_MAYBE_NOT_TEXT = r"^(-?[0-9.]+([eE][-+]?[0-9]+)?|true|false|[\[{].*)$"
+# Plain JSON only: no bare NaN, no single quotes.
+_PLAIN_JSON = {"allowNonNumericNumbers": "false", "allowSingleQuotes": "false"}
 
+_ALERT_TEXTS = ("alertId", "severity", "reason")
 
-def _text(field: Column) -> Column:
-    return F.when(F.schema_of_variant(field) == "STRING", F.try_variant_get(field, "$", "string"))
 
+def _reading_schema(kind: str) -> str:
+    return ", ".join(f"{name} {kind}" for name in READING_FIELDS)
 
-def _number(field: Column, kind: str) -> Column:
-    text = F.try_variant_get(field, "$", "string")
-    return F.when(text.rlike(_JSON_NUMBER), text.try_cast(kind))
+
+def _alert_schema(kind: str) -> str:
+    own = ", ".join(f"{name} {kind}" for name in (*_ALERT_TEXTS, "detectedAt"))
+    return f"{own}, source struct<{_reading_schema(kind)}>"
 
 
-def _measurement(field: Column) -> Column:
-    return F.when(F.is_variant_null(field), F.lit(float("nan"))).otherwise(_number(field, "double"))
+# ---- first parse: every field as text
+
+
+def _number(text: Column, kind: str = "double") -> Column:
+    return F.when(text.rlike(_JSON_NUMBER), text.try_cast(kind))
 
 
 def _reading(parsed: Column) -> list[Column]:
     return [
-        (_measurement if name in NUMBER_FIELDS else _text)(parsed[name]).alias(name)
+        (_number(parsed[name]) if name in NUMBER_FIELDS else parsed[name]).alias(name)
+        for name in READING_FIELDS
+    ]
+
+
+def _doubts(parsed: Column) -> list[Column]:
+    return [
+        parsed[name].isNull() if name in NUMBER_FIELDS else _doubt(parsed[name]) for name in READING_FIELDS
+    ]
+
+
+def _doubt(text: Column) -> Column:
+    return text.isNull() | text.rlike(_MAYBE_NOT_TEXT)
+
+
+# ---- second parse: every field as a VARIANT
+
+
+def _typed_text(field: Column) -> Column:
+    return F.when(F.schema_of_variant(field) == "STRING", F.try_variant_get(field, "$", "string"))
+
+
+def _typed_number(field: Column) -> Column:
+    return F.when(F.is_variant_null(field), F.lit(float("nan"))).otherwise(
+        _number(F.try_variant_get(field, "$", "string"))
+    )
+
+
+def _typed_reading(typed: Column) -> list[Column]:
+    return [
+        (_typed_number if name in NUMBER_FIELDS else _typed_text)(typed[name]).alias(name)
         for name in READING_FIELDS
     ]
 
 
-def _decode(raw: DataFrame, variants: str, fields: list[Column], needed: list[str]) -> DataFrame:
+# ---- messages
+
+
+def _decode(
+    raw: DataFrame,
+    schema: str,
+    typed_schema: str,
+    fields: list[Column],
+    typed_fields: list[Column],
+    doubts: list[Column],
+    needed: list[str],
+) -> DataFrame:
+    """Fields read `_parsed`, typed fields `_typed`.
+
+    One step per column: each becomes a compiled method of its own, small enough for the JIT.
+    The decoded struct sits behind a generator, so a filter on `isValid` cannot pull the
+    decoding below itself and repeat it.
+    """
     json_object = F.when(F.ltrim("value").startswith("{"), F.col("value"))
-    present = F.lit(True)
-    for name in needed:
-        present = present & F.col(name).isNotNull()
-    # The decoded struct sits behind a generator, so a filter on `isValid` cannot pull the
-    # decoding below itself and repeat it.
+    again = F.from_json(F.when(F.col("_doubt"), json_object), typed_schema, _PLAIN_JSON)
+    present = reduce(Column.__and__, [F.col(name).isNotNull() for name in needed])
     return (
-        raw.withColumn("_parsed", F.from_json(json_object, variants))
-        .select(*raw.columns, F.inline(F.array(F.struct(*fields))))
+        raw.withColumn("_parsed", F.from_json(json_object, schema, _PLAIN_JSON))
+        .withColumn("_doubt", reduce(Column.__or__, doubts))
+        .withColumn("_typed", again)
+        .withColumn("_exact", F.when(F.col("_doubt"), F.struct(*typed_fields)))
+        .select(
+            *raw.columns,
+            F.inline(F.array(F.when(F.col("_doubt"), F.col("_exact")).otherwise(F.struct(*fields)))),
+        )
         .withColumn("isValid", present)
     )
 
 
 def decode_readings(raw: DataFrame) -> DataFrame:
     """`raw` (with a JSON `value` column) plus the 10 reading fields and `isValid`."""
-    return _decode(raw, _READING_VARIANTS, _reading(F.col("_parsed")), list(READING_FIELDS))
+    parsed, typed = F.col("_parsed"), F.col("_typed")
+    return _decode(
+        raw,
+        _reading_schema("string"),
+        _reading_schema("variant"),
+        _reading(parsed),
+        _typed_reading(typed),
+        _doubts(parsed),
+        list(READING_FIELDS),
+    )
 
 
 def decode_alerts(raw: DataFrame) -> DataFrame:
     """`raw` plus `alertId, severity, reason, detectedAt, source` and `isValid`."""
-    parsed = F.col("_parsed")
+    parsed, typed = F.col("_parsed"), F.col("_typed")
     fields = [
-        _text(parsed["alertId"]).alias("alertId"),
-        _text(parsed["severity"]).alias("severity"),
-        _text(parsed["reason"]).alias("reason"),
+        *[parsed[name].alias(name) for name in _ALERT_TEXTS],
         _number(parsed["detectedAt"], "bigint").alias("detectedAt"),
         F.struct(*_reading(parsed["source"])).alias("source"),
     ]
-    needed = ["alertId", "severity", "reason", "detectedAt"]
-    return _decode(raw, _ALERT_VARIANTS, fields, needed + [f"source.{name}" for name in READING_FIELDS])
+    typed_fields = [
+        *[_typed_text(typed[name]).alias(name) for name in _ALERT_TEXTS],
+        _number(F.try_variant_get(typed["detectedAt"], "$", "string"), "bigint").alias("detectedAt"),
+        F.struct(*_typed_reading(typed["source"])).alias("source"),
+    ]
+    doubts = [*[_doubt(parsed[name]) for name in _ALERT_TEXTS], *_doubts(parsed["source"])]
+    needed = [*_ALERT_TEXTS, "detectedAt", *[f"source.{name}" for name in READING_FIELDS]]
+    return _decode(
+        raw, _alert_schema("string"), _alert_schema("variant"), fields, typed_fields, doubts, needed
+    )
 
 
 def accepted(decoded: DataFrame) -> DataFrame:

@@ -42,6 +42,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tel
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     spark = configure(builder.getOrCreate())

@@ -27,7 +27,8 @@ def test_every_field_is_needed(spark, missing):
 @pytest.mark.parametrize(
     "value",
     ["", "nope", "[]", f"[{reading()}]", reading(sensorId=5), reading(status=None), reading(voltage="x"),
-     reading(voltage=True), reading(voltage=float("nan")), reading(region={"a": 1}), reading(load=" 5")],
+     reading(voltage=True), reading(voltage=float("nan")), reading(region={"a": 1}), reading(load=" 5"),
+     reading(region=[1]), reading(region=False), reading(region=float("nan")), reading(region=-1.5e3)],
 )
 def test_refused(spark, value):
     raw = topic(spark, [value, reading()])
@@ -36,6 +37,11 @@ def test_refused(spark, value):
     assert [r.value for r in quarantined(messages, BRONZE.names).collect()] == [value]
 
 
+@pytest.mark.parametrize("region", ["75", "true", "NaN", "[a]", "", "null", "-1e5"])
+def test_text_that_looks_like_another_type_is_text(spark, region):
+    assert [r.region for r in decoded(spark, reading(region=region))] == [region]
+
+
 def test_numeric_text_extra_fields_and_null_numbers_are_taken(spark):
     (row,) = decoded(spark, reading(load="8.5e1", failureRiskScore=None, more=[1]))
     assert row.load == 85.0 and math.isnan(row.failureRiskScore)
