@@ -228,8 +228,7 @@ def detect_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.dayofmonth("kafkaTimestamp")
     weeks = [day <= 8, (day > 8) & (day <= 16), (day > 16) & (day <= 24), day > 24]
     _in_drops(bronze, f"{folder}/topic", weeks, run)
-    messages = spark.read.schema(MESSAGE_SCHEMA).parquet(paths.messages)
-    return _flat_alerts(accepted(decode_alerts(messages)))
+    return _flat_alerts(accepted(decode_alerts(read_table(spark, paths.messages, MESSAGE_SCHEMA))))
 
 
 def alert_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,14 +343,14 @@ def _notified(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     ledger = _old_ledger(history)
     critical = arrived.filter(F.col("severity") == severity.CRITICAL)
     now = F.lit(NOW)
-    prepared = notes.prepare(critical, ledger, now, F.lit(1))
-    claimed = through_table(spark, notes.claim(critical, history, ledger, now, F.lit(2)), "claims")
+    prepared = notes.prepare(critical, ledger, now)
+    claimed = through_table(spark, notes.claim(critical, history, ledger, now), "claims")
     failed = F.when(F.col("offset") % 3 == 0, "connection refused")
     results = history.join(claimed.select("alertId"), "alertId", "left_semi").select(
         "alertId", failed.alias("error")
     )
-    recorded = notes.record(results, history, now, F.lit(3))
-    return history, claimed, ledger.unionByName(prepared).unionByName(claimed).unionByName(recorded)
+    ledger = ledger.unionByName(prepared).unionByName(claimed)
+    return history, claimed, ledger.unionByName(notes.record(results, history, ledger, now))
 
 
 def notification_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:

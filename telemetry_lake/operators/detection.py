@@ -17,14 +17,13 @@ history. Each history is cut into *slices* of bounded size:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemetry_lake.functions.severity import at_least, reason_of, severity_of_score
-from telemetry_lake.schemas import READING_FIELDS, AlertRules
+from telemetry_lake.schemas import ALERT, READING_FIELDS, AlertRules
 
 # Upper bound on the cut points of one run, whatever the size of the input. A cut is a short
 # struct, so their broadcast stays within some megabytes.
@@ -34,7 +33,10 @@ ROWS_PER_SLICE = 1_000_000
 
 @dataclass(frozen=True)
 class Clock:
-    """What orders the readings of a transformer, and which instant counts as "now"."""
+    """What orders the readings of a transformer, and which instant counts as "now".
+
+    The order ends with `partition` and `offset`, which makes it total.
+    """
 
     order: tuple[str, ...]
     instant: str
@@ -169,7 +171,8 @@ def chain(ends: DataFrame) -> DataFrame:
 
 
 def alerts_of(rows: DataFrame, rules: AlertRules) -> DataFrame:
-    """The alert envelope of every reading that alerts. Needs `since` resolved across slices."""
+    """The alert envelope of every reading that alerts, and the reading's place in the topic.
+    Needs `since` resolved across slices."""
     lasted = ~F.col("late") & (F.col("now") - F.col("since") >= rules.window_millis)
     score = F.col("source.failureRiskScore")
     return (
@@ -181,6 +184,8 @@ def alerts_of(rows: DataFrame, rules: AlertRules) -> DataFrame:
             reason_of(score, F.col("severity"), rules).alias("reason"),
             F.col("now").alias("detectedAt"),
             "source",
+            "seq.partition",
+            "seq.offset",
         )
     )
 
@@ -217,9 +222,17 @@ def detect(
     return alerts_of(resolve(local, carried, small=True), rules)
 
 
-def as_messages(alerts: DataFrame) -> DataFrame:
-    """Alerts as topic records: key is the transformer, value the JSON envelope."""
-    names: Sequence[str] = ("alertId", "severity", "reason", "detectedAt", "source")
+def as_messages(alerts: DataFrame, topic: str = "ST2") -> DataFrame:
+    """Alerts as topic records: `key` is the transformer, `value` the JSON envelope.
+
+    A reading gives at most one alert, so the reading's place also orders and names its message
+    where the topic is a folder.
+    """
     return alerts.select(
-        F.col("source.transformerId").alias("key"), F.to_json(F.struct(*names)).alias("value")
+        F.col("source.transformerId").alias("key"),
+        F.to_json(F.struct(*ALERT.names)).alias("value"),
+        F.lit(topic).alias("topic"),
+        "partition",
+        "offset",
+        F.timestamp_millis("detectedAt").alias("kafkaTimestamp"),
     )

@@ -1,8 +1,8 @@
 """Notification outbox and its ledger.
 
 The ledger is an append-only log of states; the highest revision of an alert is its state, and
-an alert without an entry is NOT_REQUIRED. Each step returns only the entries to append, so an
-update costs as much as the alerts it touches, not as the whole ledger.
+an alert without an entry is NOT_REQUIRED. Revisions count per alert. Each step returns only the
+entries to append, so an update writes as much as the alerts it touches, not the whole ledger.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def ledger_state(ledger: DataFrame) -> DataFrame:
     """The current state per alert."""
     return (
         ledger.groupBy("alertId")
-        .agg(F.max_by(F.struct("status", "error", "updatedAt"), F.col("revision")).alias("state"))
+        .agg(F.max_by(F.struct("status", "error", "updatedAt", "revision"), F.col("revision")).alias("state"))
         .select("alertId", "state.*")
     )
 
@@ -37,25 +37,29 @@ def _state_of(alert_ids: DataFrame, ledger: DataFrame) -> DataFrame:
     """Distinct ids with their state; entries of other alerts are dropped before the grouping."""
     ids = alert_ids.select("alertId").distinct()
     touched = ledger_state(ledger.join(ids, "alertId", "left_semi"))
-    return ids.join(touched, "alertId", "left").withColumn(
-        "status", F.coalesce(F.col("status"), F.lit(NOT_REQUIRED))
+    return ids.join(touched, "alertId", "left").withColumns(
+        {
+            "status": F.coalesce(F.col("status"), F.lit(NOT_REQUIRED)),
+            "revision": F.coalesce(F.col("revision"), F.lit(0)),
+        }
     )
 
 
-def _entries(rows: DataFrame, status: Column, error: Column, now: Column, revision: Column) -> DataFrame:
-    return rows.select(
+def _entries(state: DataFrame, status: Column, error: Column, now: Column, step: int) -> DataFrame:
+    """New entries, `step` revisions after the state they follow."""
+    return state.select(
         "alertId",
         status.alias("status"),
         error.cast("string").alias("error"),
         now.cast("timestamp").alias("updatedAt"),
-        revision.cast("bigint").alias("revision"),
+        (F.col("revision") + step).cast("bigint").alias("revision"),
     ).select(*LEDGER.names)
 
 
-def prepare(critical_arrivals: DataFrame, ledger: DataFrame, now: Column, revision: Column) -> DataFrame:
+def prepare(critical_arrivals: DataFrame, ledger: DataFrame, now: Column) -> DataFrame:
     """PENDING for every alert that arrived as critical and is not under way or done."""
     waiting = _state_of(critical_arrivals, ledger).filter(F.col("status").isin(NOT_REQUIRED, FAILED))
-    return _entries(waiting, F.lit(PENDING), F.lit(None), now, revision)
+    return _entries(waiting, F.lit(PENDING), F.lit(None), now, 1)
 
 
 def claim(
@@ -63,10 +67,9 @@ def claim(
     history: DataFrame,
     ledger: DataFrame,
     now: Column,
-    revision: Column,
     reclaim_after: str | None = None,
 ) -> DataFrame:
-    """SENDING for every alert that may be sent now.
+    """SENDING for every alert that may be sent now, prepared in this round or not.
 
     The stored severity must be critical too: the first message of an id decides, so an id first
     stored as a warning is prepared but never sent. `reclaim_after` (an interval such as
@@ -79,7 +82,7 @@ def claim(
         free = free | ((F.col("status") == SENDING) & stale)
     critical_ids = history.filter(F.col("severity") == CRITICAL).select("alertId")
     claimed = state.filter(free).join(critical_ids, "alertId", "left_semi")
-    return _entries(claimed, F.lit(SENDING), F.lit(None), now, revision)
+    return _entries(claimed, F.lit(SENDING), F.lit(None), now, 2)
 
 
 def outbox(claims: DataFrame, history: DataFrame, recipients: str) -> DataFrame:
@@ -93,7 +96,7 @@ def outbox(claims: DataFrame, history: DataFrame, recipients: str) -> DataFrame:
     )
 
 
-def record(results: DataFrame, history: DataFrame, now: Column, revision: Column) -> DataFrame:
+def record(results: DataFrame, history: DataFrame, ledger: DataFrame, now: Column) -> DataFrame:
     """Entries for delivery results `(alertId, error)`: FAILED with its text, or SENT.
 
     Results for alerts that were never stored change nothing. Of several results for one alert
@@ -101,18 +104,19 @@ def record(results: DataFrame, history: DataFrame, now: Column, revision: Column
     """
     outcome = (
         results.groupBy("alertId")
-        .agg(F.max("error").alias("error"))
+        .agg(F.max("error").alias("failure"))
         .join(history.select("alertId"), "alertId", "left_semi")
     )
-    status = F.when(F.col("error").isNull(), SENT).otherwise(FAILED)
-    return _entries(outcome, status, F.col("error"), now, revision)
+    state = _state_of(outcome, ledger).join(outcome, "alertId")
+    status = F.when(F.col("failure").isNull(), SENT).otherwise(FAILED)
+    return _entries(state, status, F.col("failure"), now, 1)
 
 
 def ledger_report(history: DataFrame, ledger: DataFrame) -> DataFrame:
     """Every stored alert with its notification state."""
     return (
         history.select("alertId", "severity", "detectedAt")
-        .join(ledger_state(ledger), "alertId", "left")
+        .join(ledger_state(ledger).drop("revision"), "alertId", "left")
         .withColumn("status", F.coalesce(F.col("status"), F.lit(NOT_REQUIRED)))
     )
 

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
 from telemetry_lake.functions.measures import event_time
 from telemetry_lake.operators.decode import accepted, decode_readings, quarantined
@@ -34,7 +35,7 @@ from telemetry_lake.operators.detection import (
 from telemetry_lake.schemas import BRONZE, STREAK, AlertRules
 from telemetry_lake.sources.tables import drop_version, read_version, run_name, write_batch
 
-MESSAGE_SCHEMA = "key string, value string"
+MESSAGE_SCHEMA = StructType([StructField("key", StringType()), *BRONZE.fields])
 
 
 @dataclass(frozen=True)
@@ -102,8 +103,8 @@ def detect_stream(
     rows_per_slice: int = ROWS_PER_SLICE,
     bounded: bool = False,
 ) -> StreamingQuery:
-    """Write alert messages (`key, value`) for a stream of sensor records; refused records go to
-    the quarantine folder as they came."""
+    """Write alert messages for a stream of sensor records; refused records go to the quarantine
+    folder as they came. The message folder can feed `file_stream` of the handler."""
     run = run_name(paths.checkpoint)
 
     def step(batch: DataFrame, batch_id: int) -> None:

@@ -15,10 +15,6 @@ from telemetry_lake.operators.history import first_arrivals, not_yet_stored, sto
 from telemetry_lake.schemas import BRONZE, HISTORY, LEDGER
 from telemetry_lake.sources.tables import read_before, read_table, run_name, write_batch
 
-# Ledger revisions of one micro-batch: prepare, then claim. Revisions only grow within a run, so
-# the clock leads and the step breaks ties.
-_PREPARE, _CLAIM = 0, 1
-
 
 @dataclass(frozen=True)
 class HandlerPaths:
@@ -29,11 +25,6 @@ class HandlerPaths:
     checkpoint: str
 
 
-def next_revision(ledger: DataFrame) -> Column:
-    """A scalar above every revision so far."""
-    return ledger.agg((F.coalesce(F.max("revision"), F.lit(-1)) + 1).alias("revision")).scalar()
-
-
 def handle_stream(
     messages: DataFrame,
     paths: HandlerPaths,
@@ -62,11 +53,8 @@ def handle_stream(
             history = read_table(spark, paths.history, HISTORY)
             ledger = read_before(spark, paths.ledger, LEDGER, run, batch_id)
             critical = arrived.filter(F.col("severity") == CRITICAL).select("alertId").distinct()
-            first = next_revision(ledger)
-            prepared = notifications.prepare(critical, ledger, instant, first + _PREPARE)
-            claimed = notifications.claim(
-                critical, history, ledger, instant, first + _CLAIM, reclaim_after
-            )
+            prepared = notifications.prepare(critical, ledger, instant)
+            claimed = notifications.claim(critical, history, ledger, instant, reclaim_after)
             write_batch(prepared.unionByName(claimed), paths.ledger, run, batch_id)
 
             claims = read_table(spark, f"{paths.ledger}/run={run}/batch={batch_id}", LEDGER)
@@ -84,5 +72,5 @@ def record_results(results: DataFrame, paths: HandlerPaths, run: str, batch: int
     spark = results.sparkSession
     history = read_table(spark, paths.history, HISTORY)
     ledger = read_before(spark, paths.ledger, LEDGER, run, batch)
-    entries = notifications.record(results, history, now, next_revision(ledger))
+    entries = notifications.record(results, history, ledger, now)
     write_batch(entries, paths.ledger, run, batch)

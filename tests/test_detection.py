@@ -196,5 +196,5 @@ def test_late_and_timely_readings_in_one_batch(spark):
 
 def test_reading_schema_is_kept_in_the_envelope(spark):
     alerts = detect(readings(spark, [("t", 0, 0, 0.95)]))
-    assert alerts.columns == ["alertId", "severity", "reason", "detectedAt", "source"]
+    assert alerts.columns == ["alertId", "severity", "reason", "detectedAt", "source", "partition", "offset"]
     assert [(f.name, f.dataType) for f in alerts.schema["source"].dataType] == [(f.name, f.dataType) for f in READING]

@@ -66,7 +66,7 @@ def test_answers_are_saved_in_order(spark, tmp_path):
 
 
 def test_null_fields_are_left_out_of_json(spark, tmp_path):
-    write_statistics(spark.createDataFrame([("a", None)], "k string, v double"), str(tmp_path / "s"))
+    write_statistics(spark.createDataFrame([("a", None)], "k string, v double").coalesce(1), str(tmp_path / "s"))
     (part,) = (tmp_path / "s").glob("*.json")
     assert json.loads(part.read_text()) == {"k": "a"}
 

@@ -41,7 +41,7 @@ def test_notification_text_carries_the_reading(spark):
 def test_prepare_resets_only_waiting_and_failed(spark):
     rows = critical(arrivals(spark, *[alert(i) for i in "abcde"], alert("a")))
     old = ledger(spark, ("b", "FAILED", "x"), ("c", "SENT", None), ("d", "SENDING", None), ("e", "PENDING", None))
-    entries = outbox.prepare(rows, old, now(), F.lit(9))
+    entries = outbox.prepare(rows, old, now())
     assert statuses(entries) == {"a": "PENDING", "b": "PENDING"}
     assert [r.error for r in entries.collect()] == [None, None]
 
@@ -49,7 +49,7 @@ def test_prepare_resets_only_waiting_and_failed(spark):
 def test_claim_skips_sent_and_sending(spark):
     rows = arrivals(spark, *[alert(i) for i in "abcde"])
     old = ledger(spark, ("b", "FAILED", "x"), ("c", "SENT", None), ("d", "SENDING", None), ("e", "PENDING", None))
-    claims = outbox.claim(critical(rows), history.first_arrivals(rows), old, now(), F.lit(9))
+    claims = outbox.claim(critical(rows), history.first_arrivals(rows), old, now())
     assert statuses(claims) == {"a": "SENDING", "b": "SENDING", "e": "SENDING"}
 
 
@@ -57,16 +57,16 @@ def test_stale_claims_are_taken_over_on_request(spark):
     rows = arrivals(spark, alert("d"))
     old = ledger(spark, ("d", "SENDING", None))
     stored = history.first_arrivals(rows)
-    assert statuses(outbox.claim(rows, stored, old, now(), F.lit(9), "15 minutes")) == {"d": "SENDING"}
-    assert statuses(outbox.claim(rows, stored, old, now(), F.lit(9), "2 hours")) == {}
+    assert statuses(outbox.claim(rows, stored, old, now(), "15 minutes")) == {"d": "SENDING"}
+    assert statuses(outbox.claim(rows, stored, old, now(), "2 hours")) == {}
 
 
 def test_stored_severity_decides(spark):
     rows = arrivals(spark, alert("a", "WARNING"), alert("a", "CRITICAL"))
     stored = history.first_arrivals(rows)
     empty = spark.createDataFrame([], LEDGER)
-    assert statuses(outbox.prepare(critical(rows), empty, now(), F.lit(0))) == {"a": "PENDING"}
-    assert statuses(outbox.claim(critical(rows), stored, empty, now(), F.lit(1))) == {}
+    assert statuses(outbox.prepare(critical(rows), empty, now())) == {"a": "PENDING"}
+    assert statuses(outbox.claim(critical(rows), stored, empty, now())) == {}
 
 
 def test_record_and_report(spark):
@@ -75,7 +75,7 @@ def test_record_and_report(spark):
     results = spark.createDataFrame(
         [("a", None), ("b", None), ("b", "refused"), ("ghost", "x")], "alertId string, error string"
     )
-    entries = outbox.record(results, stored, now(), F.lit(5))
+    entries = outbox.record(results, stored, spark.createDataFrame([], LEDGER), now())
     assert statuses(entries) == {"a": "SENT", "b": "FAILED"}
     report = {r.alertId: (r.status, r.error) for r in outbox.ledger_report(stored, entries).collect()}
     assert report == {"a": ("SENT", None), "b": ("FAILED", "refused"), "c": ("NOT_REQUIRED", None), "d": ("NOT_REQUIRED", None)}
@@ -90,7 +90,7 @@ def test_latest_revision_is_the_state(spark):
 def test_outbox_rows(spark):
     rows = arrivals(spark, alert("a"), alert("b"))
     stored = history.first_arrivals(rows)
-    claims = outbox.claim(rows.filter("alertId = 'b'"), stored, spark.createDataFrame([], LEDGER), now(), F.lit(0))
+    claims = outbox.claim(rows.filter("alertId = 'b'"), stored, spark.createDataFrame([], LEDGER), now())
     (row,) = outbox.outbox(claims, stored, "x@y.z; x@y.z\nq@y.z").collect()
     assert (row.alertId, row.subject) == ("b", "[CRITICAL] Smart Grid alert in Paris-13")
     assert row.recipients == ["x@y.z", "q@y.z"] and "Alert id: b" in row.body

@@ -142,3 +142,17 @@ def test_handler_replay_changes_nothing(spark, tmp_path):
     state = outbox.ledger_state(read_table(spark, str(tmp_path / "ledger"), LEDGER))
     assert {r.alertId: r.status for r in state.collect()} == {"a": "SENT", "d": "SENDING"}
     assert read_table(spark, str(tmp_path / "quarantine"), BRONZE).count() == 2
+
+
+def test_readings_to_history_end_to_end(spark, tmp_path):
+    source = tmp_path / "in"
+    send(records(spark, [0.95, 0.85, 0.95, 0.2, 0.85, 0.99]), source)
+    paths = detector(tmp_path / "detector")
+    detect_stream(file_stream(spark, str(source)), paths, bounded=True).awaitTermination()
+    messages = file_stream(spark, f"{paths.messages}/run=*/batch=*")
+    handle_stream(messages, handler(tmp_path / "handler", "cp"), "a@b.c", now(), bounded=True).awaitTermination()
+    stored = read_table(spark, str(tmp_path / "handler" / "history"), HISTORY)
+    assert {(r.severity, r.source.sensorId) for r in stored.collect()} == {
+        ("CRITICAL", "s-0"), ("CRITICAL", "s-2"), ("CRITICAL", "s-5"),
+    }
+    assert spark.read.parquet(str(tmp_path / "handler" / "outbox")).count() == 3
