@@ -17,19 +17,12 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     # A region can be all digits; never let the reader turn it into a number.
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
-}
-
-STATE_STORE_CONF = {
-    "spark.sql.streaming.stateStore.providerClass": (
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    ),
 }
 
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else created."""
-    for key, value in {**RUNTIME_CONF, **STATE_STORE_CONF}.items():
+    for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
     return spark
 

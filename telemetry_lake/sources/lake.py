@@ -19,7 +19,6 @@ def write_layer(data: DataFrame, path: str) -> None:
     (
         data.hint("rebalance", F.col("region"))
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "static")
         .partitionBy("region")
         .parquet(path)
     )
