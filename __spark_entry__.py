@@ -15,13 +15,12 @@ from telemetry_lake.functions import scoring, severity, text
 from telemetry_lake.operators import history as alerts
 from telemetry_lake.operators import outbox as notes
 from telemetry_lake.operators import questions
-from telemetry_lake.operators.decode import accepted, decode_alerts, decode_readings, quarantined
+from telemetry_lake.operators.decode import accepted, decode_alerts, decode_readings, quarantined, timed_readings
 from telemetry_lake.operators.detection import ARRIVAL, EVENT, Clock, as_messages, detect
 from telemetry_lake.operators.gold import to_gold
 from telemetry_lake.operators.silver import parse_text_readings, to_silver
 from telemetry_lake.plans.analytics import answer_all
 from telemetry_lake.plans.datalake import build_layers, layer_counts
-from telemetry_lake.plans.replay import decoded_readings
 from telemetry_lake.schemas import BRONZE, HISTORY, LEDGER, AlertRules
 from telemetry_lake.session import configure, scratch_dir
 from telemetry_lake.sources import event_alerts, event_readings
@@ -196,7 +195,7 @@ def _flat_alerts(found: DataFrame) -> DataFrame:
 def _detect(clock: Clock, **options: int) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         bronze = event_readings.sample_bronze(configure(spark), sf_dir)
-        readings = through_table(spark, decoded_readings(bronze), "readings")
+        readings = through_table(spark, timed_readings(decode_readings(bronze)), "readings")
         return _flat_alerts(detect(readings, clock, SAMPLE_RULES, **options))
 
     return run
@@ -234,7 +233,7 @@ def detect_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alert_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alert messages by topic key, decoded again."""
     bronze = event_readings.sample_bronze(configure(spark), sf_dir)
-    readings = through_table(spark, decoded_readings(bronze), "readings")
+    readings = through_table(spark, timed_readings(decode_readings(bronze)), "readings")
     decoded = accepted(decode_alerts(as_messages(detect(readings, ARRIVAL, SAMPLE_RULES))))
     return decoded.groupBy("key").agg(
         F.count(F.lit(1)).alias("messages"),
@@ -518,6 +517,12 @@ gold AS (
 )"""
 )
 
+def _cell(column: str) -> str:
+    """Three decimals as the report prints them: half up on the decimal digits of the double
+    (C's printf rounds its binary value, which differs where the fourth decimal is a final 5)."""
+    return f"CAST(CAST(CAST({column} AS VARCHAR) AS DECIMAL(38,18)) AS DECIMAL(20,3)) :: VARCHAR"
+
+
 _REGIONS = f"""SELECT region, {_mean('"failureRiskScore"')} AS "averageRisk",
   max("maxFailureRiskScore") AS "highestRisk", CAST(sum("measurementCount") AS BIGINT) AS measurements
   FROM gold GROUP BY region"""
@@ -634,21 +639,21 @@ def oracle_sql() -> dict[str, str]:
         "average_load_by_hour": f"WITH {_GOLD} {_LOAD} ORDER BY hour",
         "failure_risk_trend": f'WITH {_GOLD} {_TREND} ORDER BY "windowStart"',
         "report_regions": f"""WITH {_GOLD}, answer AS ({_REGIONS})
-            SELECT region, printf('%.3f', "averageRisk") AS "averageRisk",
-                   printf('%.3f', "highestRisk") AS "highestRisk",
+            SELECT region, {_cell('"averageRisk"')} AS "averageRisk",
+                   {_cell('"highestRisk"')} AS "highestRisk",
                    CAST(measurements AS VARCHAR) AS measurements
             FROM (SELECT * FROM answer ORDER BY "averageRisk" DESC, region LIMIT 20)""",
         "report_transformers": f"""WITH {_GOLD}, answer AS ({_TRANSFORMERS})
             SELECT "transformerId", CAST(alerts AS VARCHAR) AS alerts,
-                   printf('%.3f', "averageRisk") AS "averageRisk"
+                   {_cell('"averageRisk"')} AS "averageRisk"
             FROM (SELECT * FROM answer ORDER BY alerts DESC, answer."averageRisk" DESC, "transformerId" LIMIT 20)""",
         "report_load": f"""WITH {_GOLD}, answer AS ({_LOAD})
-            SELECT CAST(hour AS VARCHAR) AS hour, printf('%.3f', "averageLoad") AS "averageLoad"
+            SELECT CAST(hour AS VARCHAR) AS hour, {_cell('"averageLoad"')} AS "averageLoad"
             FROM (SELECT * FROM answer ORDER BY hour LIMIT 20)""",
         "report_trend": f"""WITH {_GOLD}, answer AS ({_TREND})
             SELECT {hour_text.format('"windowStart"')} AS "windowStart",
                    {hour_text.format('"windowEnd"')} AS "windowEnd",
-                   printf('%.3f', "averageRisk") AS "averageRisk"
+                   {_cell('"averageRisk"')} AS "averageRisk"
             FROM (SELECT * FROM answer ORDER BY "windowStart" LIMIT 20)""",
         "layer_counts": f"""WITH {_GOLD}
             SELECT 'bronze' AS layer, CAST(count(*) AS BIGINT) AS "rows" FROM readings

@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from telemetry_lake.functions.measures import event_time
 from telemetry_lake.schemas import NUMBER_FIELDS, READING_FIELDS
 
 _JSON_NUMBER = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
@@ -151,6 +152,20 @@ def accepted(decoded: DataFrame) -> DataFrame:
     return decoded.filter("isValid").drop("isValid")
 
 
+def timed_readings(decoded: DataFrame) -> DataFrame:
+    """Accepted readings with their place in the topic and an event time, without the payload.
+
+    A reading whose own timestamp cannot be read counts at the time of its record.
+    """
+    instant = F.coalesce(event_time(F.col("timestamp")), F.col("kafkaTimestamp"))
+    return (
+        accepted(decoded)
+        .drop("value", "topic")
+        .withColumn("eventTime", instant)
+        .filter(F.col("eventTime").isNotNull())
+    )
+
+
 def quarantined(decoded: DataFrame, raw_columns: list[str]) -> DataFrame:
     """The untouched input rows of messages that were refused."""
     return decoded.filter(~F.col("isValid")).select(*raw_columns)

@@ -8,26 +8,14 @@ from __future__ import annotations
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from telemetry_lake.functions.measures import event_time
-from telemetry_lake.operators.decode import accepted, decode_readings
+from telemetry_lake.operators.decode import decode_readings, timed_readings
 from telemetry_lake.operators.detection import EVENT, ROWS_PER_SLICE, Clock, detect
 from telemetry_lake.schemas import AlertRules
 from telemetry_lake.session import configure
 from telemetry_lake.sources.bronze import read_landed
 
 
-def decoded_readings(bronze: DataFrame) -> DataFrame:
-    """Accepted readings with their place in the topic and an event time."""
-    return (
-        accepted(decode_readings(bronze))
-        .drop("value", "topic")
-        .withColumn("eventTime", event_time(F.col("timestamp")))
-        .filter(F.col("eventTime").isNotNull())
-    )
-
-
 def replay(
     bronze: DataFrame,
     readings_path: str,
@@ -36,7 +24,7 @@ def replay(
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Decode bronze once into a table, then detect over that table's columns."""
-    readings = decoded_readings(bronze)
+    readings = timed_readings(decode_readings(bronze))
     readings.write.mode("overwrite").parquet(readings_path)
     table = bronze.sparkSession.read.schema(readings.schema).parquet(readings_path)
     return detect(table, clock, rules, rows_per_slice)

@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
-from telemetry_lake.functions.measures import event_time
-from telemetry_lake.operators.decode import accepted, decode_readings, quarantined
+from telemetry_lake.operators.decode import decode_readings, quarantined, timed_readings
 from telemetry_lake.operators.detection import (
     ROWS_PER_SLICE,
     Clock,
@@ -119,10 +118,7 @@ def detect_stream(
         try:
             write_batch(quarantined(decoded, BRONZE.names), paths.quarantine, run, batch_id)
             # Detection reads its input several times: give it a narrow typed table.
-            typed = accepted(decoded).drop("value", "topic")
-            typed = typed.withColumn("eventTime", event_time(F.col("timestamp")))
-            if clock.can_be_late:
-                typed = typed.filter(F.col("eventTime").isNotNull())
+            typed = timed_readings(decoded)
             write_batch(typed, paths.readings, run, batch_id)
             readings = read_version(spark, paths.readings, typed.schema, run, batch_id)
             before = read_version(spark, paths.streaks, STREAK, run, batch_id - 1)

@@ -7,11 +7,11 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from telemetry_lake.operators.decode import accepted, decode_readings
+from telemetry_lake.operators.decode import accepted, decode_readings, timed_readings
 from telemetry_lake.operators.detection import (
     ARRIVAL, EVENT, MAX_CUTS, cut_points, detect, keyed_readings, sliced,
 )
-from telemetry_lake.plans.replay import decoded_readings, replay
+from telemetry_lake.plans.replay import replay
 from telemetry_lake.schemas import READING, STREAK, AlertRules
 from telemetry_lake.streaming.detector import advance
 from tests.samples import at, reading, topic
@@ -136,8 +136,8 @@ def test_plan_shuffles_readings_once_and_by_slice(spark):
 
 def test_ids_repeat_on_replay_and_differ_for_copies(spark):
     twice = topic(spark, [reading(failureRiskScore=0.95)] * 2)
-    first = detect(decoded_readings(twice)).select("alertId", "reason", "detectedAt", "source").collect()
-    again = detect(decoded_readings(twice)).select("alertId").collect()
+    first = detect(timed_readings(decode_readings(twice))).select("alertId", "reason", "detectedAt", "source").collect()
+    again = detect(timed_readings(decode_readings(twice))).select("alertId").collect()
     assert len({r.alertId for r in first}) == 2
     assert {r.alertId for r in first} == {r.alertId for r in again}
     assert first[0].reason == "failureRiskScore=0.95 -> CRITICAL (warn>=0.8, crit>=0.9)"
@@ -151,6 +151,12 @@ def test_replay_job(spark, tmp_path):
     assert accepted(decode_readings(bronze)).count() == 2
 
 
+def test_unreadable_timestamp_counts_at_the_record_time(spark):
+    bronze = topic(spark, [reading(failureRiskScore=0.95, timestamp="zz")], start=7)
+    (row,) = detect(timed_readings(decode_readings(bronze))).collect()
+    assert row.detectedAt == 1782388807000 and row.source.timestamp == "zz"
+
+
 # ------------------------------------------------------------ micro-batches
 
 

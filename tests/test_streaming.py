@@ -3,9 +3,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from telemetry_lake.operators import outbox
-from telemetry_lake.operators.decode import accepted, decode_alerts
+from telemetry_lake.operators.decode import accepted, decode_alerts, decode_readings, timed_readings
 from telemetry_lake.operators.detection import ARRIVAL, EVENT, detect
-from telemetry_lake.plans.replay import decoded_readings
 from telemetry_lake.schemas import BRONZE, HISTORY, LEDGER, STREAK, AlertRules
 from telemetry_lake.sources.bronze import read_landed
 from telemetry_lake.sources.tables import read_table, read_version, run_name
@@ -86,7 +85,7 @@ def test_stream_equals_replay_over_restarts(spark, tmp_path):
         table = whole[0].union(whole[1]).union(whole[2])
         expected = {
             (r.alertId, r.severity, r.detectedAt)
-            for r in detect(decoded_readings(table), clock, rules).collect()
+            for r in detect(timed_readings(decode_readings(table)), clock, rules).collect()
         }
         assert got == expected and len({s for _, s, _ in got}) == 2
         assert {r.key for r in messages.collect()} == {"TR-0", "TR-1"}
