@@ -32,6 +32,16 @@ from telemetry_lake.streaming.detector import MESSAGE_SCHEMA, DetectorPaths, det
 from telemetry_lake.streaming.handler import HandlerPaths, handle_stream, record_results
 from telemetry_lake.streaming.landing import land
 
+# The folders of the training-data operators may be absent; everything else works without them.
+try:
+    from telemetry_lake.llm import queries as llm
+except ImportError:
+    llm = None
+try:
+    import corpus_pipeline as corpus
+except ImportError:
+    corpus = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Readings of one transformer are about 11 hours apart in the sample, so 30 seconds would make
@@ -407,6 +417,11 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    """All registered queries; the training-data ones only where their code is present."""
+    return _lake_queries() | (llm.QUERIES if llm else {}) | ({"pipeline": corpus.run} if corpus else {})
+
+
+def _lake_queries() -> dict[str, Query]:
     return {
         "silver_clean": silver_clean,
         "gold_hourly": gold_hourly,

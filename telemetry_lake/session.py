@@ -51,8 +51,13 @@ def _own_folder() -> str:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the cluster's shared checkpoint folder.
 
-    The cluster names that folder in `spark.checkpoint.dir`; only where it is unset (tests, a
-    laptop) is a temporary folder made.
+    The cluster names that folder in `spark.checkpoint.dir`. Where it is unset, a single-JVM
+    session (tests, a laptop) gets a temporary folder; on a cluster that is an error, because the
+    executors would write to their own disks.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = _own_folder()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
