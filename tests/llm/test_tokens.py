@@ -1,0 +1,117 @@
+"""Token files and packing against whole texts encoded by the library."""
+
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import pytest
+from public_tokenizers import path
+from tokenizers import Tokenizer
+
+from telemetry_lake.llm import packing, token_files, tokens
+from telemetry_lake.session import scratch_dir
+
+LIBRARY = Tokenizer.from_file(path(tokens.VOCABULARY))
+TEXTS = [
+    "Plain words, and it's DON'T we'll 'tis",
+    "Ärger über große Straße; ÉCOLE naïve ½ x² 3,50€",
+    "tabs\tand\nlines\x0b\x0c\r  　end",
+    "\x1cseparators\x1d that\x1e only\x1f python splits",
+    "<|endoftext|> in<|startoftext|>side <|x|> < a<b",
+    "é combining ́ alone ΣΑΣ İstanbul ǅ ﬁ １２ 漢字かな 🙂🙂 ‍",
+    "12345 a1b2 --- *** %%% !!?! wort### | pipe",
+    "",
+    None,
+    "   ",
+    "z" * 3000 + " " + "long " * 9000,
+]
+
+
+def ids_of(text):
+    return [*LIBRARY.encode(text or "", add_special_tokens=False).ids, 2]
+
+
+def test_words_give_the_ids_of_the_whole_text():
+    for text in TEXTS:
+        assert np.frombuffer(tokens.encode(text or ""), "<u4").tolist() == ids_of(text)
+
+
+@pytest.mark.parametrize("bits", [1, 5, 15, 16, 17, 31])
+def test_packed_bits_round_trip(bits):
+    ids = np.random.default_rng(bits).integers(0, 2**bits, 1003).astype("<u4")
+    data = token_files.pack(ids, bits)
+    assert len(data) == -(-1003 * bits // 8)
+    assert (token_files.unpack(data, bits, 1003) == ids).all()
+
+
+def test_bits():
+    assert [token_files.bits_for(n) for n in (1, 2, 3, 49408, 65536, 65537)] == [1, 1, 2, 16, 16, 17]
+
+
+@pytest.mark.parametrize("bits", [16, 17])
+def test_random_access(tmp_path, bits):
+    rng = np.random.default_rng(1)
+    docs = [(None if k == 0 else k * 5, rng.integers(0, 60000, n)) for k, n in enumerate([3, 0, 4095, 1, 100_000, 7])]
+    writer = token_files.Writer(str(tmp_path), "x.tkp", bits)
+    for doc_id, ids in docs:
+        writer.add(doc_id, ids.astype("<u4"))
+    writer.close()
+    reader, whole = token_files.Reader(str(tmp_path), "x.tkp"), np.concatenate([ids for _, ids in docs])
+    for start, n in [(0, 1), (4090, 20), (0, len(whole)), (len(whole) - 3, 3), (8192, 4096), (50_000, 0)]:
+        assert (reader.read(start, n) == whole[start : start + n]).all()
+    got = list(reader.documents())
+    assert [g[0] for g in got] == [d[0] for d in docs]
+    assert all((g[2] == d[1]).all() for g, d in zip(got, docs, strict=True))
+
+
+def rows(spark, values):
+    return spark.createDataFrame([(d, t, "s", 1) for d, t in values], "doc_id long, text string, start string, ids long")
+
+
+def test_files_hold_every_document_in_order(spark):
+    values = [(i * 7 % 101, TEXTS[i % len(TEXTS)]) for i in range(60)] + [(None, "no id"), (5, "twice"), (5, "twice")]
+    files = token_files.write(rows(spark, values).repartition(6), scratch_dir(spark, "t"))
+    got = sorted(token_files.read(files).collect(), key=lambda r: r.start)
+    want = sorted(values, key=lambda v: (v[0] is not None, v[0] or 0, v[1] is not None, v[1] or ""))
+    assert [r.doc_id for r in got] == [d for d, _ in want]
+    at = 0
+    for row, (_, text) in zip(got, want, strict=True):
+        ids = ids_of(text)
+        assert (row.start, np.frombuffer(row.ids, "<u4").tolist()) == (at, ids)
+        at += len(ids)
+
+
+def test_no_documents(spark):
+    none = rows(spark, []).limit(0)
+    assert token_files.read(token_files.write(none, scratch_dir(spark, "t"))).collect() == []
+    assert packing.pieces(none).collect() == []
+
+
+def test_piece_lengths():
+    for n in [1, 2, 3, 4095, 4096, 4097, 12_345]:
+        lengths = packing.piece_lengths(n)
+        assert sum(lengths) == n and all(k & (k - 1) == 0 and k <= 4096 for k in lengths)
+    assert packing.piece_lengths(9, 4) == [4, 4, 1]
+    with pytest.raises(ValueError):
+        packing.pieces(None, 100)
+
+
+def test_pieces_cover_each_document(spark, tmp_path):
+    values = [(i, t) for i, t in enumerate(TEXTS)] + [(3, TEXTS[3]), (None, "no id")]
+    found = packing.pieces(rows(spark, values).repartition(3))
+    got = packing.digest(found).collect()
+    assert len({r.sequence_id for r in got}) == len(got)
+    assert {r.offset for r in got} == {0} and all(r.length == 1 << r.bucket for r in got)
+    for doc_id, text in set(values):
+        ids = np.array(ids_of(text), "<u4")
+        mine = sorted(tuple(r) for r in got if r.doc_id == doc_id)
+        copies = values.count((doc_id, text))
+        at = 0
+        for row in mine[::copies]:
+            assert row[1] == at and row[4] == len(ids)
+            assert row[3] == zlib.crc32(ids[at : at + row[2]].tobytes())
+            at += row[2]
+        assert at == len(ids) and len(mine) == copies * len(mine[::copies])
+    packing.write_buckets(found, str(tmp_path / "b"))
+    assert spark.read.parquet(str(tmp_path / "b")).count() == len(got)
