@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +16,13 @@ from telemetry_lake.session import scratch_dir
 # Rows of one Arrow batch between the JVM and Python. A batch is held whole on both sides, so
 # with texts of up to some 100,000 characters a thousand rows stay far below the worker's memory.
 ARROW_ROWS = 1000
+ARROW_BYTES = 16 << 20
 
 
 def configure(spark: SparkSession) -> None:
     """Bound the Arrow batches; everything else is left as the cluster has it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -33,6 +37,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@functools.cache
+def file_store(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a folder's URI, for tasks that read or write files; a bare path is local."""
+    return fs.FileSystem.from_uri(folder if ":" in folder.partition("/")[0] else f"file://{folder}")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 

@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+from telemetry_lake.llm.cover_tree import op7_cover_tree
+from telemetry_lake.llm.fingerprints import op1_fingerprints
 from telemetry_lake.llm.packing import op9_packing
+from telemetry_lake.llm.quality import op5_quality
+from telemetry_lake.llm.sentencepiece_lattice import op6_sentencepiece
 from telemetry_lake.llm.simhash import op2_simhash
+from telemetry_lake.llm.substring import op4_substring
 from telemetry_lake.llm.token_files import op3_token_files
+from telemetry_lake.llm.url_filter import op10_url_filter
+from telemetry_lake.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_simhash": op2_simhash,
     "op3_token_files": op3_token_files,
+    "op4_substring": op4_substring,
+    "op5_quality": op5_quality,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op7_cover_tree": op7_cover_tree,
+    "op8_warc": op8_warc,
     "op9_packing": op9_packing,
+    "op10_url_filter": op10_url_filter,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_warc": OP8_SQL}

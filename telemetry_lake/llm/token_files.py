@@ -20,7 +20,6 @@ where its first id stands among all ids follows from the manifest, one row per f
 
 from __future__ import annotations
 
-import functools
 import json
 import uuid
 import zlib
@@ -29,13 +28,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from telemetry_lake.llm import tokens
-from telemetry_lake.llm.common import configure, table, texts
+from telemetry_lake.llm.common import configure, file_store, table, texts
 from telemetry_lake.session import scratch_dir
 
 MAGIC = b"TKP1"
@@ -67,17 +65,11 @@ def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
     return np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel()
 
 
-@functools.cache
-def _store(folder: str) -> tuple[fs.FileSystem, str]:
-    """The file system and path of a folder's URI; a bare path is local."""
-    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-
-
 class Writer:
     """Streams documents into one file; holds one block and the document table."""
 
     def __init__(self, folder: str, name: str, bits: int):
-        self.store, base = _store(folder)
+        self.store, base = file_store(folder)
         self.store.create_dir(base, recursive=True)
         self.final, self.draft = f"{base}/{name}", f"{base}/_{name}-{uuid.uuid4().hex}"
         self.out, self.bits = self.store.open_output_stream(self.draft), bits
@@ -125,7 +117,7 @@ class Reader:
     """Random access to the ids of one file."""
 
     def __init__(self, folder: str, name: str):
-        store, base = _store(folder)
+        store, base = file_store(folder)
         self.file = store.open_input_file(f"{base}/{name}")
         size = self.file.size()
         tail = self._at(size - 12, 12)
