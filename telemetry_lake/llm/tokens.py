@@ -9,15 +9,17 @@ library's model is called on the pieces that the file's own pattern gives.
 from __future__ import annotations
 
 import functools
+import json
+from collections.abc import Callable
 
 import numpy as np
 import regex
 from public_tokenizers import path
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
-# Words kept per process; beyond that the memory is dropped and filled anew.
+# Words kept per process, and pieces as many; the older half goes when that number is reached.
 REMEMBERED = 1_000_000
 
 # The split pattern in the tokenizer's file, and the byte-level alphabet's rule
@@ -34,35 +36,60 @@ def _alphabet() -> dict[int, str]:
     return {b: chr(b if b in _PRINTABLE else next(others)) for b in range(256)}
 
 
-class _Words(dict):
-    """Word to its ids as little-endian unsigned 32-bit integers."""
+class _Remembered(dict):
+    """Values by key in two generations: what was not asked for during a whole generation is forgotten."""
 
-    def __init__(self, tokenizer: Tokenizer):
+    def __init__(self, find: Callable[[str], bytes]):
         super().__init__()
-        self.whole, self.piece, self.pieces, self.alphabet = tokenizer, tokenizer.model.tokenize, {}, _alphabet()
+        self.find, self.older = find, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.find(key)
+        if len(self) >= REMEMBERED // 2:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class _Words:
+    """Ids of words and whole texts as little-endian unsigned 32-bit integers."""
 
-    def __missing__(self, word: str) -> bytes:
+    def __init__(self, file: str):
+        self.library = Tokenizer.from_file(file)
+        with open(file, encoding="utf-8") as f:
+            about = json.load(f)["model"]
+        # The library's model without its own cache, which is slower than encoding a word.
+        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in about["merges"]]
+        self.model = models.BPE(about["vocab"], merges, cache_capacity=0, end_of_word_suffix=about["end_of_word_suffix"])
+        self.alphabet = _alphabet()
+        self.pieces = _Remembered(self._piece)
+        self.words = _Remembered(self._word)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
         if max(word) >= _LATIN_END or "<" in word:
-            ids = np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        else:
-            ids = b"".join([self.pieces.get(p) or self._piece(p) for p in _PIECES.findall(word.lower())])
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = ids
-        return ids
+            return self.whole(word)
+        low = word.lower()
+        # Most words are letters, or letters and one sign: what the pattern would give is plain.
+        if low.isalpha():
+            return self.pieces[low]
+        if low[:-1].isalpha() and not low[-1].isalnum():
+            return self.pieces[low[:-1]] + self.pieces[low[-1]]
+        return b"".join([self.pieces[p] for p in _PIECES.findall(low)])
 
     def _piece(self, piece: str) -> bytes:
         text = piece.encode().decode("latin-1").translate(self.alphabet)
-        ids = np.array([token.id for token in self.piece(text)], "<u4").tobytes()
-        if len(self.pieces) >= REMEMBERED:
-            self.pieces.clear()
-        self.pieces[piece] = ids
-        return ids
+        return np.array([token.id for token in self.model.tokenize(text)], "<u4").tobytes()
 
 
 @functools.cache
 def _words(vocabulary: str) -> _Words:
-    return _Words(Tokenizer.from_file(path(vocabulary)))
+    return _Words(path(vocabulary))
 
 
 @functools.cache
@@ -72,9 +99,6 @@ def vocabulary_size(vocabulary: str = VOCABULARY) -> int:
 
 def encode(text: str, vocabulary: str = VOCABULARY) -> bytes:
     """The text's ids and the end id, as little-endian unsigned 32-bit integers."""
-    words = _words(vocabulary)
-    if _SEPARATORS.search(text):
-        ids = np.array(words.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    else:
-        ids = b"".join([words[word] for word in text.split()])
+    own = _words(vocabulary)
+    ids = own.whole(text) if _SEPARATORS.search(text) else b"".join(map(own.words.__getitem__, text.split()))
     return ids + END_ID.to_bytes(4, "little")
