@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemetry_lake.functions import scoring, severity, text
@@ -21,7 +21,7 @@ from telemetry_lake.operators.gold import to_gold
 from telemetry_lake.operators.silver import parse_text_readings, to_silver
 from telemetry_lake.plans.analytics import answer_all
 from telemetry_lake.plans.datalake import build_layers, layer_counts
-from telemetry_lake.schemas import BRONZE, HISTORY, LEDGER, AlertRules
+from telemetry_lake.schemas import BRONZE, HISTORY, LEDGER, NUMBER_FIELDS, READING_FIELDS, AlertRules
 from telemetry_lake.session import configure, scratch_dir
 from telemetry_lake.sources import event_alerts, event_readings
 from telemetry_lake.sources.bronze import read_landed
@@ -47,7 +47,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Readings of one transformer are about 11 hours apart in the sample, so 30 seconds would make
 # every second high reading sustained.
 SAMPLE_RULES = AlertRules(window_millis=6 * 3600 * 1000)
-SMALL_SLICE = 500
+HALF_DAY = 12 * 3600 * 1_000_000
 RECIPIENTS = "ops@example.com; grid@example.com,\n ops@example.com\r\n"
 NOW = "2024-02-01 00:00:00"
 EARLIER = "2024-01-31 00:00:00"
@@ -115,6 +115,78 @@ def layer_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(sizes.items()), "layer string, rows bigint")
 
 
+def gold_wide_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold over voltages of which every fifth is too large for the stable mean's decimals."""
+    silver = _silver(spark, sf_dir)
+    number = F.regexp_extract("sensorId", r"(\d+)$", 1).cast("bigint")
+    wide = F.when(number % 5 == 0, F.col("voltage") * 1e9).otherwise(F.col("voltage"))
+    gold = to_gold(silver.withColumn("voltage", wide))
+    return _plain_times(
+        gold.select("transformerId", "region", "windowStart", F.floor("voltage").alias("voltage"), "measurementCount")
+    )
+
+
+def _topic(spark: SparkSession, sf_dir: str, *parts: Column) -> tuple[str, DataFrame]:
+    """A scratch folder whose `topic` holds the given parts of the sample bronze, one file drop each."""
+    bronze = through_table(configure(spark), event_readings.sample_bronze(spark, sf_dir), "bronze")
+    folder = scratch_dir(spark, "topic")
+    for part in parts:
+        bronze.filter(part).write.mode("append").parquet(f"{folder}/topic")
+    return folder, bronze
+
+
+def _payload() -> list[Column]:
+    """Every field of the raw message, numbers as such."""
+    raw = {name: F.get_json_object("value", f"$.{name}") for name in READING_FIELDS}
+    return [(c.cast("double") if name in NUMBER_FIELDS else c).alias(name) for name, c in raw.items()]
+
+
+def _landed(spark: SparkSession, folder: str) -> DataFrame:
+    return _plain_times(read_landed(spark, f"{folder}/bronze")).select(
+        "topic",
+        "partition",
+        "offset",
+        "kafkaTimestamp",
+        *_payload(),
+    )
+
+
+def bronze_two_landings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two checkpoints land overlapping parts of one topic into one folder."""
+    day = F.dayofmonth("kafkaTimestamp")
+    folder, bronze = _topic(spark, sf_dir, day <= 12)
+    bronze.filter(day > 8).write.parquet(f"{folder}/other")
+    for source, checkpoint in (("topic", "first"), ("other", "second"), ("topic", "third")):
+        stream = file_stream(spark, f"{folder}/{source}")
+        land(stream, f"{folder}/bronze", f"{folder}/{checkpoint}", bounded=True).awaitTermination()
+    return _landed(spark, folder)
+
+
+def bounded_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A backlog landed one file a micro-batch."""
+    day = F.dayofmonth("kafkaTimestamp")
+    folder, _ = _topic(spark, sf_dir, day <= 10, (day > 10) & (day <= 20), day > 20)
+    stream = file_stream(spark, f"{folder}/topic", 1)
+    land(stream, f"{folder}/bronze", f"{folder}/checkpoint", bounded=True).awaitTermination()
+    return _landed(spark, folder)
+
+
+def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One topic landed and watched by two queries with a checkpoint each."""
+    day = F.dayofmonth("kafkaTimestamp")
+    folder, _ = _topic(spark, sf_dir, day <= 16, day > 16)
+    paths = DetectorPaths(*[f"{folder}/{name}" for name in ("messages", "quarantine", "readings", "streaks", "watch")])
+    queries = [
+        land(file_stream(spark, f"{folder}/topic"), f"{folder}/bronze", f"{folder}/land", bounded=True),
+        detect_stream(file_stream(spark, f"{folder}/topic"), paths, EVENT, SAMPLE_RULES, bounded=True),
+    ]
+    for query in queries:
+        query.awaitTermination()
+    landed = read_landed(spark, f"{folder}/bronze").groupBy("partition").agg(F.count("*").alias("records"))
+    alerts = read_table(spark, paths.messages, MESSAGE_SCHEMA).groupBy("partition").agg(F.count("*").alias("alerts"))
+    return landed.join(alerts, "partition", "left")
+
+
 def bronze_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stream the events through the landing query and read bronze back."""
     configure(spark)
@@ -135,8 +207,7 @@ def bronze_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
             "partition",
             "offset",
             "kafkaTimestamp",
-            F.get_json_object("value", "$.sensorId").alias("sensorId"),
-            F.get_json_object("value", "$.status").alias("status"),
+            *_payload(),
             F.contains("value", F.lit("\n")).alias("hasNewline"),
         )
     )
@@ -175,9 +246,7 @@ def score_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def readings_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     decoded = accepted(decode_readings(event_readings.sample_bronze(spark, sf_dir)))
-    return decoded.select(
-        "partition", "offset", "sensorId", "transformerId", "timestamp", "region", "voltage", "load", "status"
-    )
+    return decoded.select("partition", "offset", *READING_FIELDS)
 
 
 def readings_quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,7 +274,7 @@ def _flat_alerts(found: DataFrame) -> DataFrame:
 def _detect(clock: Clock, **options: int) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         bronze = event_readings.sample_bronze(configure(spark), sf_dir)
-        readings = through_table(spark, timed_readings(decode_readings(bronze)), "readings")
+        readings = through_table(spark, timed_readings(decode_readings(bronze), clock.instant), "readings")
         return _flat_alerts(detect(readings, clock, SAMPLE_RULES, **options))
 
     return run
@@ -232,7 +301,7 @@ def detect_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run() -> None:
         records = file_stream(spark, f"{folder}/topic")
-        detect_stream(records, paths, EVENT, SAMPLE_RULES, SMALL_SLICE, bounded=True).awaitTermination()
+        detect_stream(records, paths, EVENT, SAMPLE_RULES, HALF_DAY, bounded=True).awaitTermination()
 
     day = F.dayofmonth("kafkaTimestamp")
     weeks = [day <= 8, (day > 8) & (day <= 16), (day > 16) & (day <= 24), day > 24]
@@ -345,29 +414,52 @@ def _old_ledger(history: DataFrame) -> DataFrame:
 
 
 def _notified(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """History, claims, and the ledger after one round of prepare, claim and delivery."""
+    """History, notifications due, and the ledger after one round of prepare, claim and delivery."""
     configure(spark)
     arrived = through_table(spark, event_alerts.sample_arrivals(spark, sf_dir), "arrivals")
     history = through_table(spark, alerts.first_arrivals(arrived), "history")
     ledger = _old_ledger(history)
+    # The topic's messages arrive once more as one batch.
     critical = arrived.filter(F.col("severity") == severity.CRITICAL)
     now = F.lit(NOW)
     prepared = notes.prepare(critical, ledger, now)
     claimed = through_table(spark, notes.claim(critical, history, ledger, now), "claims")
     failed = F.when(F.col("offset") % 3 == 0, "connection refused")
     results = history.join(claimed.select("alertId"), "alertId", "left_semi").select(
-        "alertId", failed.alias("error")
+        "alertId", failed.alias("error"), F.lit(2).alias("sequence")
     )
+    # Some deliveries were tried before with another outcome; the last one counts.
+    early = F.when(F.col("sequence") % 2 == 0, F.when(F.col("error").isNull(), "timeout"))
+    results = results.unionByName(results.select("alertId", early.alias("error"), F.lit(1).alias("sequence")))
     ledger = ledger.unionByName(prepared).unionByName(claimed)
-    return history, claimed, ledger.unionByName(notes.record(results, history, ledger, now))
+    due = notes.outbox(claimed, critical, RECIPIENTS)
+    return history, due, ledger.unionByName(notes.record(results, history, ledger, now))
 
 
 def notification_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history, claimed, _ = _notified(spark, sf_dir)
-    due = notes.outbox(claimed, history, RECIPIENTS)
+    _, due, _ = _notified(spark, sf_dir)
     return due.withColumn("recipients", F.array_join("recipients", " "))
 
 
+def outbox_after_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed notifications whose alerts arrive again with another region: the new payload is sent."""
+    configure(spark)
+    arrived = through_table(spark, event_alerts.sample_arrivals(spark, sf_dir), "arrivals")
+    history = through_table(spark, alerts.first_arrivals(arrived), "history")
+    failed = history.filter(F.col("severity") == severity.CRITICAL).select(
+        "alertId",
+        F.lit(notes.FAILED).alias("status"),
+        F.lit("timeout").alias("error"),
+        F.lit(EARLIER).cast("timestamp").alias("updatedAt"),
+        F.lit(0).cast("bigint").alias("revision"),
+    )
+    again = arrived.filter(F.col("severity") == severity.CRITICAL).withColumn(
+        "region", F.concat(F.lit("new "), F.col("region"))
+    )
+    claims = notes.claim(again, history, failed, F.lit(NOW))
+    return notes.outbox(claims, again, RECIPIENTS).select("alertId", "detectedAt", "subject")
+
+
 def notification_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     history, _, ledger = _notified(spark, sf_dir)
     return _plain_times(notes.ledger_report(history, ledger))
@@ -400,7 +492,7 @@ def handler_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     early = F.dayofmonth("kafkaTimestamp") <= 15
     _in_drops(messages, f"{folder}/topic", [early, ~early], lambda: run("first"))
     outbox = spark.read.parquet(f"{folder}/outbox")
-    results = outbox.select("alertId", F.lit(None).cast("string").alias("error"))
+    results = outbox.select("alertId", F.lit(None).cast("string").alias("error"), F.lit(0).alias("sequence"))
     record_results(results, paths("first"), run_name("deliveries"), 0, F.lit(NOW))
     run("second")
     history = read_table(spark, f"{folder}/history", HISTORY)
@@ -436,13 +528,17 @@ def _lake_queries() -> dict[str, Query]:
         "lake_round_trip": lake_round_trip,
         "statistics_round_trip": statistics_round_trip,
         "layer_counts": layer_sizes,
+        "gold_wide_values": gold_wide_values,
         "bronze_round_trip": bronze_round_trip,
+        "bronze_two_landings": bronze_two_landings,
+        "bounded_landing": bounded_landing,
+        "fan_out": fan_out,
         "risk_score": risk_score,
         "score_severity": score_severity,
         "readings_accepted": readings_accepted,
         "readings_quarantined": readings_quarantined,
         "detect_batch": _detect(EVENT),
-        "detect_batch_small_slices": _detect(EVENT, rows_per_slice=SMALL_SLICE),
+        "detect_batch_small_slices": _detect(EVENT, width=HALF_DAY),
         "detect_batch_arrival": _detect(ARRIVAL),
         "detect_stream": detect_streamed,
         "alert_envelopes": alert_envelopes,
@@ -466,6 +562,7 @@ def _lake_queries() -> dict[str, Query]:
         "alert_log_lines": alert_log_lines,
         "address_lists": address_lists,
         "notification_outbox": notification_outbox,
+        "outbox_after_failure": outbox_after_failure,
         "notification_ledger": notification_ledger,
         "notification_audit": notification_audit,
         "handler_stream": handler_streamed,
@@ -532,6 +629,12 @@ gold AS (
 )"""
 )
 
+_FIELDS = """sensor_id AS "sensorId", transformer_id AS "transformerId", ts_text AS "timestamp", r_name AS region,
+  voltage, amperes AS "current", temperature, load_percent AS "load", score AS "failureRiskScore", status"""
+_RAW = f"""'ST' AS topic, CAST(topic_partition AS INTEGER) AS "partition", event_id AS "offset",
+  ts AS "kafkaTimestamp", {_FIELDS}"""
+
+
 def _cell(column: str) -> str:
     """Three decimals as the report prints them: half up on the decimal digits of the double
     (C's printf rounds its binary value, which differs where the fourth decimal is a final 5)."""
@@ -633,6 +736,11 @@ earlier AS (
 
 
 def oracle_sql() -> dict[str, str]:
+    """The SQL of every query that has one."""
+    return _lake_sql() | (llm.SQL if llm else {}) | ({"pipeline": corpus.ORACLE_SQL} if corpus and corpus.ORACLE_SQL else {})
+
+
+def _lake_sql() -> dict[str, str]:
     detected = f"WITH {_DETECTED} SELECT * FROM detected"
     gold = (
         f'WITH {_GOLD} SELECT "transformerId", "windowStart", "windowEnd", region, voltage, "current", '
@@ -650,7 +758,7 @@ def oracle_sql() -> dict[str, str]:
         "lake_round_trip": gold,
         "regions_highest_risk": f'WITH {_GOLD} {_REGIONS} ORDER BY "averageRisk" DESC, region',
         "transformers_most_alerts": transformers + ' ORDER BY alerts DESC, "averageRisk" DESC, 1',
-        "statistics_round_trip": transformers,
+        "statistics_round_trip": transformers + ' ORDER BY alerts DESC, "averageRisk" DESC, 1',
         "average_load_by_hour": f"WITH {_GOLD} {_LOAD} ORDER BY hour",
         "failure_risk_trend": f'WITH {_GOLD} {_TREND} ORDER BY "windowStart"',
         "report_regions": f"""WITH {_GOLD}, answer AS ({_REGIONS})
@@ -675,9 +783,24 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'silver', CAST(count(*) AS BIGINT) FROM silver
             UNION ALL SELECT 'gold', CAST(count(*) AS BIGINT) FROM gold""",
         "bronze_round_trip": f"""WITH {_READINGS}
-            SELECT 'ST' AS topic, CAST(topic_partition AS INTEGER) AS "partition", event_id AS "offset",
-                   ts AS "kafkaTimestamp", sensor_id AS "sensorId", status, false AS "hasNewline"
-            FROM readings""",
+            SELECT {_RAW}, false AS "hasNewline" FROM readings""",
+        "bronze_two_landings": f"WITH {_READINGS} SELECT {_RAW} FROM readings",
+        "bounded_landing": f"WITH {_READINGS} SELECT {_RAW} FROM readings",
+        "fan_out": f"""WITH {_DETECTED}
+            SELECT CAST(topic_partition AS INTEGER) AS "partition", CAST(count(*) AS BIGINT) AS records,
+                   any_value(found) AS alerts
+            FROM readings LEFT JOIN (
+              SELECT CAST(substr("transformerId", 4) AS BIGINT) % 6 AS place, CAST(count(*) AS BIGINT) AS found
+              FROM detected GROUP BY 1) ON place = topic_partition
+            GROUP BY 1""",
+        "gold_wide_values": f"""WITH {_SILVER}, wide AS (
+              SELECT *, date_trunc('hour', "eventTime") AS "windowStart",
+                     CASE WHEN CAST(substr("sensorId", 3) AS BIGINT) % 5 = 0 THEN voltage * 1e9 ELSE voltage END AS v
+              FROM silver)
+            SELECT "transformerId", region, "windowStart", CAST(count(*) AS BIGINT) AS "measurementCount",
+                   CAST(floor(CASE WHEN max(v) >= 1e10 THEN avg(v)
+                              ELSE {_mean("CASE WHEN v < 1e10 THEN v END")} END) AS BIGINT) AS voltage
+            FROM wide GROUP BY 1, 2, 3""",
         "risk_score": f"""WITH {_READINGS}, parts AS (
               SELECT event_id,
                 greatest(0.0E0, least(1.0E0, (temperature - 60.0E0) / 40.0E0)) AS t,
@@ -697,9 +820,7 @@ def oracle_sql() -> dict[str, str]:
             FROM words""",
         "readings_accepted": f"""WITH {_READINGS}
             SELECT CAST(topic_partition AS INTEGER) AS "partition", event_id AS "offset",
-                   sensor_id AS "sensorId", transformer_id AS "transformerId", ts_text AS "timestamp",
-                   r_name AS region, voltage, load_percent AS "load", status
-            FROM readings WHERE status IS NOT NULL""",
+                   {_FIELDS} FROM readings WHERE status IS NOT NULL""",
         "readings_quarantined": f"""WITH {_READINGS}
             SELECT CAST(topic_partition AS INTEGER) AS "partition", event_id AS "offset"
             FROM readings WHERE status IS NULL""",
@@ -766,6 +887,11 @@ def oracle_sql() -> dict[str, str]:
         "notification_outbox": f"""WITH {_NOTIFIED}
             SELECT "alertId", "detectedAt", subject, body, 'ops@example.com grid@example.com' AS recipients
             FROM rendered WHERE claimed""",
+        "outbox_after_failure": f"""WITH {_STORED}, again AS (
+              SELECT * FROM stored WHERE severity = 'CRITICAL'
+              QUALIFY row_number() OVER (PARTITION BY "alertId" ORDER BY "partition", "offset") = 1)
+            SELECT "alertId", "detectedAt", '[CRITICAL] Smart Grid alert in new ' || region AS subject FROM again
+            WHERE "alertId" IN (SELECT "alertId" FROM history WHERE severity = 'CRITICAL')""",
         "notification_ledger": f"""WITH {_NOTIFIED}
             SELECT "alertId", severity, "detectedAt", final AS status,
                    CASE WHEN final <> 'FAILED' THEN NULL WHEN claimed THEN 'connection refused'

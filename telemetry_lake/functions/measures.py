@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 def stable_avg(value: Column) -> Column:
     """Mean that does not depend on summation order, so retries and other engines agree bit for bit.
 
-    Values are summed as decimals with 10 places. NaN, infinities and magnitudes of 10^10 and
-    more have no decimal form and are left out of the mean.
+    Values are summed as decimals with 10 places. Where a value has no such form (NaN, infinities
+    and magnitudes of 10^10 and more), the mean is the plain one, and NaN spreads as it always does.
     """
     exact = value.try_cast("decimal(20,10)")
-    return F.sum(exact).cast("double") / F.count(exact)
+    stable = F.sum(exact).cast("double") / F.count(exact)
+    return F.when(F.count(exact) == F.count(value), stable).otherwise(F.avg(value))
 
 
 def load_ratio(load: Column) -> Column:
@@ -29,7 +30,3 @@ def event_time(text: Column) -> Column:
     """
     plain = F.translate(text, "TZ", " ")
     return F.when(plain.rlike(r"^\s*[+-]?\d{4}"), F.try_to_timestamp(plain))
-
-
-def epoch_millis(instant: Column) -> Column:
-    return F.unix_millis(instant)

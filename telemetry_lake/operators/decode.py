@@ -152,20 +152,25 @@ def accepted(decoded: DataFrame) -> DataFrame:
     return decoded.filter("isValid").drop("isValid")
 
 
-def timed_readings(decoded: DataFrame) -> DataFrame:
+def _with_event_time(decoded: DataFrame) -> DataFrame:
+    """A reading whose own timestamp cannot be read counts at the time of its record."""
+    return decoded.withColumn("eventTime", F.coalesce(event_time(F.col("timestamp")), F.col("kafkaTimestamp")))
+
+
+def timed_readings(decoded: DataFrame, instant: str = "eventTime") -> DataFrame:
     """Accepted readings with their place in the topic and an event time, without the payload.
 
-    A reading whose own timestamp cannot be read counts at the time of its record.
+    Readings without the instant that the clock goes by (`eventTime` or `kafkaTimestamp`) are left to
+    `quarantined`; the other instant may be missing.
     """
-    instant = F.coalesce(event_time(F.col("timestamp")), F.col("kafkaTimestamp"))
-    return (
-        accepted(decoded)
-        .drop("value", "topic")
-        .withColumn("eventTime", instant)
-        .filter(F.col("eventTime").isNotNull())
-    )
+    timed = _with_event_time(accepted(decoded))
+    return timed.filter(F.col(instant).isNotNull()).drop("value", "topic")
 
 
-def quarantined(decoded: DataFrame, raw_columns: list[str]) -> DataFrame:
-    """The untouched input rows of messages that were refused."""
-    return decoded.filter(~F.col("isValid")).select(*raw_columns)
+def quarantined(decoded: DataFrame, raw_columns: list[str], instant: str | None = None) -> DataFrame:
+    """The untouched input rows of messages that were refused; with `instant` also those of readings
+    that have no such time."""
+    if instant is None:
+        return decoded.filter(~F.col("isValid")).select(*raw_columns)
+    timed = _with_event_time(decoded)
+    return timed.filter(~F.col("isValid") | F.col(instant).isNull()).select(*raw_columns)

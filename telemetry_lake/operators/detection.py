@@ -6,13 +6,13 @@ when its streak is at least `window_millis` old. Gaps between readings do not en
 a streak that has alerted keeps alerting.
 
 Order matters, yet one transformer may own a third of all readings, so no task may need a whole
-history. Each history is cut into *slices* of bounded size:
+history. Each history is cut into *slices* by the order itself: a stretch of event time, or a
+stretch of offsets of one topic partition. Which slice a reading is in is plain arithmetic on its own
+columns, whatever the size of the input.
 
-1. A hash sample of the readings gives the cut points. Where they fall only decides the balance
-   of the tasks, never the answer.
-2. Window functions run per (transformer, slice): the one shuffle of the readings.
-3. Every slice is summed up in one row, the rows of a transformer are chained, and the streak
-   that is open where a slice begins is handed to it through a small join.
+1. Window functions run per (transformer, slice): the one shuffle of the readings.
+2. Every slice is summed up in one row, the rows of a transformer are chained, and the streak
+   that is open where a slice begins is handed to it through a join on the same two keys.
 """
 
 from __future__ import annotations
@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from telemetry_lake.functions.severity import at_least, reason_of, severity_of_score
 from telemetry_lake.schemas import ALERT, READING_FIELDS, AlertRules
 
-# Upper bound on the cut points of one run, whatever the size of the input. A cut is a short
-# struct, so their broadcast stays within some megabytes.
-MAX_CUTS = 100_000
-ROWS_PER_SLICE = 1_000_000
+# Widths of a slice: a day of event time in microseconds, and a stretch of offsets. They decide how
+# much of one transformer's history meets in a task, never the answer.
+EVENT_WIDTH = 24 * 3600 * 1_000_000
+OFFSET_WIDTH = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -42,13 +42,27 @@ class Clock:
     instant: str
     # Only event time can run backwards between micro-batches.
     can_be_late: bool
+    # The default width of a slice.
+    width: int
+
+    def slice(self, width: int | None = None) -> Column:
+        """The slice of a reading: it never falls along the order."""
+        stretch = self.width if width is None else width
+        if self.can_be_late:
+            return F.struct(F.lit(0).alias("part"), _stretch(F.unix_micros("eventTime"), stretch).alias("stretch"))
+        return F.struct(F.col("partition").alias("part"), _stretch(F.col("offset"), stretch).alias("stretch"))
+
+
+def _stretch(place: Column, width: int) -> Column:
+    """Whole widths below a place, exact for 64-bit integers."""
+    return ((place - F.pmod(place, F.lit(width))) / width).cast("bigint")
 
 
 # As the readings arrived: replays give the same answer because the topic keeps its timestamps.
-ARRIVAL = Clock(order=("partition", "offset"), instant="kafkaTimestamp", can_be_late=False)
+ARRIVAL = Clock(order=("partition", "offset"), instant="kafkaTimestamp", can_be_late=False, width=OFFSET_WIDTH)
 # As the sensors saw it.
 EVENT = Clock(
-    order=("eventTime", "sensorId", "partition", "offset"), instant="eventTime", can_be_late=True
+    order=("eventTime", "sensorId", "partition", "offset"), instant="eventTime", can_be_late=True, width=EVENT_WIDTH
 )
 
 
@@ -57,8 +71,8 @@ def alert_id(*parts: str) -> Column:
     return F.sha2(F.concat_ws("|", *[F.col(part).cast("string") for part in parts]), 256)
 
 
-def keyed_readings(readings: DataFrame, clock: Clock, rules: AlertRules) -> DataFrame:
-    """Key, order, clock and level of each reading, with the reading itself where it may alert.
+def keyed_readings(readings: DataFrame, clock: Clock, rules: AlertRules, width: int | None = None) -> DataFrame:
+    """Key, slice, order, clock and level of each reading, with the reading itself where it may alert.
 
     Readings below the warning threshold only end streaks, so their payload is dropped before
     anything is shuffled.
@@ -67,6 +81,7 @@ def keyed_readings(readings: DataFrame, clock: Clock, rules: AlertRules) -> Data
     level = F.when(at_least(score, rules.critical), 2).when(at_least(score, rules.warning), 1).otherwise(0)
     return readings.select(
         "transformerId",
+        clock.slice(width).alias("slice"),
         F.struct(*clock.order).alias("seq"),
         F.unix_millis(clock.instant).alias("now"),
         level.alias("level"),
@@ -77,53 +92,6 @@ def keyed_readings(readings: DataFrame, clock: Clock, rules: AlertRules) -> Data
     )
 
 
-def cut_points(keyed: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """Per transformer the sorted cut points, about one per `rows_per_slice` readings.
-
-    A reading is a cut if the hash of its key and position says so, which gives a recomputed
-    task the same cuts. The share shrinks with the input so that MAX_CUTS holds.
-    """
-    rows = keyed.agg(F.count(F.lit(1)).alias("rows")).select(
-        F.greatest(F.lit(rows_per_slice).cast("bigint"), F.ceil(F.col("rows") / MAX_CUTS)).alias("every")
-    )
-    chosen = F.pmod(F.xxhash64("transformerId", "seq"), rows.scalar()) == 0
-    return (
-        keyed.filter(chosen)
-        .groupBy("transformerId")
-        .agg(F.array_sort(F.collect_set("seq")).alias("cuts"))
-    )
-
-
-def _cuts_up_to(cuts: Column, seq: Column) -> Column:
-    """How many sorted cuts are <= seq: a binary search, 17 steps at MAX_CUTS."""
-
-    def step(found: Column, _: Column) -> Column:
-        low, high = found["low"], found["high"]
-        middle = F.floor((low + high) / 2).cast("int")
-        passed = F.get(cuts, middle) <= seq
-        narrowed = F.struct(
-            F.when(passed, middle + 1).otherwise(low).alias("low"),
-            F.when(passed, high).otherwise(middle).alias("high"),
-        )
-        return F.when(low < high, narrowed).otherwise(found)
-
-    start = F.struct(F.lit(0).alias("low"), F.size(cuts).alias("high"))
-    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(cuts) + 1)).cast("int"))
-    return F.aggregate(steps, start, step, lambda found: found["low"])
-
-
-def sliced(keyed: DataFrame, cuts: DataFrame, only_cut: bool = False) -> DataFrame:
-    """Adds `slice`; a transformer without cuts is one slice (or left out by `only_cut`).
-
-    No shuffle: the cuts are broadcast, and MAX_CUTS bounds them.
-    """
-    return (
-        keyed.join(F.broadcast(cuts), "transformerId", "inner" if only_cut else "left")
-        .withColumn("slice", F.when(F.col("cuts").isNull(), 0).otherwise(_cuts_up_to(F.col("cuts"), F.col("seq"))))
-        .drop("cuts")
-    )
-
-
 def streaks_within_slices(rows: DataFrame) -> DataFrame:
     """Adds `since` (start of the open streak as far as the slice knows) and `broken` (a lower
     reading came before in this slice). Late readings are passed over."""
@@ -190,36 +158,30 @@ def alerts_of(rows: DataFrame, rules: AlertRules) -> DataFrame:
     )
 
 
-def resolve(rows: DataFrame, carried: DataFrame, small: bool) -> DataFrame:
+def resolve(rows: DataFrame, carried: DataFrame) -> DataFrame:
     """Replace `since` by the carried streak for readings before the first break of a slice."""
     handed = carried.filter(F.col("carried").isNotNull()).select("transformerId", "slice", "carried")
-    joined = rows.join(F.broadcast(handed) if small else handed, ["transformerId", "slice"], "left")
+    joined = rows.join(handed, ["transformerId", "slice"], "left")
     return joined.withColumn(
         "since", F.when(~F.col("broken") & F.col("carried").isNotNull(), F.col("carried")).otherwise(F.col("since"))
     )
 
 
 def detect(
-    readings: DataFrame,
-    clock: Clock = EVENT,
-    rules: AlertRules = AlertRules(),
-    rows_per_slice: int = ROWS_PER_SLICE,
+    readings: DataFrame, clock: Clock = EVENT, rules: AlertRules = AlertRules(), width: int | None = None
 ) -> DataFrame:
     """All alerts of a complete set of readings (the replay form of the detector).
 
-    `readings` needs the reading fields and the columns of the clock. They are read three times
-    (cut points, slice ends, alerts), so pass a table rather than undecoded messages; the row
-    count is then read from the file footers.
+    `readings` needs the reading fields and the columns of the clock. They are read twice (slice ends
+    and alerts), so pass a table rather than undecoded messages. `width` is that of a slice, in
+    microseconds of event time or in offsets.
     """
     # Nothing is late in a complete set.
-    keyed = keyed_readings(readings, clock, rules).withColumn("late", F.lit(False))
-    cuts = cut_points(keyed, rows_per_slice)
-    # Only histories that were cut have anything to hand over, and the payload stays behind.
-    # The result has at most two rows per cut.
-    narrow = keyed.select("transformerId", "seq", "now", "level", "late")
-    carried = chain(slice_ends(streaks_within_slices(sliced(narrow, cuts, only_cut=True))))
-    local = streaks_within_slices(sliced(keyed, cuts))
-    return alerts_of(resolve(local, carried, small=True), rules)
+    keyed = keyed_readings(readings, clock, rules, width).withColumn("late", F.lit(False))
+    # The payload stays behind where only the slice ends are wanted.
+    narrow = keyed.select("transformerId", "slice", "seq", "now", "level", "late")
+    carried = chain(slice_ends(streaks_within_slices(narrow)))
+    return alerts_of(resolve(streaks_within_slices(keyed), carried), rules)
 
 
 def as_messages(alerts: DataFrame, topic: str = "ST2") -> DataFrame:

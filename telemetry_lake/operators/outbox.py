@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from telemetry_lake.functions.messages import notification_body, notification_subject, notification_text
 from telemetry_lake.functions.severity import CRITICAL
 from telemetry_lake.functions.text import address_list
+from telemetry_lake.operators.history import first_arrivals
 from telemetry_lake.schemas import LEDGER
 
 # The states of a notification.
@@ -85,9 +86,13 @@ def claim(
     return _entries(claimed, F.lit(SENDING), F.lit(None), now, 2)
 
 
-def outbox(claims: DataFrame, history: DataFrame, recipients: str) -> DataFrame:
-    """The claimed notifications as they are to be sent."""
-    return history.join(claims.select("alertId"), "alertId", "left_semi").select(
+def outbox(claims: DataFrame, critical_arrivals: DataFrame, recipients: str) -> DataFrame:
+    """The claimed notifications as they are to be sent: the first critical arrival of each claimed id.
+
+    What arrived is rendered, not what is stored: an id may come again with another payload.
+    """
+    arrived = first_arrivals(critical_arrivals.join(claims.select("alertId"), "alertId", "left_semi"))
+    return arrived.select(
         "alertId",
         "detectedAt",
         notification_subject().alias("subject"),
@@ -97,14 +102,14 @@ def outbox(claims: DataFrame, history: DataFrame, recipients: str) -> DataFrame:
 
 
 def record(results: DataFrame, history: DataFrame, ledger: DataFrame, now: Column) -> DataFrame:
-    """Entries for delivery results `(alertId, error)`: FAILED with its text, or SENT.
+    """Entries for delivery results `(alertId, error, sequence)`: FAILED with its text, or SENT.
 
     Results for alerts that were never stored change nothing. Of several results for one alert
-    any failure counts, and its text is kept.
+    the one with the highest sequence counts.
     """
     outcome = (
         results.groupBy("alertId")
-        .agg(F.max("error").alias("failure"))
+        .agg(F.max_by(F.struct("error"), F.col("sequence"))["error"].alias("failure"))
         .join(history.select("alertId"), "alertId", "left_semi")
     )
     state = _state_of(outcome, ledger).join(outcome, "alertId")

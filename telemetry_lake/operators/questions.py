@@ -13,6 +13,18 @@ from telemetry_lake.functions.measures import stable_avg
 
 PREVIEW_ROWS = 20
 
+# How each answer is ordered; a minus stands for descending, and the last key is unique.
+ORDERS = {
+    "regions-highest-risk": ("-averageRisk", "region"),
+    "transformers-most-alerts": ("-alerts", "-averageRisk", "transformerId"),
+    "average-load-by-hour": ("hour",),
+    "failure-risk-trend": ("windowStart",),
+}
+
+
+def ordering(name: str) -> list[Column]:
+    return [F.desc(key[1:]) if key.startswith("-") else F.asc(key) for key in ORDERS[name]]
+
 
 def regions_highest_risk(gold: DataFrame) -> DataFrame:
     return (
@@ -22,7 +34,7 @@ def regions_highest_risk(gold: DataFrame) -> DataFrame:
             F.max("maxFailureRiskScore").alias("highestRisk"),
             F.sum("measurementCount").alias("measurements"),
         )
-        .orderBy(F.desc("averageRisk"), "region")
+        .orderBy(*ordering("regions-highest-risk"))
     )
 
 
@@ -33,7 +45,7 @@ def transformers_most_alerts(gold: DataFrame) -> DataFrame:
             F.sum("alertCount").alias("alerts"),
             stable_avg(F.col("failureRiskScore")).alias("averageRisk"),
         )
-        .orderBy(F.desc("alerts"), F.desc("averageRisk"), "transformerId")
+        .orderBy(*ordering("transformers-most-alerts"))
     )
 
 
@@ -41,7 +53,7 @@ def average_load_by_hour(gold: DataFrame) -> DataFrame:
     return (
         gold.groupBy(F.hour("windowStart").alias("hour"))
         .agg(stable_avg(F.col("load")).alias("averageLoad"))
-        .orderBy("hour")
+        .orderBy(*ordering("average-load-by-hour"))
     )
 
 
@@ -49,7 +61,7 @@ def failure_risk_trend(gold: DataFrame) -> DataFrame:
     return (
         gold.groupBy("windowStart", "windowEnd")
         .agg(stable_avg(F.col("failureRiskScore")).alias("averageRisk"))
-        .orderBy("windowStart")
+        .orderBy(*ordering("failure-risk-trend"))
     )
 
 

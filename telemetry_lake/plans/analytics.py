@@ -9,21 +9,21 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from telemetry_lake.operators.questions import QUESTIONS, report_preview
+from telemetry_lake.operators.questions import QUESTIONS, ordering, report_preview
 from telemetry_lake.schemas import GOLD
 from telemetry_lake.session import configure
 from telemetry_lake.sources.lake import read_layer, read_statistics, write_statistics
 
 
 def answer_all(gold: DataFrame, stats_path: str) -> dict[str, DataFrame]:
-    """Compute and save every answer once; what is returned reads the saved files."""
+    """Compute and save every answer once; what is returned reads the saved files, in the answer's order."""
     spark = gold.sparkSession
     saved = {}
     for name, question in QUESTIONS.items():
         answer = question(gold)
         path = f"{stats_path}/{name}"
         write_statistics(answer, path)
-        saved[name] = read_statistics(spark, path, answer.schema)
+        saved[name] = read_statistics(spark, path, answer.schema).orderBy(*ordering(name))
     return saved
 
 

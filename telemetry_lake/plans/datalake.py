@@ -1,6 +1,8 @@
 """Bronze to silver to gold.
 
-    python -m telemetry_lake.plans.datalake BRONZE SILVER GOLD
+    python -m telemetry_lake.plans.datalake BRONZE SILVER GOLD [RECORDS]
+
+BRONZE is a landed folder, or `objects:FOLDER` for one object per record. RECORDS bounds the records taken.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from telemetry_lake.operators.gold import to_gold
 from telemetry_lake.operators.silver import parse_text_readings, to_silver
 from telemetry_lake.schemas import GOLD, SILVER, AlertRules
 from telemetry_lake.session import configure
-from telemetry_lake.sources.bronze import read_landed
+from telemetry_lake.sources.bronze import first_records, read_bronze
 from telemetry_lake.sources.lake import read_layer, write_layer
 
 
@@ -39,9 +41,9 @@ def layer_counts(bronze: DataFrame, silver: DataFrame, gold: DataFrame) -> dict[
 
 
 def main(args: list[str]) -> None:
-    bronze_path, silver_path, gold_path = args
+    bronze_path, silver_path, gold_path, *bound = args
     spark = configure(SparkSession.builder.appName("telemetry-datalake").getOrCreate())
-    bronze = read_landed(spark, bronze_path)
+    bronze = first_records(read_bronze(spark, bronze_path), int(bound[0]) if bound else None)
     silver, gold = build_layers(bronze, silver_path, gold_path)
     print("[datalake]", layer_counts(bronze, silver, gold))
     spark.stop()

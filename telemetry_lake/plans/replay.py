@@ -1,6 +1,8 @@
 """Alerts of a whole bronze archive, without a stream.
 
     python -m telemetry_lake.plans.replay BRONZE READINGS ALERTS
+
+BRONZE is a landed folder, or `objects:FOLDER` for one object per record.
 """
 
 from __future__ import annotations
@@ -10,10 +12,10 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 
 from telemetry_lake.operators.decode import decode_readings, timed_readings
-from telemetry_lake.operators.detection import EVENT, ROWS_PER_SLICE, Clock, detect
+from telemetry_lake.operators.detection import EVENT, Clock, detect
 from telemetry_lake.schemas import AlertRules
 from telemetry_lake.session import configure
-from telemetry_lake.sources.bronze import read_landed
+from telemetry_lake.sources.bronze import read_bronze
 
 
 def replay(
@@ -21,19 +23,19 @@ def replay(
     readings_path: str,
     clock: Clock = EVENT,
     rules: AlertRules = AlertRules(),
-    rows_per_slice: int = ROWS_PER_SLICE,
+    width: int | None = None,
 ) -> DataFrame:
     """Decode bronze once into a table, then detect over that table's columns."""
-    readings = timed_readings(decode_readings(bronze))
+    readings = timed_readings(decode_readings(bronze), clock.instant)
     readings.write.mode("overwrite").parquet(readings_path)
     table = bronze.sparkSession.read.schema(readings.schema).parquet(readings_path)
-    return detect(table, clock, rules, rows_per_slice)
+    return detect(table, clock, rules, width)
 
 
 def main(args: list[str]) -> None:
     bronze_path, readings_path, alerts_path = args
     spark = configure(SparkSession.builder.appName("telemetry-replay").getOrCreate())
-    replay(read_landed(spark, bronze_path), readings_path).write.mode("overwrite").parquet(alerts_path)
+    replay(read_bronze(spark, bronze_path), readings_path).write.mode("overwrite").parquet(alerts_path)
     spark.stop()
 
 

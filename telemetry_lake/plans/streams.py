@@ -1,11 +1,15 @@
 """The three streaming services, from Kafka or from folders of records.
 
-    python -m telemetry_lake.plans.streams land   SOURCE BRONZE CHECKPOINT
-    python -m telemetry_lake.plans.streams detect SOURCE ROOT CHECKPOINT
-    python -m telemetry_lake.plans.streams handle SOURCE ROOT CHECKPOINT RECIPIENTS
+    python -m telemetry_lake.plans.streams land    SOURCE BRONZE CHECKPOINT
+    python -m telemetry_lake.plans.streams detect  SOURCE ROOT CHECKPOINT
+    python -m telemetry_lake.plans.streams handle  SOURCE ROOT CHECKPOINT RECIPIENTS [RECLAIM_AFTER]
+    python -m telemetry_lake.plans.streams publish MESSAGES kafka:SERVERS/TOPIC CHECKPOINT
 
-SOURCE is a folder, or `kafka:SERVERS/TOPIC` where the Kafka package is installed. Landing and
-detection of one topic are two queries with a checkpoint each, so either can be stopped alone.
+SOURCE is a folder, or `kafka:SERVERS/TOPIC` where the Kafka package is installed; `?max=N` behind it
+sets how many files or offsets a micro-batch takes at most, so a backlog is worked off in bounded
+steps. Landing and detection of one topic are two queries with a checkpoint each, so either can be
+stopped alone. `publish` sends the detector's messages to a topic. RECLAIM_AFTER is an interval such as
+"15 minutes" after which a claimed notification may be claimed again.
 """
 
 from __future__ import annotations
@@ -16,20 +20,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from telemetry_lake.session import configure
-from telemetry_lake.sources.topics import file_stream, kafka_stream
-from telemetry_lake.streaming.detector import DetectorPaths, detect_stream
+from telemetry_lake.sources.topics import file_stream, kafka_sink, kafka_stream
+from telemetry_lake.streaming.detector import MESSAGE_SCHEMA, DetectorPaths, detect_stream
 from telemetry_lake.streaming.handler import HandlerPaths, handle_stream
 from telemetry_lake.streaming.landing import land
 
 
+# What a micro-batch takes where the source does not say.
+MAX_OFFSETS = 5_000_000
+MAX_FILES = 1_000
+
+
+def _topic_of(source: str) -> tuple[str, str]:
+    servers, _, topic = source.removeprefix("kafka:").rpartition("/")
+    return servers, topic
+
+
 def records(spark: SparkSession, source: str) -> DataFrame:
+    source, _, bound = source.partition("?max=")
     if source.startswith("kafka:"):
-        servers, _, topic = source.removeprefix("kafka:").rpartition("/")
-        return kafka_stream(spark, servers, topic)
-    return file_stream(spark, source)
+        return kafka_stream(spark, *_topic_of(source), int(bound or MAX_OFFSETS))
+    return file_stream(spark, source, int(bound or MAX_FILES))
+
+
+def handler_paths(root: str, checkpoint: str) -> HandlerPaths:
+    folders = (f"{root}/{name}" for name in ("history", "ledger", "outbox", "quarantine"))
+    return HandlerPaths(*folders, checkpoint)
 
 
 def start(spark: SparkSession, service: str, source: str, target: str, checkpoint: str, *rest: str) -> StreamingQuery:
+    if service == "publish":
+        messages = file_stream(spark, f"{source}/run=*/batch=*", MAX_FILES, MESSAGE_SCHEMA)
+        return kafka_sink(messages, *_topic_of(target), checkpoint).start()
     stream = records(spark, source)
     if service == "land":
         return land(stream, target, checkpoint)
@@ -43,15 +65,9 @@ def start(spark: SparkSession, service: str, source: str, target: str, checkpoin
         )
         return detect_stream(stream, paths)
     if service == "handle":
-        (recipients,) = rest
-        paths = HandlerPaths(
-            history=f"{target}/history",
-            ledger=f"{target}/ledger",
-            outbox=f"{target}/outbox",
-            quarantine=f"{target}/quarantine",
-            checkpoint=checkpoint,
-        )
-        return handle_stream(stream, paths, recipients)
+        recipients, *reclaim_after = rest
+        paths = handler_paths(target, checkpoint)
+        return handle_stream(stream, paths, recipients, reclaim_after=reclaim_after[0] if reclaim_after else None)
     raise ValueError(f"unknown service: {service}")
 
 

@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
-TEXT_FIELDS = ("sensorId", "transformerId", "timestamp", "region", "status")
 NUMBER_FIELDS = ("voltage", "current", "temperature", "load", "failureRiskScore")
 
 # Field order of one reading on the wire.

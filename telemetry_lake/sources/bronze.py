@@ -42,6 +42,13 @@ def read_objects(spark: SparkSession, path: str, topic: str | None = None) -> Da
     )
 
 
+def read_bronze(spark: SparkSession, source: str) -> DataFrame:
+    """Each record of a bronze folder once: as landed, or `objects:FOLDER` for one object per record."""
+    if source.startswith("objects:"):
+        return distinct_records(read_objects(spark, source.removeprefix("objects:")))
+    return distinct_records(read_landed(spark, source))
+
+
 def distinct_records(bronze: DataFrame) -> DataFrame:
     """One row per (topic, partition, offset), for a topic landed more than once."""
     return bronze.dropDuplicates(["topic", "partition", "offset"])

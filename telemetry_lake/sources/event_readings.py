@@ -21,14 +21,8 @@ EVENTS_SCHEMA = (
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events, spread over the cores where there are fewer files than cores.
-
-    Building and parsing JSON is the heavy part of these plans, and one small file would leave
-    it to one core. With as many files as cores, as on a cluster, nothing is shuffled.
-    """
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores, "event_id")
+    """The events as they lie in their files."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:

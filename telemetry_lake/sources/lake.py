@@ -33,8 +33,8 @@ def read_layer(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 
 def write_statistics(answer: DataFrame, path: str) -> None:
-    """An ordered answer as JSON. AQE merges a small answer into one file; a large one comes as
-    several, whose names follow the order, rather than through a single task."""
+    """An answer as JSON. AQE merges a small answer into one file; a large one comes as several rather
+    than through a single task. Readers sort it again: files are read in no particular order."""
     answer.write.mode("overwrite").json(path)
 
 

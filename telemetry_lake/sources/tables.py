@@ -46,15 +46,21 @@ def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(full).parquet(path)
 
 
-def write_batch(rows: DataFrame, path: str, run: str, batch: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{path}/run={run}/batch={batch}")
+def write_batch(rows: DataFrame, path: str, run: str, batch: int, *partitioned: str) -> None:
+    writer = rows.write.mode("overwrite")
+    (writer.partitionBy(*partitioned) if partitioned else writer).parquet(f"{path}/run={run}/batch={batch}")
 
 
-def read_version(spark: SparkSession, path: str, schema: StructType, run: str, version: int) -> DataFrame:
-    """One whole snapshot, empty where it was never written."""
+def read_version(
+    spark: SparkSession, path: str, schema: StructType, run: str, version: int, first: bool = False
+) -> DataFrame:
+    """One whole snapshot. Only before the `first` batch there is none; later a missing or unfinished
+    one is an error, because going on without it would forget what it held."""
     folder = f"{path}/run={run}/batch={version}"
-    if not _exists(spark, folder):
+    if first:
         return spark.createDataFrame([], schema)
+    if not _exists(spark, f"{folder}/_SUCCESS"):
+        raise FileNotFoundError(f"no finished snapshot in {folder}")
     return spark.read.schema(schema).parquet(folder)
 
 

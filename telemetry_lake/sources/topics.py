@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import StructType
 
 from telemetry_lake.schemas import BRONZE
 
@@ -33,16 +34,21 @@ def kafka_stream(
     )
 
 
-def file_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+def file_stream(
+    spark: SparkSession, path: str, max_files_per_trigger: int | None = None, schema: StructType = BRONZE
+) -> DataFrame:
     """Records from a folder of Parquet files, oldest file first."""
-    reader = spark.readStream.schema(BRONZE)
+    reader = spark.readStream.schema(schema)
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(path).select(*BRONZE.names)
+    return reader.parquet(path).select(*schema.names)
 
 
 def kafka_sink(messages: DataFrame, servers: str, topic: str, checkpoint: str) -> DataStreamWriter:
-    """Writer for a stream of `key, value` rows; the key keeps a transformer in one partition."""
+    """Writer for a stream of `key, value` rows; the key keeps a transformer in one partition.
+
+    Needs the Kafka package, so no test here has run it.
+    """
     return (
         messages.select("key", "value")
         .writeStream.format("kafka")

@@ -18,17 +18,14 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from telemetry_lake.operators.decode import decode_readings, quarantined, timed_readings
 from telemetry_lake.operators.detection import (
-    ROWS_PER_SLICE,
     Clock,
     EVENT,
     alerts_of,
     as_messages,
     chain,
-    cut_points,
     keyed_readings,
     resolve,
     slice_ends,
-    sliced,
     streaks_within_slices,
 )
 from telemetry_lake.schemas import BRONZE, STREAK, AlertRules
@@ -51,7 +48,7 @@ def advance(
     streaks: DataFrame,
     clock: Clock = EVENT,
     rules: AlertRules = AlertRules(),
-    rows_per_slice: int = ROWS_PER_SLICE,
+    width: int | None = None,
     keep: Callable[[DataFrame], DataFrame] = lambda data: data,
 ) -> tuple[DataFrame, DataFrame]:
     """Alerts of the new readings and the streaks after them.
@@ -59,8 +56,7 @@ def advance(
     A reading older than the last one of its transformer came late: it leaves the streak alone,
     and only a critical one still alerts. `keep` may cache what is used more than once.
     """
-    keyed = keyed_readings(readings, clock, rules)
-    rows = keep(sliced(keyed, cut_points(keyed, rows_per_slice)))
+    rows = keyed_readings(readings, clock, rules, width)
     # The old state is handed to slices, not to rows: this join is on (transformer, slice) like
     # the windows after it, so it adds no shuffle of the readings and no heavy key.
     touched = rows.groupBy("transformerId", "slice").agg(F.count(F.lit(1)).alias("rows")).drop("rows")
@@ -72,13 +68,14 @@ def advance(
     rows = keep(streaks_within_slices(rows.withColumn("late", late).drop("lastMillis")))
 
     # An open streak enters the chain as a slice of its own before the first.
+    before_all = F.struct(F.lit(-1).alias("part"), F.lit(0).cast("bigint").alias("stretch"))
     entering = (
         state.filter(F.col("since").isNotNull())
-        .select("transformerId", F.lit(-1).alias("slice"), F.lit(True).alias("broken"), "since", F.col("lastMillis").alias("now"))
+        .select("transformerId", before_all.alias("slice"), F.lit(True).alias("broken"), "since", F.col("lastMillis").alias("now"))
         .distinct()
     )
     chained = keep(chain(slice_ends(rows).unionByName(entering)))
-    alerts = alerts_of(resolve(rows, chained.filter("slice >= 0"), small=False), rules)
+    alerts = alerts_of(resolve(rows, chained.filter("slice.part >= 0")), rules)
 
     after = chained.groupBy("transformerId").agg(
         F.max_by("open", "slice").alias("newSince"), F.max("now").alias("newMillis")
@@ -99,7 +96,7 @@ def detect_stream(
     paths: DetectorPaths,
     clock: Clock = EVENT,
     rules: AlertRules = AlertRules(),
-    rows_per_slice: int = ROWS_PER_SLICE,
+    width: int | None = None,
     bounded: bool = False,
 ) -> StreamingQuery:
     """Write alert messages for a stream of sensor records; refused records go to the quarantine
@@ -116,13 +113,14 @@ def detect_stream(
 
         decoded = keep(decode_readings(batch))
         try:
-            write_batch(quarantined(decoded, BRONZE.names), paths.quarantine, run, batch_id)
-            # Detection reads its input several times: give it a narrow typed table.
-            typed = timed_readings(decoded)
+            refused = quarantined(decoded, BRONZE.names, clock.instant)
+            write_batch(refused, paths.quarantine, run, batch_id)
+            # Detection reads its input twice: give it a narrow typed table.
+            typed = timed_readings(decoded, clock.instant)
             write_batch(typed, paths.readings, run, batch_id)
             readings = read_version(spark, paths.readings, typed.schema, run, batch_id)
-            before = read_version(spark, paths.streaks, STREAK, run, batch_id - 1)
-            alerts, after = advance(readings, before, clock, rules, rows_per_slice, keep)
+            before = read_version(spark, paths.streaks, STREAK, run, batch_id - 1, first=batch_id == 0)
+            alerts, after = advance(readings, before, clock, rules, width, keep)
             write_batch(as_messages(alerts), paths.messages, run, batch_id)
             write_batch(after, paths.streaks, run, batch_id)
             # A retry needs the snapshot before this batch, and makes its own readings.

@@ -52,14 +52,15 @@ def handle_stream(
 
             history = read_table(spark, paths.history, HISTORY)
             ledger = read_before(spark, paths.ledger, LEDGER, run, batch_id)
-            critical = arrived.filter(F.col("severity") == CRITICAL).select("alertId").distinct()
-            prepared = notifications.prepare(critical, ledger, instant)
-            claimed = notifications.claim(critical, history, ledger, instant, reclaim_after)
+            critical = arrived.filter(F.col("severity") == CRITICAL)
+            ids = critical.select("alertId").distinct()
+            prepared = notifications.prepare(ids, ledger, instant)
+            claimed = notifications.claim(ids, history, ledger, instant, reclaim_after)
             write_batch(prepared.unionByName(claimed), paths.ledger, run, batch_id)
 
             claims = read_table(spark, f"{paths.ledger}/run={run}/batch={batch_id}", LEDGER)
             due = claims.filter(F.col("status") == notifications.SENDING)
-            write_batch(notifications.outbox(due, history, recipients), paths.outbox, run, batch_id)
+            write_batch(notifications.outbox(due, critical, recipients), paths.outbox, run, batch_id)
         finally:
             decoded.unpersist()
 
@@ -68,7 +69,7 @@ def handle_stream(
 
 
 def record_results(results: DataFrame, paths: HandlerPaths, run: str, batch: int, now: Column) -> None:
-    """Append the delivery results `(alertId, error)` of one send to the ledger."""
+    """Append the delivery results `(alertId, error, sequence)` of one send to the ledger."""
     spark = results.sparkSession
     history = read_table(spark, paths.history, HISTORY)
     ledger = read_before(spark, paths.ledger, LEDGER, run, batch)

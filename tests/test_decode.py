@@ -49,8 +49,8 @@ def test_numeric_text_extra_fields_and_null_numbers_are_taken(spark):
 
 def test_alert_round_trip(spark):
     (row,) = accepted(decode_alerts(topic(spark, [alert()]))).collect()
-    assert (row.alertId, row.severity, row.detectedAt) == ("alert-001", "CRITICAL", 1782412800000)
-    assert (row.source.region, row.source.failureRiskScore) == ("Paris-13", 0.91)
+    assert (row.alertId, row.severity, row.detectedAt) == ("n-1", "CRITICAL", 1801627506000)
+    assert (row.source.region, row.source.failureRiskScore) == ("Hillside West", 0.97)
 
 
 @pytest.mark.parametrize(

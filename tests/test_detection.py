@@ -7,10 +7,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from telemetry_lake.operators.decode import accepted, decode_readings, timed_readings
-from telemetry_lake.operators.detection import (
-    ARRIVAL, EVENT, MAX_CUTS, cut_points, detect, keyed_readings, sliced,
-)
+from telemetry_lake.operators.decode import accepted, decode_readings, quarantined, timed_readings
+from telemetry_lake.operators.detection import ARRIVAL, EVENT, detect, keyed_readings
 from telemetry_lake.plans.replay import replay
 from telemetry_lake.schemas import READING, STREAK, AlertRules
 from telemetry_lake.streaming.detector import advance
@@ -65,14 +63,14 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("slice_rows", [1, 1_000_000])
+@pytest.mark.parametrize("width", [1, 3, None])
 @pytest.mark.parametrize("clock", [EVENT, ARRIVAL], ids=["event", "arrival"])
-def test_rule(spark, clock, slice_rows):
+def test_rule(spark, clock, width):
     rows = [
         (case, offset, *step) for case, (steps, _) in CASES.items() for offset, step in enumerate(steps)
     ]
     expected = {(case, offset, word) for case, (_, words) in CASES.items() for offset, word in words.items()}
-    assert found(detect(readings(spark, rows), clock, rows_per_slice=slice_rows)) == expected
+    assert found(detect(readings(spark, rows), clock, width=width)) == expected
 
 
 def hot_rows(count, seed):
@@ -87,11 +85,11 @@ def hot_rows(count, seed):
     return rows
 
 
-@pytest.mark.parametrize("slice_rows", [1, 60, 10_000])
-def test_slices_never_change_the_answer(spark, slice_rows):
-    rows = hot_rows(1500, seed=slice_rows)
+@pytest.mark.parametrize("width", [1, 60, 10_000])
+def test_slices_never_change_the_answer(spark, width):
+    rows = hot_rows(1500, seed=width)
     expected = brute_force(rows, window=5.0)
-    got = detect(readings(spark, rows), ARRIVAL, AlertRules(window_millis=5000), slice_rows)
+    got = detect(readings(spark, rows), ARRIVAL, AlertRules(window_millis=5000), width)
     assert found(got) == expected and {s for _, _, s in expected} == {"CRITICAL", "WARNING"}
 
 
@@ -100,35 +98,38 @@ def test_slices_never_change_the_answer(spark, slice_rows):
     st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 4), st.sampled_from([0.1, 0.8, 0.85, 0.95])), max_size=40),
     st.integers(1, 6),
 )
-def test_any_history(spark, steps, slice_rows):
+def test_any_history(spark, steps, width):
     rows, now = [], 0
     for offset, (transformer, gap, score) in enumerate(steps):
         now += gap
         rows.append((transformer, offset, now, score))
     rules = AlertRules(window_millis=4000)
-    assert found(detect(readings(spark, rows), ARRIVAL, rules, slice_rows)) == brute_force(rows, 4.0)
+    assert found(detect(readings(spark, rows), ARRIVAL, rules, width)) == brute_force(rows, 4.0)
 
 
 def test_hot_transformer_is_spread_over_slices(spark):
     rows = hot_rows(3000, seed=1)
-    keyed = keyed_readings(readings(spark, rows), ARRIVAL, AlertRules())
-    sizes = sliced(keyed, cut_points(keyed, 50)).groupBy("transformerId", "slice").count()
+    keyed = keyed_readings(readings(spark, rows), ARRIVAL, AlertRules(), 50)
+    sizes = keyed.groupBy("transformerId", "slice").count()
     hot = sizes.filter("transformerId = 'hot'").agg(F.count("*"), F.max("count"), F.sum("count")).first()
-    assert hot[0] > 20 and hot[1] < 600 and hot[2] == sum(1 for r in rows if r[0] == "hot")
+    assert hot[0] == 60 and hot[1] <= 50 and hot[2] == sum(1 for r in rows if r[0] == "hot")
 
 
-def test_cuts_are_bounded_however_small_the_slices(spark):
-    rows = spark.range(400_000).select(
-        F.lit("hot").alias("transformerId"), F.struct("id").alias("seq")
-    )
-    cuts = cut_points(rows, 1).agg(F.sum(F.size("cuts"))).first()[0]
-    assert 0.9 * MAX_CUTS < cuts < 1.1 * MAX_CUTS
+@pytest.mark.parametrize("width", [1, 7, 10**6])
+def test_slices_follow_the_order(spark, width):
+    rows = [("t", offset, offset - 5, 0.9) for offset in range(-3, 40)]
+    for clock in (ARRIVAL, EVENT):
+        got = keyed_readings(readings(spark, rows), clock, AlertRules(), width).orderBy("seq").collect()
+        slices = [tuple(r.slice) for r in got]
+        assert slices == sorted(slices)
+        if clock is ARRIVAL:
+            assert [s[1] for s in slices] == [offset // width for offset in range(-3, 40)]
 
 
 def test_plan_shuffles_readings_once_and_by_slice(spark):
     keyed = keyed_readings(readings(spark, hot_rows(50, 3)), EVENT, AlertRules())
     plan = detect(readings(spark, hot_rows(50, 3)))._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert not any(name in plan for name in ("CartesianProduct", "BroadcastNestedLoopJoin", "aggregate(", "cuts"))
     assert "hashpartitioning(transformerId" in plan and "slice" in plan
     low = keyed.filter("level = 0").select(F.max(F.col("source").isNotNull())).first()[0]
     assert low is False
@@ -141,7 +142,7 @@ def test_ids_repeat_on_replay_and_differ_for_copies(spark):
     assert len({r.alertId for r in first}) == 2
     assert {r.alertId for r in first} == {r.alertId for r in again}
     assert first[0].reason == "failureRiskScore=0.95 -> CRITICAL (warn>=0.8, crit>=0.9)"
-    assert first[0].detectedAt == 1782388800000 and first[0].source.status == "NORMAL"
+    assert first[0].detectedAt == 1801627200000 and first[0].source.status == "NORMAL"
 
 
 def test_replay_job(spark, tmp_path):
@@ -154,28 +155,36 @@ def test_replay_job(spark, tmp_path):
 def test_unreadable_timestamp_counts_at_the_record_time(spark):
     bronze = topic(spark, [reading(failureRiskScore=0.95, timestamp="zz")], start=7)
     (row,) = detect(timed_readings(decode_readings(bronze))).collect()
-    assert row.detectedAt == 1782388807000 and row.source.timestamp == "zz"
+    assert row.detectedAt == 1801627207000 and row.source.timestamp == "zz"
+
+
+def test_readings_without_the_clocks_instant_are_quarantined(spark):
+    raw = topic(spark, [reading(timestamp="zz"), reading(), "junk"]).withColumn("kafkaTimestamp", F.lit(None).cast("timestamp"))
+    decoded = decode_readings(raw)
+    for clock, kept in ((EVENT, {1}), (ARRIVAL, set())):
+        assert {r.offset for r in timed_readings(decoded, clock.instant).collect()} == kept
+        assert {r.offset for r in quarantined(decoded, raw.columns, clock.instant).collect()} == {0, 1, 2} - kept
 
 
 # ------------------------------------------------------------ micro-batches
 
 
-def run_batches(spark, batches, clock, rules, slice_rows):
+def run_batches(spark, batches, clock, rules, width):
     streaks, got = spark.createDataFrame([], STREAK), set()
     for rows in batches:
-        alerts, after = advance(readings(spark, rows), streaks, clock, rules, slice_rows, lambda d: d.persist())
+        alerts, after = advance(readings(spark, rows), streaks, clock, rules, width, lambda d: d.persist())
         got |= found(alerts)
         streaks = spark.createDataFrame(after.collect(), STREAK)
     return got, {r.transformerId: (r.since, r.lastMillis) for r in streaks.collect()}
 
 
-@pytest.mark.parametrize(("clock", "slice_rows"), [(EVENT, 20), (ARRIVAL, 20), (EVENT, 100_000)])
-def test_micro_batches_equal_the_replay(spark, clock, slice_rows):
+@pytest.mark.parametrize(("clock", "width"), [(EVENT, 20_000_000), (ARRIVAL, 20), (EVENT, None)])
+def test_micro_batches_equal_the_replay(spark, clock, width):
     rows = hot_rows(600, seed=11)
     rows = [(t, o, o, s) for t, o, _, s in rows]
     batches = [rows[:150], rows[150:151], rows[151:400], rows[400:]]
     rules = AlertRules(window_millis=8000)
-    got, _ = run_batches(spark, batches, clock, rules, slice_rows)
+    got, _ = run_batches(spark, batches, clock, rules, width)
     assert got == brute_force(rows, 8.0)
 
 
@@ -194,7 +203,7 @@ def test_late_reading_leaves_the_streak_alone(spark):
     ]
     got, state = run_batches(spark, batches, EVENT, AlertRules(), 1000)
     assert got == {("a", 2, "CRITICAL"), ("a", 4, "WARNING")}
-    assert state["a"] == (1782388900000, 1782388930000)
+    assert state["a"] == (1801627300000, 1801627330000)
 
 
 def test_late_and_timely_readings_in_one_batch(spark):

@@ -52,28 +52,28 @@ def test_insert_if_absent(spark):
 def sample(spark):
     return stored(
         spark,
-        alert("alert-001", "WARNING"),
-        alert("alert-002", "CRITICAL", region="Lyon-07"),
-        alert("alert-003", "INFO", region=" "),
-        alert("alert-004", "CRITICAL", region="lyon-07"),
+        alert("n-1", "WARNING"),
+        alert("n-2", "CRITICAL", region="Harbour"),
+        alert("n-3", "INFO", region=" "),
+        alert("n-4", "CRITICAL", region="harbour"),
     ).withColumn("detectedAt", F.col("offset"))
 
 
 def test_region_filter_ignores_case_and_blanks(spark):
     rows = sample(spark)
-    assert [r.alertId for r in history.in_region(rows, "paris-13").collect()] == ["alert-001"]
-    assert [r.alertId for r in history.in_region(rows, " LYON-07\n").collect()] == ["alert-004", "alert-002"]
-    assert [r.alertId for r in history.in_region(rows, None).collect()] == ["alert-003"]
+    assert [r.alertId for r in history.in_region(rows, "hillside west").collect()] == ["n-1"]
+    assert [r.alertId for r in history.in_region(rows, " HARBOUR\n").collect()] == ["n-4", "n-2"]
+    assert [r.alertId for r in history.in_region(rows, None).collect()] == ["n-3"]
 
 
 def test_order_limit_and_panel(spark):
     rows = sample(spark)
-    assert [r.alertId for r in history.newest_first(rows).collect()] == ["alert-004", "alert-003", "alert-002", "alert-001"]
-    assert [r.alertId for r in history.recent(rows, 2).collect()] == ["alert-004", "alert-003"]
-    assert [r.alertId for r in history.critical_only(rows).collect()] == ["alert-004", "alert-002"]
+    assert [r.alertId for r in history.newest_first(rows).collect()] == ["n-4", "n-3", "n-2", "n-1"]
+    assert [r.alertId for r in history.recent(rows, 2).collect()] == ["n-4", "n-3"]
+    assert [r.alertId for r in history.critical_only(rows).collect()] == ["n-4", "n-2"]
     panel = history.latest_panel(rows).collect()
     assert [(r.badge, r.region) for r in panel] == [
-        ("critical", "lyon-07"), ("unknown", "unknown-region"), ("critical", "Lyon-07"), ("warning", "Paris-13"),
+        ("critical", "harbour"), ("unknown", "unknown-region"), ("critical", "Harbour"), ("warning", "Hillside West"),
     ]
     assert "TakeOrderedAndProject" in history.recent(rows)._jdf.queryExecution().executedPlan().toString()
 
@@ -82,7 +82,7 @@ def test_counts(spark):
     rows = sample(spark)
     assert history.counts(rows).first().asDict() == {"total": 4, "warning": 1, "critical": 2, "unknown": 1}
     assert [tuple(r) for r in history.counts_by_region(rows).collect()] == [
-        ("Lyon-07", 1), ("Paris-13", 1), ("lyon-07", 1), ("unknown-region", 1),
+        ("Harbour", 1), ("Hillside West", 1), ("harbour", 1), ("unknown-region", 1),
     ]
     assert history.service_summary(rows, "ST2").first().asDict() == {
         "status": "ok", "service": "alert-handler", "kafkaTopic": "ST2", "totalAlerts": 4,
@@ -99,10 +99,10 @@ def test_log_lines(spark):
     rows = stored(spark, alert("a", "warning"), alert("b", "critical"), alert("c", "minor", region=""))
     lines = {r.alertId: r.logLine for r in history.log_lines(rows).collect()}
     assert lines["a"] == (
-        "[WARNING] alert=a transformer=transformer-42 region=Paris-13 reason=failureRiskScore=0.91 -> CRITICAL"
+        "[WARNING] alert=a transformer=unit-b17 region=Hillside West reason=score too high"
     )
     assert lines["b"].splitlines()[1:4] == [
-        "[CRITICAL] SMART GRID ALERT", "Alert id    : b", "Transformer : transformer-42",
+        "[CRITICAL] SMART GRID ALERT", "Alert id    : b", "Transformer : unit-b17",
     ]
     assert lines["b"].splitlines()[0] == lines["b"].splitlines()[-1] == "=" * 60
     assert lines["c"].startswith("[UNKNOWN SEVERITY] alert=c severity=MINOR region=unknown-region")

@@ -62,7 +62,7 @@ def test_answers_are_saved_in_order(spark, tmp_path):
     assert set(saved) == set(QUESTIONS)
     (part,) = Path(tmp_path / "stats" / "regions-highest-risk").glob("*.json")
     assert [json.loads(line)["region"] for line in part.read_text().splitlines()] == ["b", "a"]
-    assert saved["average-load-by-hour"].first().asDict() == {"hour": 12, "averageLoad": 0.5}
+    assert saved["average-load-by-hour"].first().asDict() == {"hour": 4, "averageLoad": 0.5}
 
 
 def test_null_fields_are_left_out_of_json(spark, tmp_path):

@@ -33,8 +33,8 @@ def critical(rows):
 def test_notification_text_carries_the_reading(spark):
     rows = arrivals(spark, alert())
     body = rows.select(notification_text(F.lit("not sent yet")).alias("x")).first().x
-    assert body.startswith("Subject: [CRITICAL] Smart Grid alert in Paris-13\nDelivery: not sent yet\n\nAlert id: ")
-    assert "\nTransformer: transformer-42\n" in body and "\nFailure risk score: 0.91\n" in body
+    assert body.startswith("Subject: [CRITICAL] Smart Grid alert in Hillside West\nDelivery: not sent yet\n\nAlert id: ")
+    assert "\nTransformer: unit-b17\n" in body and "\nFailure risk score: 0.97\n" in body
     assert body.endswith("Recommended action:\nInspect the impacted grid equipment.")
 
 
@@ -73,7 +73,8 @@ def test_record_and_report(spark):
     rows = arrivals(spark, alert("a"), alert("b"), alert("c", "WARNING"), alert("d"))
     stored = history.first_arrivals(rows)
     results = spark.createDataFrame(
-        [("a", None), ("b", None), ("b", "refused"), ("ghost", "x")], "alertId string, error string"
+        [("a", "timeout", 1), ("a", None, 2), ("b", "refused", 9), ("b", None, 3), ("ghost", "x", 1)],
+        "alertId string, error string, sequence int",
     )
     entries = outbox.record(results, stored, spark.createDataFrame([], LEDGER), now())
     assert statuses(entries) == {"a": "SENT", "b": "FAILED"}
@@ -91,6 +92,13 @@ def test_outbox_rows(spark):
     rows = arrivals(spark, alert("a"), alert("b"))
     stored = history.first_arrivals(rows)
     claims = outbox.claim(rows.filter("alertId = 'b'"), stored, spark.createDataFrame([], LEDGER), now())
-    (row,) = outbox.outbox(claims, stored, "x@y.z; x@y.z\nq@y.z").collect()
-    assert (row.alertId, row.subject) == ("b", "[CRITICAL] Smart Grid alert in Paris-13")
+    (row,) = outbox.outbox(claims, critical(rows), "x@y.z; x@y.z\nq@y.z").collect()
+    assert (row.alertId, row.subject) == ("b", "[CRITICAL] Smart Grid alert in Hillside West")
     assert row.recipients == ["x@y.z", "q@y.z"] and "Alert id: b" in row.body
+
+
+def test_the_arriving_alert_is_rendered(spark):
+    stored = history.first_arrivals(arrivals(spark, alert("a", region="Old")))
+    again = arrivals(spark, alert("a", region="New"), alert("a", region="Newer"))
+    claims = outbox.claim(again, stored, ledger(spark, ("a", "FAILED", "x")), now())
+    assert [r.subject for r in outbox.outbox(claims, again, "x@y.z").collect()] == ["[CRITICAL] Smart Grid alert in New"]

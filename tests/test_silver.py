@@ -15,7 +15,7 @@ def silver_rows(spark, *values):
 def test_clean_reading(spark):
     (row,) = silver_rows(spark, reading(sensorId=" S-1 ", region=" Ile-de-France ", status=" overload "))
     assert row.asDict() | {"eventTime": None} == {
-        "sensorId": "s-1", "transformerId": "tr-1", "timestamp": "2026-06-25T12:00:00Z",
+        "sensorId": "s-1", "transformerId": "tr-1", "timestamp": "2027-02-03T04:00:00Z",
         "region": "ile-de-france", "voltage": 230.0, "current": 10.0, "temperature": 40.0, "load": 0.5,
         "failureRiskScore": 0.5, "status": "OVERLOAD", "eventTime": None, "isAlert": True,
     }

@@ -1,12 +1,13 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from telemetry_lake.operators import outbox
 from telemetry_lake.operators.decode import accepted, decode_alerts, decode_readings, timed_readings
 from telemetry_lake.operators.detection import ARRIVAL, EVENT, detect
 from telemetry_lake.schemas import BRONZE, HISTORY, LEDGER, STREAK, AlertRules
-from telemetry_lake.sources.bronze import read_landed
+from telemetry_lake.sources.bronze import read_bronze, read_landed
 from telemetry_lake.sources.tables import read_table, read_version, run_name
 from telemetry_lake.sources.topics import file_stream
 from telemetry_lake.streaming.detector import MESSAGE_SCHEMA, DetectorPaths, detect_stream
@@ -35,7 +36,7 @@ def test_landing_strips_line_breaks_and_restarts_without_copies(spark, tmp_path)
     send(topic(spark, ["d"], partition=3, start=9), source)
     run()
     assert read_landed(spark, lake).count() == 3
-    assert {p.name for p in (tmp_path / "bronze").glob("partition=*")} == {"partition=2", "partition=3"}
+    assert {p.name for p in (tmp_path / "bronze").glob("run=*/batch=*/partition=*")} == {"partition=2", "partition=3"}
 
 
 def test_landing_takes_some_files_per_micro_batch(spark, tmp_path):
@@ -48,6 +49,24 @@ def test_landing_takes_some_files_per_micro_batch(spark, tmp_path):
     assert read_landed(spark, str(tmp_path / "b")).count() == 3
 
 
+def test_a_second_checkpoint_neither_loses_nor_doubles(spark, tmp_path):
+    lake = str(tmp_path / "bronze")
+    send(topic(spark, ["a", "b", "c"]), tmp_path / "one")
+    send(topic(spark, ["b", "c", "d", "e", "f"], start=1), tmp_path / "two")
+    send(topic(spark, ["other"], partition=4), tmp_path / "two")
+    for source, checkpoint in (("one", "c1"), ("two", "c2"), ("one", "c3")):
+        land(file_stream(spark, str(tmp_path / source)), lake, str(tmp_path / checkpoint), bounded=True).awaitTermination()
+    got = sorted((r.partition, r.offset, r.value) for r in read_landed(spark, lake).collect())
+    assert got == [(0, n, v) for n, v in enumerate("abcdef")] + [(4, 0, "other")]
+    assert read_bronze(spark, lake).count() == 7
+
+
+def test_a_missing_snapshot_is_an_error(spark, tmp_path):
+    read_version(spark, str(tmp_path), STREAK, "r", -1, first=True)
+    with pytest.raises(FileNotFoundError):
+        read_version(spark, str(tmp_path), STREAK, "r", 3)
+
+
 def detector(tmp_path, name="cp"):
     return DetectorPaths(
         messages=str(tmp_path / "messages"), quarantine=str(tmp_path / "quarantine"),
@@ -78,7 +97,7 @@ def test_stream_equals_replay_over_restarts(spark, tmp_path):
             whole.append(part)
             send(part.union(topic(spark, ["junk"], partition=1, start=first)), source)
             detect_stream(
-                file_stream(spark, str(source)), paths, clock, rules, 3, bounded=True
+                file_stream(spark, str(source)), paths, clock, rules, 3 if clock is ARRIVAL else 3_000_000, bounded=True
             ).awaitTermination()
         messages = spark.read.schema(MESSAGE_SCHEMA).parquet(paths.messages)
         got = {(r.alertId, r.severity, r.detectedAt) for r in accepted(decode_alerts(messages)).collect()}
@@ -124,13 +143,13 @@ def test_handler_replay_changes_nothing(spark, tmp_path):
     send(topic(spark, [alert("a", reason="late copy"), alert("c", "minor"), alert("d")], start=4), source)
     run("first")
     history = lambda: {(r.alertId, r.reason, r.severity) for r in read_table(spark, str(tmp_path / "history"), HISTORY).collect()}
-    reason = "failureRiskScore=0.91 -> CRITICAL"
+    reason = "score too high"
     expected = {("a", reason, "CRITICAL"), ("b", reason, "WARNING"), ("c", reason, "UNKNOWN"), ("d", reason, "CRITICAL")}
     assert history() == expected
     sent = [r.alertId for r in spark.read.parquet(str(tmp_path / "outbox")).collect()]
     assert sorted(sent) == ["a", "d"]
 
-    results = spark.createDataFrame([("a", None), ("d", "refused")], "alertId string, error string")
+    results = spark.createDataFrame([("a", None, 0), ("d", "refused", 0)], "alertId string, error string, sequence int")
     record_results(results, handler(tmp_path, "first"), "deliveries", 0, now())
     before = read_table(spark, str(tmp_path / "history"), HISTORY).count()
     run("second")
