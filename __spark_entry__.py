@@ -453,8 +453,9 @@ def outbox_after_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(EARLIER).cast("timestamp").alias("updatedAt"),
         F.lit(0).cast("bigint").alias("revision"),
     )
+    place = F.concat(F.lit("new "), F.col("region"))
     again = arrived.filter(F.col("severity") == severity.CRITICAL).withColumn(
-        "region", F.concat(F.lit("new "), F.col("region"))
+        "source", F.col("source").withField("region", place)
     )
     claims = notes.claim(again, history, failed, F.lit(NOW))
     return notes.outbox(claims, again, RECIPIENTS).select("alertId", "detectedAt", "subject")
