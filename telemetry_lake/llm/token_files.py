@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from telemetry_lake.llm import tokens
-from telemetry_lake.llm.common import configure, file_store, table, texts
+from telemetry_lake.llm.common import configure, file_store, partitions, table, texts
 from telemetry_lake.session import scratch_dir
 
 MAGIC = b"TKP1"
@@ -210,8 +210,8 @@ def read(files: TokenFiles) -> DataFrame:
                         rows, held = [], 0
                 yield _batch(rows)
 
-    # A task per file: the names are dealt out by themselves.
-    names = files.manifest.select("name", "base").repartition("name")
+    # The rows are few and small, the files they name are not: a number keeps Spark from merging the tasks.
+    names = files.manifest.select("name", "base").repartition(partitions(files.manifest.sparkSession), "name")
     return names.mapInArrow(read_part, "doc_id long, start long, ids binary")
 
 

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemetry_lake.llm.common import configure, file_store, stored, table
+from telemetry_lake.llm.common import configure, file_store, partitions, stored, table
 from telemetry_lake.session import scratch_dir
 
 REVISIT = 100
@@ -339,7 +339,8 @@ def lookup(index: Index, keys: DataFrame) -> DataFrame:
             yield _captures(rows)
 
     dealt = keys.select(F.coalesce("key", F.lit("")).alias("key")).distinct().mapInArrow(deal, "key string, file string")
-    return dealt.repartition("file").sortWithinPartitions("file", "key").mapInArrow(find, CAPTURE)
+    # A number keeps Spark from merging tasks whose few rows stand for many reads.
+    return dealt.repartition(partitions(spark), "file").sortWithinPartitions("file", "key").mapInArrow(find, CAPTURE)
 
 
 # ---------------------------------------------------------------- reading
@@ -382,7 +383,7 @@ def read_captures(captures: DataFrame, folder: str) -> DataFrame:
 
     # Pieces of an archive file of READ bytes are dealt out, so a large file is read by many tasks.
     piece = F.floor(F.col("offset") / READ)
-    dealt = captures.repartition("file", piece).sortWithinPartitions("file", "offset")
+    dealt = captures.repartition(partitions(captures.sparkSession), "file", piece).sortWithinPartitions("file", "offset")
     return dealt.select("file", "offset", "length").mapInArrow(read, READ_BACK)
 
 
