@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import functools
+import os
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +22,16 @@ ARROW_BYTES = 16 << 20
 
 
 def configure(spark: SparkSession) -> None:
-    """Bound the Arrow batches; everything else is left as the cluster has it."""
+    """Bound the Arrow batches; everything else is left as the cluster has it.
+
+    Workers on this machine also get the folder of this package, wherever the session was started; on
+    a cluster the package is installed or sent along as usual.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    environment = spark.sparkContext.environment
+    paths = [str(Path(__file__).resolve().parents[2]), *environment.get("PYTHONPATH", "").split(os.pathsep)]
+    environment["PYTHONPATH"] = os.pathsep.join(dict.fromkeys(filter(None, paths)))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
