@@ -8,11 +8,16 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
+# Partitions of a table that is read by key.
+BUCKETS = 64
 _OWNER = [StructField("run", StringType()), StructField("batch", LongType())]
+_BUCKET = StructField("bucket", IntegerType())
+# The partition columns of a table of states.
+STATE_PLACE = [*_OWNER, _BUCKET]
 
 
 def run_name(checkpoint: str) -> str:
@@ -25,46 +30,67 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """All rows so far; a table nobody wrote to is empty."""
-    return _read(spark, path, schema).select(*schema.names)
+def bucket(key: str) -> Column:
+    """The partition of a key in a table that is read by key: a micro-batch reads the buckets it touches."""
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("bucket")
 
 
-def read_before(spark: SparkSession, path: str, schema: StructType, run: str, batch: int) -> DataFrame:
+def buckets_of(rows: DataFrame, key: str) -> list[int]:
+    """The buckets of the rows' keys, at most BUCKETS numbers."""
+    return [r.bucket for r in rows.select(bucket(key)).distinct().collect()]
+
+
+def read_table(spark: SparkSession, path: str, schema: StructType, buckets: list[int] | None = None) -> DataFrame:
+    """All rows so far, of the given buckets only if there are any given; a table nobody wrote to is empty."""
+    return _read(spark, path, schema, buckets).select(*schema.names)
+
+
+def read_before(
+    spark: SparkSession, path: str, schema: StructType, run: str, batch: int, buckets: list[int] | None = None
+) -> DataFrame:
     """The rows a batch may see: not its own from an earlier attempt, nor later ones of its run.
 
-    Both tested columns are partition columns, so the folders left out are not read.
+    All tested columns are partition columns, so the folders left out are not read.
     """
     own = (F.col("run") == run) & (F.col("batch") >= batch)
-    return _read(spark, path, schema).filter(~own).select(*schema.names)
+    return _read(spark, path, schema, buckets).filter(~own).select(*schema.names)
 
 
-def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    full = StructType([*schema.fields, *_OWNER])
+def _read(spark: SparkSession, path: str, schema: StructType, buckets: list[int] | None) -> DataFrame:
+    full = StructType([*schema.fields, *_OWNER, *([] if buckets is None else [_BUCKET])])
     if not _exists(spark, path):
         return spark.createDataFrame([], full)
-    return spark.read.schema(full).parquet(path)
+    rows = spark.read.schema(full).parquet(path)
+    return rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))
 
 
 def write_batch(rows: DataFrame, path: str, run: str, batch: int, *partitioned: str) -> None:
+    """Replace the batch's folder; partitioned rows are dealt so that small partitions are one file each."""
+    if partitioned:
+        rows = rows.hint("rebalance", *[F.col(name) for name in partitioned])
     writer = rows.write.mode("overwrite")
     (writer.partitionBy(*partitioned) if partitioned else writer).parquet(f"{path}/run={run}/batch={batch}")
 
 
-def read_version(
-    spark: SparkSession, path: str, schema: StructType, run: str, version: int, first: bool = False
-) -> DataFrame:
-    """One whole snapshot. Only before the `first` batch there is none; later a missing or unfinished
-    one is an error, because going on without it would forget what it held."""
+def write_bucketed(rows: DataFrame, path: str, run: str, batch: int, key: str) -> None:
+    write_batch(rows.withColumn("bucket", bucket(key)), path, run, batch, "bucket")
+
+
+def read_version(spark: SparkSession, path: str, schema: StructType, run: str, version: int) -> DataFrame:
+    """What one batch wrote; a missing or unfinished version is an error."""
+    folder = f"{path}/run={run}/batch={version}"
+    require_version(spark, path, run, version)
+    return spark.read.schema(schema).parquet(folder).select(*schema.names)
+
+
+def require_version(spark: SparkSession, path: str, run: str, version: int) -> None:
+    """Going on without a version would forget what it held."""
     folder = f"{path}/run={run}/batch={version}"
-    if first:
-        return spark.createDataFrame([], schema)
     if not _exists(spark, f"{folder}/_SUCCESS"):
-        raise FileNotFoundError(f"no finished snapshot in {folder}")
-    return spark.read.schema(schema).parquet(folder)
+        raise FileNotFoundError(f"no finished version in {folder}")
 
 
 def drop_version(spark: SparkSession, path: str, run: str, version: int) -> None:
-    """Remove a snapshot that no retry can need any more."""
+    """Remove a version that no retry can need any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run={run}/batch={version}")
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

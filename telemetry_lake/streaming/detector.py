@@ -2,8 +2,9 @@
 
 Each micro-batch runs the sliced detection of `operators.detection`: a keyed state function
 would hand all new readings of one busy transformer to one task, while slices spread them. The
-open streaks are a snapshot table, one version per micro-batch. A batch reads the version of the
-batch before it, so repeating it after a failure gives the same alerts and the same snapshot.
+open streaks are a table: a batch appends the state of the transformers it brings and reads that of
+the same transformers, pruned by a hash of their id; every WHOLE batches it is written as a whole and older
+batches go. A batch sees the batches before it only, so repeating it gives the same alerts and state.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
@@ -29,8 +30,19 @@ from telemetry_lake.operators.detection import (
     streaks_within_slices,
 )
 from telemetry_lake.schemas import BRONZE, STREAK, AlertRules
-from telemetry_lake.sources.tables import drop_version, read_version, run_name, write_batch
+from telemetry_lake.sources.tables import (
+    STATE_PLACE,
+    buckets_of,
+    drop_version,
+    read_version,
+    require_version,
+    run_name,
+    write_batch,
+    write_bucketed,
+)
 
+# Batches between two that write the state of all transformers.
+WHOLE = 100
 MESSAGE_SCHEMA = StructType([StructField("key", StringType()), *BRONZE.fields])
 
 
@@ -50,11 +62,13 @@ def advance(
     rules: AlertRules = AlertRules(),
     width: int | None = None,
     keep: Callable[[DataFrame], DataFrame] = lambda data: data,
+    closed: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Alerts of the new readings and the streaks after them.
 
     A reading older than the last one of its transformer came late: it leaves the streak alone,
-    and only a critical one still alerts. `keep` may cache what is used more than once.
+    and only a critical one still alerts. `keep` may cache what is used more than once. `closed` keeps
+    streaks that ended, to overrule an older state where only changes are stored.
     """
     rows = keyed_readings(readings, clock, rules, width)
     # The old state is handed to slices, not to rows: this join is on (transformer, slice) like
@@ -85,12 +99,33 @@ def advance(
         F.when(F.col("newMillis").isNotNull(), F.col("newSince")).otherwise(F.col("since")).alias("since"),
         F.greatest("lastMillis", "newMillis").alias("lastMillis"),
     )
-    if not clock.can_be_late:
+    if not clock.can_be_late and not closed:
         # Without late readings only open streaks need remembering.
         updated = updated.filter(F.col("since").isNotNull())
     return alerts, updated.select(*STREAK.names)
 
 
+def streaks_before(
+    spark: SparkSession, path: str, run: str, batch: int, readings: DataFrame | None
+) -> DataFrame:
+    """The state that a batch starts from, of the transformers in `readings` or of all.
+
+    Empty before the first batch; later the batch before must have been written in full.
+    """
+    if batch == 0:
+        return spark.createDataFrame([], STREAK)
+    require_version(spark, path, run, batch - 1)
+    since = (batch - 1) // WHOLE * WHOLE
+    rows = spark.read.schema(StructType([*STREAK.fields, *STATE_PLACE])).parquet(path)
+    rows = rows.filter((F.col("run") == run) & F.col("batch").between(since, batch - 1))
+    if readings is not None:
+        rows = rows.filter(F.col("bucket").isin(buckets_of(readings, "transformerId")))
+        rows = rows.join(readings.select("transformerId").distinct(), "transformerId", "left_semi")
+    rest = [name for name in STREAK.names if name != "transformerId"]
+    latest = rows.groupBy("transformerId").agg(F.max_by(F.struct(*rest), F.col("batch")).alias("state"))
+    return latest.select("transformerId", "state.*").select(*STREAK.names)
+
+
 def detect_stream(
     records: DataFrame,
     paths: DetectorPaths,
@@ -119,13 +154,16 @@ def detect_stream(
             typed = timed_readings(decoded, clock.instant)
             write_batch(typed, paths.readings, run, batch_id)
             readings = read_version(spark, paths.readings, typed.schema, run, batch_id)
-            before = read_version(spark, paths.streaks, STREAK, run, batch_id - 1, first=batch_id == 0)
-            alerts, after = advance(readings, before, clock, rules, width, keep)
+            whole = batch_id % WHOLE == 0
+            before = streaks_before(spark, paths.streaks, run, batch_id, None if whole else readings)
+            alerts, after = advance(readings, before, clock, rules, width, keep, closed=not whole)
             write_batch(as_messages(alerts), paths.messages, run, batch_id)
-            write_batch(after, paths.streaks, run, batch_id)
-            # A retry needs the snapshot before this batch, and makes its own readings.
-            drop_version(spark, paths.streaks, run, batch_id - 2)
+            write_bucketed(after, paths.streaks, run, batch_id, "transformerId")
             drop_version(spark, paths.readings, run, batch_id)
+            if batch_id % WHOLE == 1:
+                # The batch before wrote everything; no retry looks further back.
+                for version in range(batch_id - 1 - WHOLE, batch_id - 1):
+                    drop_version(spark, paths.streaks, run, version)
         finally:
             for data in cached:
                 data.unpersist()

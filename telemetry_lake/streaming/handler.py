@@ -13,7 +13,14 @@ from telemetry_lake.operators import outbox as notifications
 from telemetry_lake.operators.decode import accepted, decode_alerts, quarantined
 from telemetry_lake.operators.history import first_arrivals, not_yet_stored, stored_alerts
 from telemetry_lake.schemas import BRONZE, HISTORY, LEDGER
-from telemetry_lake.sources.tables import read_before, read_table, run_name, write_batch
+from telemetry_lake.sources.tables import (
+    buckets_of,
+    read_before,
+    read_table,
+    run_name,
+    write_batch,
+    write_bucketed,
+)
 
 
 @dataclass(frozen=True)
@@ -35,6 +42,9 @@ def handle_stream(
 ) -> StreamingQuery:
     """Store every new alert once and claim a notification for every critical one.
 
+    History and ledger are partitioned by a hash of the alert id, and a batch reads the partitions of the
+    ids it brings.
+
     A batch sees history and ledger as they were before it, and overwrites only its own folders:
     a retry repeats its rows, and a replay under a new checkpoint finds every id stored.
     """
@@ -47,16 +57,18 @@ def handle_stream(
         try:
             write_batch(quarantined(decoded, BRONZE.names), paths.quarantine, run, batch_id)
             arrived = stored_alerts(accepted(decoded))
-            before = read_before(spark, paths.history, HISTORY, run, batch_id)
-            write_batch(not_yet_stored(first_arrivals(arrived), before), paths.history, run, batch_id)
+            buckets = buckets_of(arrived, "alertId")
+            before = read_before(spark, paths.history, HISTORY, run, batch_id, buckets)
+            new = not_yet_stored(first_arrivals(arrived), before)
+            write_bucketed(new, paths.history, run, batch_id, "alertId")
 
-            history = read_table(spark, paths.history, HISTORY)
-            ledger = read_before(spark, paths.ledger, LEDGER, run, batch_id)
+            history = read_table(spark, paths.history, HISTORY, buckets)
+            ledger = read_before(spark, paths.ledger, LEDGER, run, batch_id, buckets)
             critical = arrived.filter(F.col("severity") == CRITICAL)
             ids = critical.select("alertId").distinct()
             prepared = notifications.prepare(ids, ledger, instant)
             claimed = notifications.claim(ids, history, ledger, instant, reclaim_after)
-            write_batch(prepared.unionByName(claimed), paths.ledger, run, batch_id)
+            write_bucketed(prepared.unionByName(claimed), paths.ledger, run, batch_id, "alertId")
 
             claims = read_table(spark, f"{paths.ledger}/run={run}/batch={batch_id}", LEDGER)
             due = claims.filter(F.col("status") == notifications.SENDING)
@@ -71,7 +83,8 @@ def handle_stream(
 def record_results(results: DataFrame, paths: HandlerPaths, run: str, batch: int, now: Column) -> None:
     """Append the delivery results `(alertId, error, sequence)` of one send to the ledger."""
     spark = results.sparkSession
-    history = read_table(spark, paths.history, HISTORY)
-    ledger = read_before(spark, paths.ledger, LEDGER, run, batch)
+    buckets = buckets_of(results, "alertId")
+    history = read_table(spark, paths.history, HISTORY, buckets)
+    ledger = read_before(spark, paths.ledger, LEDGER, run, batch, buckets)
     entries = notifications.record(results, history, ledger, now)
-    write_batch(entries, paths.ledger, run, batch)
+    write_bucketed(entries, paths.ledger, run, batch, "alertId")

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from datetime import timezone
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,9 +10,10 @@ from telemetry_lake.operators.decode import accepted, decode_alerts, decode_read
 from telemetry_lake.operators.detection import ARRIVAL, EVENT, detect
 from telemetry_lake.schemas import BRONZE, HISTORY, LEDGER, STREAK, AlertRules
 from telemetry_lake.sources.bronze import read_bronze, read_landed
-from telemetry_lake.sources.tables import read_table, read_version, run_name
+from telemetry_lake.sources.tables import buckets_of, read_before, read_table, read_version, run_name, write_bucketed
 from telemetry_lake.sources.topics import file_stream
-from telemetry_lake.streaming.detector import MESSAGE_SCHEMA, DetectorPaths, detect_stream
+from telemetry_lake.streaming import detector as detector_module
+from telemetry_lake.streaming.detector import MESSAGE_SCHEMA, DetectorPaths, detect_stream, streaks_before
 from telemetry_lake.streaming.handler import HandlerPaths, handle_stream, record_results
 from telemetry_lake.streaming.landing import land
 from tests.samples import alert, at, reading, topic
@@ -61,10 +64,10 @@ def test_a_second_checkpoint_neither_loses_nor_doubles(spark, tmp_path):
     assert read_bronze(spark, lake).count() == 7
 
 
-def test_a_missing_snapshot_is_an_error(spark, tmp_path):
-    read_version(spark, str(tmp_path), STREAK, "r", -1, first=True)
+def test_a_missing_state_is_an_error(spark, tmp_path):
+    assert streaks_before(spark, str(tmp_path), "r", 0, None).count() == 0
     with pytest.raises(FileNotFoundError):
-        read_version(spark, str(tmp_path), STREAK, "r", 3)
+        streaks_before(spark, str(tmp_path), "r", 4, None)
 
 
 def detector(tmp_path, name="cp"):
@@ -112,15 +115,30 @@ def test_stream_equals_replay_over_restarts(spark, tmp_path):
         whole.clear()
 
 
-def test_only_needed_snapshots_stay(spark, tmp_path):
+def test_a_batch_writes_the_state_it_touches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(detector_module, "WHOLE", 3)
     paths = detector(tmp_path)
-    for n in range(4):
-        send(records(spark, [0.85, 0.85], start=2 * n), tmp_path / "in")
+    parts = [records(spark, [0.85, 0.85]), *[records(spark, [0.85], start=2 * n) for n in range(1, 5)]]
+    for part in parts:
+        send(part, tmp_path / "in")
         detect_stream(file_stream(spark, str(tmp_path / "in")), paths, bounded=True).awaitTermination()
     run = run_name(paths.checkpoint)
     kept = {p.name for p in (tmp_path / "streaks" / f"run={run}").glob("batch=*")}
-    assert kept == {"batch=2", "batch=3"}
-    assert {r.transformerId for r in read_version(spark, paths.streaks, STREAK, run, 3).collect()} == {"TR-0", "TR-1"}
+    assert kept == {"batch=3", "batch=4"}  # batch 3 wrote everything, and batch 4 dropped what came before
+    assert [r.transformerId for r in read_version(spark, paths.streaks, STREAK, run, 4).collect()] == ["TR-0"]
+    state = {r.transformerId: r.since for r in streaks_before(spark, paths.streaks, run, 5, None).collect()}
+    start = round(at(0).replace(tzinfo=timezone.utc).timestamp() * 1000)
+    assert state == {"TR-0": start, "TR-1": start + 1000}
+
+
+def test_a_batch_reads_the_partitions_of_its_ids(spark, tmp_path):
+    rows = spark.range(500).select(F.format_string("id-%d", "id").alias("alertId"))
+    write_bucketed(rows, str(tmp_path / "t"), "r", 0, "alertId")
+    some = rows.filter("alertId IN ('id-7', 'id-8')")
+    got = read_before(spark, str(tmp_path / "t"), rows.schema, "r", 1, buckets_of(some, "alertId"))
+    assert got.filter("alertId IN ('id-7', 'id-8')").count() == 2 and got.count() < 100
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.partition("PartitionFilters")[2]
 
 
 def handler(tmp_path, name):
