@@ -25,8 +25,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: of each component of near duplicates the document with the smallest doc_id stays.
 
-    Rows that repeat that doc_id stay with it. A row with a null doc_id stays only if no row with an id
-    has its fingerprint.
+    Rows that repeat that doc_id stay with it. Rows with a null doc_id cannot be told apart by it: they stay
+    if one of them has a fingerprint that no row with an id has.
     """
     found = simhash.near_duplicates(docs.select("doc_id", "text"))
     kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()

@@ -1,9 +1,9 @@
 """Operator 4: substring deduplication by paragraph MinHash banding.
 
 Paragraphs are the lines of a text, and runs of WORDS words that begin at places chosen by the text
-itself (the least hash among WORDS neighbours), so that a passage pasted into the middle of a line
-is compared as a paragraph of its own: any passage of 2 * WORDS - 1 words that two documents share
-contains a run chosen in both. Lines are banded by MinHash of their five-word shingles, colliding lines
+itself (the least hash among GAP neighbours), so that a passage pasted into the middle of a line
+is compared as a paragraph of its own: any passage of WORDS + GAP - 1 words that two documents share
+contains a run chosen in both, and of a longer one less than GAP words at either end are left. Lines are banded by MinHash of their five-word shingles, colliding lines
 are verified by exact Jaccard similarity, and lines are clustered by the components of what was
 verified; runs cluster by equality. Of each cluster the members in the document with the smallest doc_id
 stay, and every other member's place is cut from its text.
@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 from telemetry_lake.llm.common import configure, long_lists, stored, table
 from telemetry_lake.llm.components import connected_components
 from telemetry_lake.llm.simhash import forest
-from telemetry_lake.llm.words import mix, shingles, span_hashes, word_spans
+from telemetry_lake.llm.words import mix, run_hashes, shingles, span_hashes, word_spans
 
 WORDS = 20
+GAP = 14
 SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.99
@@ -67,8 +68,7 @@ class Document:
 
     def line_keys(self) -> np.ndarray:
         """A hash of all words of each long line."""
-        placed = [self.words[a:b] + np.arange(b - a, dtype=np.uint64) for a, b in zip(self.first, self.last, strict=True)]
-        return mix(np.array([mix(words).sum(dtype=np.uint64) for words in placed], np.uint64))
+        return run_hashes(self.words, self.first, self.last)
 
     def line_grams(self, k: int) -> np.ndarray:
         return np.unique(self.grams[self.first[k] : self.last[k] - SHINGLE + 1])
@@ -92,8 +92,8 @@ class Document:
         if len(self.words) < WORDS:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         hashes = shingles(self.words, WORDS)
-        if len(hashes) >= WORDS:
-            least = np.lib.stride_tricks.sliding_window_view(hashes, WORDS).argmin(axis=1) + np.arange(len(hashes) - WORDS + 1)
+        if len(hashes) >= GAP:
+            least = np.lib.stride_tricks.sliding_window_view(hashes, GAP).argmin(axis=1) + np.arange(len(hashes) - GAP + 1)
         else:
             least = hashes.argmin(keepdims=True)
         at = np.unique(np.concatenate(([0, len(hashes) - 1], least)))
@@ -116,12 +116,12 @@ def _source(docs: DataFrame) -> DataFrame:
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """Every paragraph's key and place in bytes; lines have bands."""
+    """Every paragraph's key and place in bytes; lines have bands, runs have none."""
 
     def find(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             columns: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (bool, np.int64, np.int64, np.int64, np.int32, np.int32)]
-            bands, known = [], []
+            bands, widths, known = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)], []
             for doc_id, row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _texts(part.column(2)), strict=True):
                 doc = Document(text)
                 at, hashes = doc.runs()
@@ -135,11 +135,14 @@ def units(docs: DataFrame) -> DataFrame:
                 for held, new in zip(columns, (np.arange(n + m) >= n, keys, *same, starts, stops), strict=True):
                     held.append(new)
                 known.append(np.full(n + m, doc_id is not None))
-                bands += [list(b) for b in doc.bands().view(np.int64)] + [None] * m
+                bands.append(doc.bands().view(np.int64).ravel())
+                widths += [np.full(n, BANDS), np.zeros(m, np.int64)]
             run, key, doc_id, row, start, stop = map(np.concatenate, columns)
             missing = ~np.concatenate([np.zeros(0, bool), *known])
+            places = np.cumsum(np.concatenate(widths)).astype(np.int32)
+            banded = pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(bands)))
             arrays = [pa.array(run), pa.array(key), pa.array(doc_id, mask=missing), pa.array(row)]
-            arrays += [pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(bands, pa.list_(pa.int64()))]
+            arrays += [pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), banded]
             yield pa.record_batch(arrays, [f.split()[0] for f in UNITS.split(", ")])
 
     return _source(docs).mapInArrow(find, UNITS)

@@ -1,8 +1,8 @@
 """Hashes of words and word shingles, vectorised over the bytes of one text.
 
 Words are maximal runs of bytes outside space and \\t\\n\\v\\f\\r; A-Z is lower-cased. A word's
-hash is a polynomial in its bytes modulo 2**64, taken from prefix sums, then mixed; a shingle's
-hash is a polynomial in its words' hashes. Equal words give equal hashes everywhere.
+hash is a polynomial in its bytes modulo 2**64, taken from prefix sums, then mixed; the hash of a run of
+words is the same in its words' hashes. Equal words and runs give equal hashes everywhere.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import numpy as np
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 _WORD = 0xD6E8FEB86659FD93 | 1
+_WORD_INVERSE = pow(_WORD, -1, 2**64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -20,7 +21,7 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 # A fixed random value per byte, so that neighbouring letters do not give neighbouring terms.
 _BYTE = np.random.default_rng(7).integers(0, 2**64, 256, np.uint64)
 
-_powers = {_BASE: np.ones(1, np.uint64), _BASE_INVERSE: np.ones(1, np.uint64)}
+_powers = {base: np.ones(1, np.uint64) for base in (_BASE, _BASE_INVERSE, _WORD, _WORD_INVERSE)}
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -60,13 +61,16 @@ def word_hashes(text: str) -> np.ndarray:
     return span_hashes(data, *word_spans(data))
 
 
+def run_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the words in each run, wherever the run lies."""
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * _power(_WORD, len(words)), out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _power(_WORD_INVERSE, len(words) + 1)[starts] + (ends - starts).astype(np.uint64))
+
+
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
     """The hash of every run of `size` words; of all words where there are fewer, none for none."""
     if not len(words):
         return words
-    size = min(size, len(words))
-    last = len(words) - size + 1
-    total = words[:last].copy()
-    for k in range(1, size):
-        total = mix(total * np.uint64(_WORD) + words[k : last + k])
-    return mix(total + np.uint64(size))
+    starts = np.arange(max(1, len(words) - size + 1))
+    return run_hashes(words, starts, np.minimum(starts + size, len(words)))

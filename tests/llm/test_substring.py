@@ -48,7 +48,7 @@ def test_bands_collide_as_often_as_tuned():
 
 def test_any_shared_passage_has_a_common_run():
     for _ in range(100):
-        passage = prose(2 * ss.WORDS - 1)
+        passage = prose(ss.WORDS + ss.GAP - 1)
         a, b = (ss.Document(f"{prose(RNG.randrange(60))} {passage} {prose(RNG.randrange(60))}".encode()) for _ in range(2))
         assert set(a.runs()[1].tolist()) & set(b.runs()[1].tolist())
     assert len(ss.Document(("of " * 5000).encode()).runs()[0]) <= 2
@@ -111,7 +111,7 @@ def test_planted_passages_stay_once(spark):
         before, after = want[i].split(passage)
         kept = texts[i][0]
         assert kept.startswith(before.strip()) and kept.endswith(after.strip())
-        assert len(kept.split()) <= len(before.split()) + len(after.split()) + 2 * (ss.WORDS - 1)
+        assert len(kept.split()) <= len(before.split()) + len(after.split()) + 2 * (ss.GAP - 1)
     assert line not in texts[31][0] or near not in texts[30][0]
     assert texts[30] == [want[30]] and all(line not in texts[30 + i][0] and near not in texts[30 + i][0] for i in range(1, 6))
     assert texts[300][0].strip() == ""
