@@ -1,7 +1,7 @@
 """Operator 6: SentencePiece encoding and decoding over a relational lattice.
 
-A text is marked (a leading and every other space become U+2581) and cut into words that no piece spans. The
-distinct words are encoded once, relationally: substrings up to the longest piece's length are exploded,
+A text is marked (a leading and every other space become U+2581) and cut into words wherever two neighbouring
+characters stand next to each other in no piece, so that no piece spans two words. The distinct words are encoded once, relationally: substrings up to the longest piece's length are exploded,
 joined to the piece table by equality, grouped by word into the edges of its lattice, and the edges are
 folded to a segmentation with Spark's higher-order `aggregate`:
 
@@ -18,19 +18,19 @@ in the shared folder, and a second pass over the same rows writes the ids.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-import regex
 import sentencepiece
 from public_tokenizers import path
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemetry_lake.llm.common import configure, file_store
+from telemetry_lake.llm.common import configure, file_store, partitions
 from telemetry_lake.session import scratch_dir
 
 MODEL = "piece_bpe_32k.model"
@@ -38,12 +38,11 @@ MARK = "▁"
 # Longer words go to the library; a lattice's boundaries are the bits of a 64-bit integer.
 LONGEST = 62
 # Rows of an input file that share a dictionary.
-BLOCK = 1 << 14
+BLOCK = 1 << 13
 # Distinct words a task holds before it hands them on.
-HELD = 1_000_000
+HELD = 500_000
 # What Viterbi charges for a character without a piece.
 UNKNOWN = -100.0
-_WORD = regex.compile(f"{MARK}*[^{MARK}\n\t]+|{MARK}+|[\n\t]")
 
 
 @dataclass(frozen=True)
@@ -57,6 +56,11 @@ class Pieces:
     def longest(self) -> int:
         return max(len(text) for text, _, _ in self.rows)
 
+    @functools.cached_property
+    def neighbours(self) -> frozenset[tuple[str, str]]:
+        """Characters that stand next to each other in some piece."""
+        return frozenset(pair for text, _, _ in self.rows for pair in zip(text, text[1:], strict=False))
+
     def spell(self) -> dict[int, bytes]:
         known = {number: text.replace(MARK, " ").encode() for text, number, _ in self.rows}
         return known | {number: bytes([b]) for b, number in enumerate(self.byte_ids)}
@@ -69,23 +73,28 @@ def _library(model: str) -> sentencepiece.SentencePieceProcessor:
 
 @functools.cache
 def load(model: str = MODEL) -> Pieces:
-    """The model's pieces; an error if a piece spans words, or if there are no pieces for bytes."""
+    """The model's pieces; an error if there are no pieces for bytes."""
     sp = _library(model)
     every = range(sp.get_piece_size())
     special = lambda k: sp.is_control(k) or sp.is_unknown(k) or sp.is_unused(k) or sp.is_byte(k)
     rows = tuple((sp.id_to_piece(k), k, sp.get_score(k)) for k in every if not special(k))
-    spanning = [text for text, _, _ in rows if _WORD.fullmatch(text) is None]
-    if spanning:
-        raise ValueError(f"pieces that span words: {spanning[:5]}")
     byte_ids = {int(sp.id_to_piece(k)[3:5], 16): k for k in every if sp.is_byte(k)}
     if len(byte_ids) != 256:
         raise ValueError("the model has no pieces for bytes")
     return Pieces(rows, tuple(byte_ids[b] for b in range(256)))
 
 
-def words(text: str) -> list[str]:
+def words(text: str, pieces: Pieces) -> list[str]:
     """The marked text's words, one after another."""
-    return _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
+    marked = MARK + text.replace(" ", MARK) if text else ""
+    joined = pieces.neighbours
+    cuts = [k for k, pair in enumerate(zip(marked, marked[1:], strict=False), 1) if pair not in joined]
+    return [marked[a:b] for a, b in zip([0, *cuts], [*cuts, len(marked)], strict=True)] if marked else []
+
+
+def _plain(text: str) -> bool:
+    """Whether the text's words are those of its parts between spaces: every mark follows another character."""
+    return bool(text) and text[0] != " " and "  " not in text and MARK not in text
 
 
 # ---------------------------------------------------------------- lattice
@@ -117,37 +126,42 @@ def _bits(low: Column, high: Column) -> Column:
     return F.call_function("shiftleft", one, high) - F.call_function("shiftleft", one, low)
 
 
+def _ends(e: Column) -> Column:
+    one = F.lit(1).cast("long")
+    return F.call_function("shiftleft", one, e["i"]).bitwiseOR(F.call_function("shiftleft", one, e["j"]))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: a name of its own would be put in wherever it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def merge_fold(word: Column, edges: Column) -> Column:
     """Boundaries of a word after all merges, as bits.
 
     The state is one integer. An edge joins two neighbours if both its ends are boundaries and
     exactly one boundary lies between; edges are in the order of preference: best score, then leftmost.
     """
-    one = F.lit(1).cast("long")
 
     def ready(e: Column) -> Column:
-        ends = F.call_function("shiftleft", one, e["i"]).bitwiseOR(F.call_function("shiftleft", one, e["j"]))
         return F.struct(
-            (-e["score"]).alias("cost"), e["i"].alias("i"), ends.alias("ends"), _bits(e["i"] + 1, e["j"]).alias("inner")
+            (-e["score"]).alias("cost"), e["i"].alias("i"), _ends(e).alias("ends"), _bits(e["i"] + 1, e["j"]).alias("inner")
         )
 
-    long = F.filter(edges, lambda e: (e["j"] - e["i"] > 1) & e["id"].isNotNull())
-    preferred = F.array_sort(F.transform(long, ready))
-    start = F.struct(_bits(F.lit(0), F.length(word) + 1).alias("bounds"), preferred.alias("edges"))
-
-    def step(state: Column, _: Column) -> Column:
-        bounds = state["bounds"]
+    def fold(preferred: Column) -> Column:
+        def step(bounds: Column, _: Column) -> Column:
+            def fits(e: Column) -> Column:
+                both = bounds.bitwiseAND(e["ends"]) == e["ends"]
+                return both & (F.bit_count(bounds.bitwiseAND(e["inner"])) == 1)
 
-        def fits(e: Column) -> Column:
-            both = bounds.bitwiseAND(e["ends"]) == e["ends"]
-            return both & (F.bit_count(bounds.bitwiseAND(e["inner"])) == 1)
+            best = F.get(F.filter(preferred, fits), F.lit(0))
+            return F.coalesce(bounds.bitwiseAND(F.bitwise_not(best["inner"])), bounds)
 
-        best = F.get(F.filter(state["edges"], fits), F.lit(0))
-        joined = bounds.bitwiseAND(F.bitwise_not(best["inner"]))
-        return F.struct(F.coalesce(joined, bounds).alias("bounds"), state["edges"].alias("edges"))
+        times = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(word) - 1))
+        return F.aggregate(times, _bits(F.lit(0), F.length(word) + 1), step)
 
-    times = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(word) - 1))
-    return F.aggregate(times, start, step, lambda state: state["bounds"])
+    long = F.filter(edges, lambda e: (e["j"] - e["i"] > 1) & e["id"].isNotNull())
+    return _once(F.array_sort(F.transform(long, ready)), fold)
 
 
 def viterbi_fold(word: Column, edges: Column) -> Column:
@@ -176,32 +190,28 @@ FOLDS = {"merge": merge_fold, "viterbi": viterbi_fold}
 
 def segmented(distinct: DataFrame, pieces: Pieces, fold: str = "merge") -> DataFrame:
     """`word`, `ids` of every distinct word of up to LONGEST characters."""
-    bounds = FOLDS[fold](F.col("word"), F.col("edges"))
-    folded = lattice(distinct, pieces).select("word", "edges", bounds.alias("bounds"))
-    one = F.lit(1).cast("long")
-    places = F.filter(
-        F.sequence(F.lit(0), F.length("word")),
-        lambda p: F.col("bounds").bitwiseAND(F.call_function("shiftleft", one, p)) != 0,
-    )
-    spans = F.transform(
-        F.slice("places", 1, F.size("places") - 1), lambda p, k: F.struct(p.alias("i"), F.get("places", k + 1).alias("j"))
-    )
     # The byte pieces' ids follow one another in all models; load() has checked that there are 256.
     first = pieces.byte_ids[0]
     if pieces.byte_ids != tuple(range(first, first + 256)):
         raise ValueError("the pieces for bytes are not in order")
 
-    def number(span: Column) -> Column:
-        known = F.filter("edges", lambda e: (e["i"] == span["i"]) & (e["j"] == span["j"]) & e["id"].isNotNull())
-        text = F.hex(F.encode(F.substring(F.col("word"), span["i"] + 1, span["j"] - span["i"]), "UTF-8"))
-        spelled = F.transform(
-            F.sequence(F.lit(0), (F.length(text) / 2).cast("int") - 1),
-            lambda b: F.conv(F.substring(text, b * 2 + 1, F.lit(2)), 16, 10).cast("int") + first,
-        )
-        return F.when(F.size(known) > 0, F.array(F.get(known, F.lit(0))["id"])).otherwise(spelled)
+    def number(e: Column) -> Column:
+        text = F.hex(F.encode(F.substring(F.col("word"), e["i"] + 1, F.lit(1)), "UTF-8"))
+        places = F.sequence(F.lit(0), (F.length(text) / 2).cast("int") - 1)
+        spelled = F.transform(places, lambda b: F.conv(F.substring(text, b * 2 + 1, F.lit(2)), 16, 10).cast("int") + first)
+        return F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(spelled)
+
+    def ids(bounds: Column) -> Column:
+        """The edges from one boundary to the next, in their order, as ids."""
+
+        def chosen(e: Column) -> Column:
+            ends = _ends(e)
+            return (bounds.bitwiseAND(ends) == ends) & (bounds.bitwiseAND(_bits(e["i"] + 1, e["j"])) == 0)
 
-    placed = folded.withColumn("places", places).withColumn("spans", spans)
-    return placed.select("word", F.flatten(F.transform("spans", number)).alias("ids"))
+        return F.flatten(F.transform(F.array_sort(F.filter("edges", chosen)), number))
+
+    found = lattice(distinct, pieces)
+    return found.select("word", _once(FOLDS[fold](F.col("word"), F.col("edges")), ids).alias("ids"))
 
 
 # ---------------------------------------------------------------- texts
@@ -213,27 +223,38 @@ def file_blocks(docs: DataFrame) -> DataFrame:
     return docs.select("*", F.xxhash64(F.col("_metadata.file_path"), place).alias("block"))
 
 
-def _needed(blocked: DataFrame) -> DataFrame:
+def _needed(blocked: DataFrame, pieces: Pieces) -> DataFrame:
     """`block`, `word`: the words of up to LONGEST characters of each block, with few repeats."""
 
     def find(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, set[str]] = {}
-        size = 0
+        # Per block the parts between spaces, whose words are found once, and words of other texts.
+        held: dict[int, tuple[set[str], set[str]]] = {}
 
         def handed_on() -> Iterator[pa.RecordBatch]:
-            for block, found in held.items():
+            for block, (between, found) in held.items():
+                for part in between:
+                    found.update(words(part, pieces) or [MARK])
                 some = [w for w in found if len(w) <= LONGEST]
                 for at in range(0, len(some), 20_000):
                     part = some[at : at + 20_000]
                     yield pa.record_batch([pa.array([block] * len(part), pa.int64()), pa.array(part, pa.string())], ["block", "word"])
             held.clear()
 
+        size = 0
         for part in parts:
-            for block, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                own = held.setdefault(block, set())
-                size -= len(own)
-                own.update(words(text.as_py() or ""))
-                size += len(own)
+            for block, value in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                if block not in held:
+                    # The rows of a block follow one another; the one before is done.
+                    yield from handed_on()
+                    size = 0
+                between, found = held.setdefault(block, (set(), set()))
+                size -= len(between) + len(found)
+                text = value.as_py() or ""
+                if _plain(text):
+                    between.update(text.split(" "))
+                else:
+                    found.update(words(text, pieces))
+                size += len(between) + len(found)
                 if size > HELD:
                     yield from handed_on()
                     size = 0
@@ -252,11 +273,15 @@ def encode(blocked: DataFrame, model: str = MODEL, fold: str = "merge") -> DataF
     spark = blocked.sparkSession
     configure(spark)
     pieces = load(model)
-    needed = _needed(blocked)
-    found = segmented(needed.select("word").distinct(), pieces, fold)
+    # Dealt by word and kept: the distinct words, their lattices and the join below all stay where they are.
+    needed = _needed(blocked, pieces).repartition(partitions(spark), "word").persist(StorageLevel.DISK_ONLY)
     folder = scratch_dir(spark, "words")
-    held = needed.join(found, "word").select("block", "word", "ids")
-    held.repartition("block").sortWithinPartitions("block").write.partitionBy("block").parquet(folder)
+    try:
+        found = segmented(needed.select("word").distinct(), pieces, fold)
+        held = needed.join(found, "word").select("block", "word", "ids")
+        held.repartition("block").sortWithinPartitions("block").write.partitionBy("block").parquet(folder)
+    finally:
+        needed.unpersist()
 
     def dictionary(block: int) -> dict[str, bytes]:
         store, base = file_store(folder)
@@ -269,18 +294,35 @@ def encode(blocked: DataFrame, model: str = MODEL, fold: str = "merge") -> DataF
         return {word: flat[a:b] for word, a, b in spans}
 
     def apply(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, known = None, {}
+        now, known = None, None
         for part in parts:
             out = []
-            for block, text in zip(part.column(1).to_pylist(), part.column(2), strict=True):
+            for block, value in zip(part.column(1).to_pylist(), part.column(2), strict=True):
                 if block != now:
-                    now, known = block, dictionary(block)
-                out.append(b"".join([known.get(w) or _long_word(w, model) for w in words(text.as_py() or "")]))
+                    known = None  # before the next dictionary is loaded
+                    now, known = block, _Known(dictionary(block), pieces, model)
+                text = value.as_py() or ""
+                out.append(b"".join(map(known.__getitem__, text.split(" "))) if _plain(text) else known.of(words(text, pieces)))
             yield pa.record_batch([part.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
     return blocked.select("doc_id", "block", "text").mapInArrow(apply, "doc_id long, ids binary")
 
 
+class _Known(dict):
+    """A block's ids by the parts between spaces, each put together from its words when first asked for."""
+
+    def __init__(self, ids: dict[str, bytes], pieces: Pieces, model: str):
+        super().__init__()
+        self.ids, self.pieces, self.model = ids, pieces, model
+
+    def of(self, found: list[str]) -> bytes:
+        return b"".join([self.ids.get(w) or _long_word(w, self.model) for w in found])
+
+    def __missing__(self, part: str) -> bytes:
+        value = self[part] = self.of(words(part, self.pieces) or [MARK])
+        return value
+
+
 def _long_word(word: str, model: str) -> bytes:
     """A word beyond the lattice's length, by the library; the mark that it adds is taken off again."""
     if len(word) <= LONGEST:

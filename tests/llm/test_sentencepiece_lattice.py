@@ -16,6 +16,8 @@ TEXTS = [
     "  two  spaces   and\ttabs\nlines\r\n end ",
     "Straße ÉCOLE naïve ½ x² 漢字かな 🙂🙂‍ \x00\x1c ﬁ",
     "a▁b ▁ ▁▁c",
+    "trailing space ",
+    "word, word. (word) \"word\" word's",
     "x" * 200 + " " + "lower" * 30 + "\n" + "y" * 100,
     "12345 67.89 --- *** %%% ### |",
     "enenenenen thththth aaaaaaaaaaaaaaaaaaaaaaaaa",
@@ -50,8 +52,19 @@ def test_ids_equal_the_library(spark, tmp_path, monkeypatch):
 
 
 def test_words_cover_the_text():
+    pieces = sl.load()
     for text in TEXTS:
-        assert "".join(sl.words(text or "")) == ((sl.MARK + text.replace(" ", sl.MARK)) if text else "")
+        marked = (sl.MARK + text.replace(" ", sl.MARK)) if text else ""
+        assert "".join(sl.words(text or "", pieces)) == marked
+        if text and sl._plain(text):
+            parts = [w for part in text.split(" ") for w in sl.words(part, pieces) or [sl.MARK]]
+            assert parts == sl.words(text, pieces)
+
+
+def test_no_piece_spans_two_words():
+    pieces = sl.load()
+    assert all(sl.words(text, pieces)[0] == sl.MARK + text for text, _, _ in pieces.rows if sl.MARK + text in {t for t, _, _ in pieces.rows})
+    assert all(set(zip(text, text[1:])) <= pieces.neighbours for text, _, _ in pieces.rows)
 
 
 def test_viterbi_equals_all_segmentations(spark):
