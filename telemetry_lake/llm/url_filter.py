@@ -8,10 +8,10 @@ Model: for a character c after a context s of up to ORDER characters,
 
     p(c | s) = (n(sc) + WEIGHT * p(c | s without its first character)) / (n(s) + WEIGHT)
 
-down to a uniform distribution of 256 bytes below the empty context. Counts cover every labelled URL of
-the training share. They live in arrays of SLOTS counters per order and class, addressed by hash, so the
-broadcast model has a fixed size (2 classes * (ORDER + 1) * 2 * SLOTS * 8 bytes = 25 MB) for any corpus;
-contexts that share a slot share their counts, which touches rare contexts only.
+down to a uniform distribution of 256 bytes below the empty context. Counts are exact and cover every
+labelled URL. They are a table with one row per context and character that occur (a gram), which
+grows with the input and is never held in one place: shorter contexts are sums of that table, scores
+come from joining the grams of blocks of URLs to it.
 """
 
 from __future__ import annotations
@@ -21,14 +21,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from telemetry_lake.llm.common import configure, table, texts
-from telemetry_lake.llm.words import mix
+from telemetry_lake.llm.common import configure, stored, table, texts
 
 ORDER = 5
-SLOTS = 1 << 17
+# A character is 1 + its byte, 0 stands before a URL's start. ORDER + 1 of them fill 54 bits of a gram.
+BITS = 9
+# URLs are looked up together up to so many characters; a longer one alone.
+BLOCK = 1 << 16
 WEIGHT = 2.0
 # One labelled URL in HELD_OUT is kept for the calibration.
 HELD_OUT = 5
@@ -41,7 +43,6 @@ RULES = (
     ("net/es/", "block"),
     ("net/fr/", "block"),
 )
-_START = 0
 
 
 def host(url: str | Column = "url") -> Column:
@@ -71,77 +72,125 @@ def matching_rule(rules: Sequence[tuple[str, str]] = RULES) -> tuple[Column, Col
     return rule, verdict
 
 
-def _contexts(data: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per order: the slots of each character's context, and of context and character together."""
-    padded = np.concatenate((np.full(ORDER, _START, np.uint64), data.astype(np.uint64) + 1))
-    n, context = len(data), np.zeros(len(data), np.uint64)
-    for order in range(ORDER + 1):
-        if order:
-            context = mix(context * np.uint64(257) + padded[ORDER - order : ORDER - order + n] + np.uint64(order))
-        both = mix(context + (padded[ORDER:] << np.uint64(32)))
-        yield order, (context % np.uint64(SLOTS)).astype(np.int64), (both % np.uint64(SLOTS)).astype(np.int64)
+def _grams(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The gram of every character of all URLs, in order, and the URLs' lengths. The last character has the lowest bits."""
+    lengths = np.array([len(u) for u in urls], np.int64)
+    data = np.frombuffer(b"".join(urls), np.uint8).astype(np.int64) + 1
+    at = np.arange(len(data)) + ORDER * (np.repeat(np.arange(len(urls)), lengths) + 1)
+    padded = np.zeros(len(data) + ORDER * len(urls), np.int64)
+    padded[at] = data
+    grams = np.zeros(len(data), np.int64)
+    for back in range(ORDER + 1):
+        grams |= padded[at - back] << (BITS * back)
+    return grams, lengths
 
 
-def _bytes(url: str) -> np.ndarray:
-    return np.frombuffer(url.encode("utf-8", "surrogatepass"), np.uint8)
+def _bytes(column: pa.Array) -> list[bytes]:
+    return [url.encode("utf-8", "surrogatepass") for url in texts(column)]
 
 
 def count(labelled: DataFrame) -> DataFrame:
-    """`label`, `slot`, `n` summed over all rows of `label` (0 reject, 1 accept) and `url`.
-
-    A task adds up its own rows in the fixed arrays and sends the counters that are not zero, so what
-    is shuffled grows with the distinct contexts a task sees and is bounded by the arrays' size.
-    """
+    """`gram`, `n0`, `n1`: how often each occurs in all rows of `label` (0 reject, 1 accept) and `url`."""
 
     def tally(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, ORDER + 1, 2, SLOTS), np.int64)
         for part in parts:
-            for label, url in zip(part.column(0).to_pylist(), texts(part.column(1)), strict=True):
-                for order, context, both in _contexts(_bytes(url)):
-                    np.add.at(counts[label, order, 0], context, 1)
-                    np.add.at(counts[label, order, 1], both, 1)
-        flat = counts.ravel()
-        used = np.flatnonzero(flat)
-        for at in range(0, len(used), 50_000):
-            some = used[at : at + 50_000]
-            yield pa.record_batch([pa.array(some), pa.array(flat[some])], ["slot", "n"])
+            grams, lengths = _grams(_bytes(part.column(1)))
+            labels = np.repeat(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), lengths)
+            found, place = np.unique(grams, return_inverse=True)
+            n = [np.bincount(place[labels == k], minlength=len(found)) for k in (0, 1)]
+            yield pa.record_batch([pa.array(found), pa.array(n[0]), pa.array(n[1])], ["gram", "n0", "n1"])
+
+    parts = labelled.select("label", "url").mapInArrow(tally, "gram long, n0 long, n1 long")
+    return _summed(parts)
+
 
-    parts = labelled.select("label", "url").mapInArrow(tally, "slot long, n long")
-    return parts.groupBy("slot").agg(F.sum("n").alias("n"))
+def _summed(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 @dataclass(frozen=True)
 class Model:
-    """Counts by class, order, (context, context with character) and slot, and the calibrated threshold."""
+    """Table of `gram`, `n0`, `n1`, and the calibrated threshold."""
 
-    counts: np.ndarray
+    counts: DataFrame
     threshold: float = 0.0
 
     def score(self, url: str) -> float:
-        """Log-likelihood as accepted less that as rejected, for each byte; 0 for an empty URL."""
-        data = _bytes(url)
-        if not len(data):
-            return 0.0
-        p = np.full((2, len(data)), 1 / 256)
-        for order, context, both in _contexts(data):
-            seen = self.counts[:, order]
-            p = (seen[:, 1, both] + WEIGHT * p) / (seen[:, 0, context] + WEIGHT)
-        accepted = np.log(p).sum(axis=1)
-        return float(accepted[1] - accepted[0]) / len(data)
+        """The score of one URL, by a query of its own."""
+        row = self.counts.sparkSession.createDataFrame([(url,)], "url string")
+        return scored(row, self).first()["score"]
+
+
+def evidence(counts: DataFrame, grams: DataFrame) -> DataFrame:
+    """`gram`, `value`: log p(c | s) as accepted less that as rejected, for the counted and the given grams.
+
+    Order by order from the empty context: a context has at most 257 characters after it, and a gram
+    at most 257 longer ones, so no key of the windows and joins gathers more rows than that.
+    """
+    asked = grams.select("gram", F.lit(0).cast("long").alias("n0"), F.lit(0).cast("long").alias("n1"))
+    longest = stored(_summed(counts.select("gram", "n0", "n1").union(asked)), "grams")
+    lower = None
+    for order in range(ORDER + 1):
+        mask = (1 << BITS * (order + 1)) - 1
+        level = _summed(longest.withColumn("gram", F.col("gram").bitwiseAND(F.lit(mask)))) if order < ORDER else longest
+        if lower is None:
+            level = level.withColumns({"q0": F.lit(1 / 256), "q1": F.lit(1 / 256)})
+        else:
+            level = level.withColumn("shorter", F.col("gram").bitwiseAND(F.lit(mask >> BITS))).join(lower, "shorter")
+        context = Window.partitionBy(F.shiftright("gram", BITS))
+        p = [(F.col(f"n{k}") + WEIGHT * F.col(f"q{k}")) / (F.sum(f"n{k}").over(context) + WEIGHT) for k in (0, 1)]
+        level = level.select("gram", p[0].alias("q0"), p[1].alias("q1"))
+        lower = level.withColumnRenamed("gram", "shorter")
+    return level.select("gram", (F.log("q1") - F.log("q0")).alias("value"))
 
 
 def scored(df: DataFrame, model: Model) -> DataFrame:
-    """Every row with its `score`; a null URL scores as an empty one."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    """Every row with its `score`, the mean value of its URL's grams; a null URL scores as an empty one, 0.
+
+    Rows are stored in blocks of up to BLOCK characters with the distinct grams of each, so a gram
+    that every URL has is looked up once a block.
+    """
     names = df.columns
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    fields = [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
+    kind = ", ".join(f"`{name}` {of}" for name, of in fields)
+    rows = ",".join(f"`{name}`:{of}" for name, of in fields)
 
-    def judge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            scores = pa.array([sent.value.score(url) for url in texts(part.column(names.index("url")))], pa.float64())
-            yield pa.record_batch([*part.columns, scores], [*names, "score"])
+            grams, lengths = _grams(_bytes(part.column(names.index("url"))))
+            ends = np.cumsum(lengths)
+            start = 0
+            while start < len(part):
+                before = int(ends[start - 1]) if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, before + BLOCK, "right")))
+                held = pa.StructArray.from_arrays([c.slice(start, stop - start) for c in part.columns], names)
+                own = np.unique(grams[before : ends[stop - 1]])
+                block = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (held, pa.array(own))]
+                yield pa.record_batch(block, ["rows", "grams"])
+                start = stop
+
+    blocks = df.mapInArrow(gather, f"rows array<struct<{rows}>>, grams array<long>")
+    blocks = stored(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    asked = blocks.select("block", F.explode("grams").alias("gram"))
+    known = asked.join(evidence(model.counts, asked.select("gram").distinct()), "gram")
+    known = known.groupBy("block").agg(F.collect_list(F.struct("gram", "value")).alias("known"))
 
-    return df.mapInArrow(judge, f"{kind}, score double")
+    def judge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for k in range(len(part)):
+                held, known = part.column(0)[k].values, part.column(1)[k]
+                grams, lengths = _grams(_bytes(held.field("url")))
+                scores = np.zeros(len(held))
+                if len(grams):
+                    gram, value = (known.values.field(n).to_numpy(zero_copy_only=False) for n in ("gram", "value"))
+                    order = np.argsort(gram)
+                    values = value[order][np.searchsorted(gram[order], grams)]
+                    some = lengths > 0
+                    starts = (np.cumsum(lengths) - lengths)[some]
+                    scores[some] = np.add.reduceat(values, starts) / lengths[some]
+                yield pa.record_batch([*held.flatten(), pa.array(scores)], [*names, "score"])
+
+    return blocks.select("block", "rows").join(known, "block", "left").select("rows", "known").mapInArrow(judge, f"{kind}, score double")
 
 
 def calibrated(tally: list[tuple[int, int, int]]) -> float:
@@ -167,28 +216,32 @@ def calibrated(tally: list[tuple[int, int, int]]) -> float:
     return good[len(good) // 2]
 
 
+def _held() -> Column:
+    """Whether a URL is kept for the calibration: by a hash of it, so that copies are on one side."""
+    return F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0
+
+
 def train(labelled: DataFrame) -> Model:
-    """Models and threshold from all rows of `url`, `label` (0 or 1).
+    """Counts of all rows of `url`, `label` (0 or 1) but the held-out ones, and the threshold found on those.
 
-    Which rows are held out depends on a hash of the URL, so copies of one URL are on one side.
-    Without labelled rows every score is 0. The driver gets the counters, whose number is bounded by
-    the arrays' fixed size, and one row per bin of scores and label.
+    Without labelled rows every score is 0. The driver gets one row per bin of scores and label.
     """
-    held = F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0
-    found = count(labelled.where(~held)).toArrow()
-    counts = np.zeros((2, ORDER + 1, 2, SLOTS), np.int64)
-    counts.ravel()[found["slot"].to_numpy()] = found["n"].to_numpy()
-    model = Model(counts)
-    rest = scored(labelled.where(held).select("url", "label"), model)
+    counts = stored(count(labelled.where(~_held())), "counts")
+    rest = scored(labelled.where(_held()).select("url", "label"), Model(counts))
     tally = rest.groupBy(F.floor(F.col("score") / BIN).alias("bin"), "label").count().collect()
     return Model(counts, calibrated([(r.bin, r.label, r["count"]) for r in tally]))
 
 
+def recounted(model: Model, labelled: DataFrame) -> Model:
+    """The model with the counts of the held-out rows added; the threshold stays."""
+    return Model(stored(_summed(model.counts.union(count(labelled.where(_held())))), "counts"), model.threshold)
+
+
 def judged(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
     """`page_id`, `host`, `path`, `rule`, `verdict`, `score` of every row of `page_id`, `url`.
 
     The rule's verdict holds where a rule fits; else a URL is allowed if its score reaches the
-    threshold. The models are counted from the URLs that the rules decide. A null or empty URL has
+    threshold. The models are counted from all URLs that the rules decide. A null or empty URL has
     empty host and path, fits no rule and is allowed: nothing speaks against it. Repeated rows stay
     repeated, further columns are left out, an empty table gives no rows.
     """
@@ -198,7 +251,8 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFr
     known = pages.select("page_id", "url", host().alias("host"), path().alias("path"))
     known = known.withColumn("rule", rule).withColumn("ruled", verdict)
     label = (F.col("ruled") == "allow").cast("int").alias("label")
-    model = train(known.where("rule IS NOT NULL").select("url", label))
+    labelled = known.where("rule IS NOT NULL").select("url", label)
+    model = recounted(train(labelled), labelled)
     empty = F.coalesce(F.length("url"), F.lit(0)) == 0
     method = F.when(empty | (F.col("score") >= model.threshold), "allow").otherwise("block")
     return scored(known, model).select(

@@ -76,6 +76,41 @@ def test_scores_equal_a_sequential_model(spark):
     assert model.score("http://good.example/99") > model.threshold > model.score("http://bad.test/99/x")
 
 
+def test_counts_are_exact_beyond_any_fixed_table(spark):
+    rng = random.Random(6)
+    urls = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(30)) for _ in range(12_000)]
+    want: dict = {}
+    for url in urls:
+        padded = [0] * uf.ORDER + [1 + ord(c) for c in url]
+        for k in range(len(url)):
+            gram = 0
+            for c in padded[k : k + uf.ORDER + 1]:
+                gram = gram << uf.BITS | c
+            want[gram] = want.get(gram, 0) + 1
+    got = uf.count(spark.createDataFrame([(u, 1) for u in urls], "url string, label int")).toArrow()
+    assert len(want) > 300_000
+    assert dict(zip(got["gram"].to_pylist(), got["n1"].to_pylist(), strict=True)) == want
+    assert sum(got["n0"].to_pylist()) == 0
+
+
+def test_held_out_urls_count_once_the_threshold_is_set(spark):
+    labelled = spark.createDataFrame([(f"http://a.example/{i}", i % 2) for i in range(40)], "url string, label int")
+    model = uf.train(labelled)
+    full = uf.recounted(model, labelled)
+    total = lambda m: m.counts.selectExpr("sum(n0 + n1)").first()[0]
+    held = labelled.where("pmod(xxhash64(url), 5) = 0").selectExpr("sum(length(url))").first()[0]
+    assert held > 0 and total(full) == total(model) + held and full.threshold == model.threshold
+
+
+def test_blocks_score_as_one(spark, monkeypatch):
+    labelled = spark.createDataFrame([(f"http://a.example/{i}", i % 2) for i in range(40)], "url string, label int")
+    model = uf.Model(uf.count(labelled))
+    urls = spark.createDataFrame([(f"http://b.example/{i % 9}{'x' * (i % 50)}" if i % 7 else None,) for i in range(60)], "url string")
+    once = sorted((r.url or "", r.score) for r in uf.scored(urls, model).collect())
+    monkeypatch.setattr(uf, "BLOCK", 30)
+    assert sorted((r.url or "", r.score) for r in uf.scored(urls, model).collect()) == once and len(once) == 60
+
+
 def test_held_out_urls_are_told_apart(spark):
     rng = random.Random(4)
     rows = []
