@@ -3,7 +3,8 @@
 Paragraphs are the lines of a text, and runs of WORDS words that begin at places chosen by the text
 itself (the least hash among GAP neighbours), so that a passage pasted into the middle of a line
 is compared as a paragraph of its own: any passage of WORDS + GAP - 1 words that two documents share
-contains a run chosen in both, and of a longer one less than GAP words at either end are left. Lines are banded by MinHash of their five-word shingles, colliding lines
+contains a run chosen in both. Shared runs are seeds: all runs that begin less than GAP words from one are
+compared as well, so that such a passage is cut up to its real ends. Lines are banded by MinHash of their five-word shingles, colliding lines
 are verified by exact Jaccard similarity, and lines are clustered by the components of what was
 verified; runs cluster by equality. Of each cluster the members in the document with the smallest doc_id
 stay, and every other member's place is cut from its text.
@@ -101,6 +102,30 @@ class Document:
         at = at[(at == 0) | (hashes[at] != hashes[at - 1])]
         return at, hashes[at]
 
+    def around(self, seeds: np.ndarray, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, first and last words of the runs less than GAP from a seed, and which may be cut but are not yet.
+
+        `seeds` are first words of shared runs, `repeated` those that an earlier document has. Equal
+        runs one after the other (a word said over and over) are one place from the first to the last. May be cut
+        but are not yet: places near a repeated seed that do not lie between two repeated seeds that meet.
+        """
+        hashes = shingles(self.words, WORDS)
+        first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+        last = np.concatenate((first[1:], [len(hashes)])) - 1
+        near, wanted = np.zeros(len(first) + 1, np.int64), np.zeros(len(first) + 1, np.int64)
+        for marks, at in ((near, seeds), (wanted, repeated)):
+            place = np.searchsorted(first, at, "right") - 1
+            np.add.at(marks, np.maximum(place - GAP + 1, 0), 1)
+            np.add.at(marks, np.minimum(place + GAP, len(first)), -1)
+        near, wanted = (np.cumsum(marks)[:-1] > 0 for marks in (near, wanted))
+        if len(repeated):
+            at = np.sort(repeated)
+            following = np.searchsorted(at, first)
+            before = at[np.maximum(np.searchsorted(at, first, "right") - 1, 0)]
+            after = at[np.minimum(following, len(at) - 1)]
+            wanted &= ~((before <= first) & (first <= after) & (after - before <= WORDS) & (first == last))
+        return hashes[first[near]], first[near], last[near] + WORDS - 1, wanted[near]
+
 
 def _texts(column: pa.Array) -> Iterator[bytes]:
     for value in column:
@@ -280,24 +305,73 @@ def line_links(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY
 # ---------------------------------------------------------------- removals
 
 
-def _repeated(rows: DataFrame, names: DataFrame | None) -> DataFrame:
-    """The places whose cluster has a smaller doc_id. `names`: the cluster of the keys that have one besides themselves."""
-    if names is not None:
-        rows = rows.join(names, "key", "left").withColumn("key", F.coalesce("cluster", "key")).drop("cluster")
+PLACES = ["doc_id", "row", "start", "stop"]
+AROUND = "key long, doc_id long, row long, start int, stop int"
+
+
+def _first(rows: DataFrame) -> DataFrame:
+    """`key`, `first`: the smallest doc_id of each key that several have."""
     spread = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
-    shared = stored(spread.where("first <> last OR (first IS NOT NULL AND nulls > 0)").select("key", "first"), "shared")
-    some = perhaps_in(rows, bitmap(shared, "key"), "key").join(shared, "key")
-    return some.where("NOT doc_id <=> first").select("doc_id", "row", "start", "stop")
+    return stored(spread.where("first <> last OR (first IS NOT NULL AND nulls > 0)").select("key", "first"), "shared")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows whose key several documents have, with `first`."""
+    shared = _first(rows)
+    return perhaps_in(rows, bitmap(shared, "key"), "key").join(shared, "key")
+
+
+def _repeated_lines(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """The places whose cluster has a smaller doc_id. `names`: the cluster of the keys that have one besides themselves."""
+    rows = rows.join(names, "key", "left").withColumn("key", F.coalesce("cluster", "key")).drop("cluster")
+    return _shared(rows).where("NOT doc_id <=> first").select(PLACES)
+
+
+def _repeated_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """The places of the chosen runs, and of those around them, that a smaller doc_id has as well.
+
+    A second pass over the texts with shared runs gives every run near one. Only those at the ends of what
+    is already cut are looked up, among all runs near a shared one.
+    """
+    seeds = stored(_shared(runs).select(*PLACES, F.expr("NOT doc_id <=> first").alias("repeated")), "seeds")
+    by_row = seeds.groupBy(F.col("doc_id").alias("_doc_id"), F.col("row").alias("_row")).agg(
+        F.collect_set("start").alias("seeds"), F.collect_set(F.when(F.col("repeated"), F.col("start"))).alias("repeated")
+    )
+    by_row = stored(by_row, "seeds-by-row")
+    some = _with_rows(docs, by_row)
+
+    def extend(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in AROUND.split(", ")]
+        for part in parts:
+            for doc_id, row, text, seeds, repeated in zip(*part.columns, strict=True):
+                doc = Document(text.as_py())
+                seeds, repeated = (np.searchsorted(doc.starts, x.values.to_numpy(zero_copy_only=False)) for x in (seeds, repeated))
+                keys, first, last, wanted = doc.around(seeds, repeated)
+                places = [pa.array(x.astype(np.int32), mask=~wanted) for x in (doc.starts[first], doc.ends[last])]
+                same = [pa.array([x.as_py()] * len(keys), pa.int64()) for x in (doc_id, row)]
+                yield pa.record_batch([pa.array(keys.view(np.int64)), *same, *places], names)
+
+    around = stored(some.mapInArrow(extend, AROUND), "around")
+    wanted = around.where("start IS NOT NULL")
+    firsts = _first(perhaps_in(around.select("key", "doc_id"), bitmap(wanted, "key"), "key"))
+    more = perhaps_in(wanted, bitmap(firsts, "key"), "key").join(firsts, "key").where("NOT doc_id <=> first")
+    return seeds.where("repeated").select(PLACES).union(more.select(PLACES))
+
+
+def _with_rows(docs: DataFrame, by_row: DataFrame) -> DataFrame:
+    """doc_id, row, text, seeds, repeated of the documents in `by_row`; other texts are not moved."""
+    some = perhaps_in(_source(docs), bitmap(by_row.select(F.col("_row").alias("row")), "row"), "row")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("row") == F.col("_row"))
+    return some.join(by_row, same).select("doc_id", "row", "text", "seeds", "repeated")
 
 
 def removals(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """`doc_id`, `row`, `start`, `stop`: the places to cut, in bytes of the text; they may overlap."""
     found = stored(units(docs), "units")
     lines = found.where("NOT run").drop("run")
-    places = ["key", "doc_id", "row", "start", "stop"]
     clusters = connected_components(line_links(docs, lines, similarity)).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
-    from_lines = _repeated(lines.select(places), clusters)
-    return from_lines.union(_repeated(found.where("run").select(places), None))
+    from_lines = _repeated_lines(lines.select("key", *PLACES), clusters)
+    return from_lines.union(_repeated_runs(docs, found.where("run").select("key", *PLACES)))
 
 
 def cut(text: bytes, places: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:

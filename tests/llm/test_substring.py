@@ -134,3 +134,31 @@ def test_tiles_find_what_one_tile_finds(spark, monkeypatch):
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(None, "a")]])
 def test_small_tables(spark, rows):
     assert sorted((r.doc_id, r.text) for r in run(spark, rows)) == rows
+
+
+def test_passages_are_cut_to_their_ends(spark):
+    rows, rest = [], {}
+    for k in range(40):
+        passage = prose(RNG.choice([33, 40, 51, 60, 80]))
+        for i in range(3):
+            before, after = prose(RNG.randrange(25, 60)), prose(RNG.randrange(25, 60))
+            rows.append((3 * k + i, f"{before} {passage} {after}"))
+            rest[3 * k + i] = f"{before} {passage} {after}" if i == 0 else f"{before} {after}"
+    assert {r.doc_id: r.text for r in run(spark, rows)} == rest
+
+
+def test_a_copy_ends_where_the_later_documents_passage_ends(spark):
+    a, b, c = prose(40), prose(15), prose(30)
+    x = [prose(25) for _ in range(6)]
+    # 2 shares less with 0 than with 1, and 1 has the rest.
+    rows = [(0, f"{x[0]} {a} {x[1]}"), (1, f"{x[2]} {a} {b} {c} {x[3]}"), (2, f"{x[4]} {a} {b} {x[5]}")]
+    got = {r.doc_id: r.text for r in run(spark, rows)}
+    assert got[0] == rows[0][1] and got[2] == f"{x[4]} {x[5]}"
+    assert got[1] == f"{x[2]} {b} {c} {x[3]}"
+
+
+def test_a_word_said_over_and_over_is_one_place(spark):
+    x = [prose(30) for _ in range(4)]
+    rows = [(0, f"{x[0]} {'of ' * 300}{x[1]}"), (1, f"{x[2]} {'of ' * 500}{x[3]}")]
+    got = {r.doc_id: r.text for r in run(spark, rows)}
+    assert got == {0: rows[0][1], 1: f"{x[2]} {x[3]}"}
