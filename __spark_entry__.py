@@ -6,6 +6,7 @@ events to sensor readings and alert messages; the SQL repeats that mapping.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,9 +22,9 @@ from telemetry_lake.operators.gold import to_gold
 from telemetry_lake.operators.silver import parse_text_readings, to_silver
 from telemetry_lake.plans.analytics import answer_all
 from telemetry_lake.plans.datalake import build_layers, layer_counts
-from telemetry_lake.schemas import BRONZE, HISTORY, LEDGER, NUMBER_FIELDS, READING_FIELDS, AlertRules
+from telemetry_lake.schemas import BRONZE, NUMBER_FIELDS, READING_FIELDS, AlertRules
 from telemetry_lake.session import configure, scratch_dir
-from telemetry_lake.sources import event_alerts, event_readings
+from telemetry_lake.sources import alert_store, commits, event_alerts, event_readings, ledger_store
 from telemetry_lake.sources.bronze import read_landed
 from telemetry_lake.sources.lake import through_table
 from telemetry_lake.sources.tables import read_table, run_name
@@ -324,10 +325,6 @@ def alert_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- history
 
 
-def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_alerts.sample_history(configure(spark), sf_dir)
-
-
 def _flat_history(rows: DataFrame) -> DataFrame:
     return rows.select(
         "alertId",
@@ -342,14 +339,94 @@ def _flat_history(rows: DataFrame) -> DataFrame:
     )
 
 
-def _of_history(ask: Callable[[DataFrame], DataFrame], flat: bool = True) -> Query:
+# Where the sample's history is stored, by application and data.
+_STORES: dict[tuple[str, str], str] = {}
+
+
+def _stored_history(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the alert history, stored once in a session: the topic's partitions arrive as three
+    batches, two of them again, and the parts are merged."""
+    configure(spark)
+    place = spark.sparkContext.applicationId, sf_dir
+    if place not in _STORES:
+        folder = scratch_dir(spark, "history")
+        arrived = through_table(spark, event_alerts.sample_arrivals(spark, sf_dir), "arrivals")
+        for batch in (0, 1, 1, 2, 0):
+            rows = arrived.filter(F.col("partition").between(2 * batch, 2 * batch + 1))
+            alert_store.insert_absent(spark, folder, alerts.first_arrivals(rows), "sample", batch)
+        alert_store.compact(spark, folder, 3)
+        _STORES[place] = folder
+    return _STORES[place]
+
+
+def _of_store(ask: Callable[[SparkSession, str], DataFrame], flat: bool = True) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        answer = ask(_history(spark, sf_dir))
+        answer = ask(spark, _stored_history(spark, sf_dir))
         return _flat_history(answer) if flat else answer
 
     return run
 
 
+def history_while_merging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts by region as a reader finds them before, during (of the version it holds) and after a merge that
+    another batch comes in between."""
+    arrived = through_table(configure(spark), event_alerts.sample_arrivals(spark, sf_dir), "arrivals")
+    folder = scratch_dir(spark, "history")
+
+    def bring(batch: int) -> commits.Version:
+        rows = alerts.first_arrivals(arrived.filter(F.col("partition") == batch))
+        return alert_store.insert_absent(spark, folder, rows, "sample", batch)
+
+    for batch in range(5):
+        held = bring(batch)
+    found = {"before": alert_store.alerts(spark, folder, held)}
+    bring(5)
+    merged = alert_store.compact(spark, folder, 2)
+    found |= {"during": alert_store.alerts(spark, folder, held), "after": alert_store.alerts(spark, folder, merged)}
+    parts = [rows.groupBy("region").count().withColumn("moment", F.lit(moment)) for moment, rows in found.items()]
+    return functools.reduce(DataFrame.unionByName, parts).select("moment", "region", F.col("count").alias("alerts"))
+
+
+def claims_of_two_handlers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two handlers claim the same notifications from one state of the ledger, in both orders. One of them had an
+    old claim, which is taken over; the results of its sender come late and change nothing."""
+    configure(spark)
+    arrived = through_table(spark, event_alerts.sample_arrivals(spark, sf_dir), "arrivals")
+    history = through_table(spark, alerts.first_arrivals(arrived), "history")
+    ids = arrived.filter(F.col("severity") == severity.CRITICAL).select("alertId").distinct()
+    old = _old_ledger(history)
+    found = []
+    for first, second in (("a", "b"), ("b", "a")):
+        folder = scratch_dir(spark, "ledger")
+        ledger_store.append_step(spark, folder, ids, lambda _: old, "earlier", 0)
+
+        def claim(ledger: DataFrame) -> DataFrame:
+            prepared = notes.prepare(ids, ledger, F.lit(NOW))
+            return prepared.unionByName(notes.claim(ids, history, ledger, F.lit(NOW), "1 hour"))
+
+        done = []
+
+        def other() -> None:
+            # The second handler has read the ledger, and the first commits before it does.
+            if not done:
+                done.append(first)
+                ledger_store.append_step(spark, folder, ids, claim, first, 0)
+
+        last = ledger_store.append_step(spark, folder, ids, claim, second, 0, before=other)
+        for owner, revision in (("stale", 0), (first, 2)):
+            sent = ledger_store.entries_of(spark, folder, last, ids).filter((F.col("status") == notes.SENDING) & (F.col("revision") == revision))
+            results = sent.select("alertId", F.lit(owner).alias("error"), F.lit(0).alias("sequence"), "revision")
+            ledger_store.append_step(
+                spark, folder, ids, lambda ledger: notes.record(results, history, ledger, F.lit(NOW)), f"results of {owner}", 0
+            )
+        entries = ledger_store.entries(spark, folder)
+        claims = entries.filter((F.col("status") == notes.SENDING) & (F.col("updatedAt") == F.lit(NOW).cast("timestamp")))
+        owners = claims.groupBy("alertId").agg(F.count("*").alias("claims"), F.max("owner").alias("owner"))
+        state = notes.ledger_state(entries).join(owners, "alertId")
+        found.append(state.select(F.lit(first).alias("first"), "alertId", "claims", "owner", "status", "error", "revision"))
+    return found[0].unionByName(found[1])
+
+
 def alerts_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = decode_alerts(event_alerts.sample_messages(configure(spark), sf_dir))
     return decoded.select("partition", "offset", "isValid")
@@ -496,8 +573,8 @@ def handler_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = outbox.select("alertId", F.lit(None).cast("string").alias("error"), F.lit(0).alias("sequence"))
     record_results(results, paths("first"), run_name("deliveries"), 0, F.lit(NOW))
     run("second")
-    history = read_table(spark, f"{folder}/history", HISTORY)
-    ledger = read_table(spark, f"{folder}/ledger", LEDGER)
+    history = alert_store.alerts(spark, f"{folder}/history")
+    ledger = ledger_store.entries(spark, f"{folder}/ledger")
     return notes.ledger_report(history, ledger).select("alertId", "severity", "detectedAt", "status")
 
 
@@ -545,18 +622,25 @@ def _lake_queries() -> dict[str, Query]:
         "alert_envelopes": alert_envelopes,
         "alerts_decoded": alerts_decoded,
         "stored_alerts": stored_alerts,
-        "alert_history": _of_history(lambda rows: rows),
+        "alert_history": _of_store(alert_store.alerts),
         "insert_if_absent": insert_if_absent,
-        "alerts_newest_first": _of_history(alerts.newest_first),
-        "alerts_recent": _of_history(alerts.recent),
-        "alerts_latest_panel": _of_history(alerts.latest_panel, flat=False),
-        "alerts_critical": _of_history(alerts.critical_only),
-        "alerts_by_region": _of_history(lambda rows: alerts.in_region(rows, " europe")),
-        "alerts_without_region": _of_history(lambda rows: alerts.in_region(rows, "  ")),
-        "alert_counts": _of_history(alerts.counts, flat=False),
-        "alert_counts_by_region": _of_history(alerts.counts_by_region, flat=False),
-        "service_summary": _of_history(
-            lambda rows: alerts.service_summary(rows, event_alerts.TOPIC), flat=False
+        "history_while_merging": history_while_merging,
+        "alerts_newest_first": _of_store(lambda spark, folder: alerts.newest_first(alert_store.alerts(spark, folder))),
+        "alerts_recent": _of_store(alert_store.recent),
+        "alerts_latest_panel": _of_store(
+            lambda spark, folder: alerts.latest_panel(alert_store.recent(spark, folder, alerts.LATEST_LIMIT)), flat=False
+        ),
+        "alerts_critical": _of_store(lambda spark, folder: alerts.critical_only(alert_store.alerts(spark, folder))),
+        "alerts_by_region": _of_store(lambda spark, folder: alert_store.in_region(spark, folder, " europe")),
+        "alerts_without_region": _of_store(lambda spark, folder: alert_store.in_region(spark, folder, "  ")),
+        "alert_counts": _of_store(
+            lambda spark, folder: alert_store.counts(alert_store.counters(spark, folder)), flat=False
+        ),
+        "alert_counts_by_region": _of_store(
+            lambda spark, folder: alert_store.counts_by_region(alert_store.counters(spark, folder)), flat=False
+        ),
+        "service_summary": _of_store(
+            lambda spark, folder: alerts.service_summary(alert_store.alerts(spark, folder), event_alerts.TOPIC), flat=False
         ),
         "severity_words": severity_words,
         "alert_actions": alert_actions,
@@ -566,6 +650,7 @@ def _lake_queries() -> dict[str, Query]:
         "outbox_after_failure": outbox_after_failure,
         "notification_ledger": notification_ledger,
         "notification_audit": notification_audit,
+        "claims_of_two_handlers": claims_of_two_handlers,
         "handler_stream": handler_streamed,
     }
 
@@ -903,6 +988,17 @@ def _lake_sql() -> dict[str, str]:
         "notification_audit": f"""WITH {_NOTIFIED}
             SELECT "alertId", 'Subject: ' || subject || nl || 'Delivery: FILE notification written' || nl || nl ||
                    body AS entry FROM rendered WHERE final = 'SENT'""",
+        "history_while_merging": f"""WITH {_STORED}, partial AS (
+              SELECT * FROM stored WHERE "partition" < 5
+              QUALIFY row_number() OVER (PARTITION BY "alertId" ORDER BY "partition", "offset") = 1)
+            SELECT moment, region, CAST(count(*) AS BIGINT) AS alerts FROM partial, (VALUES ('before'), ('during')) AS m(moment)
+            GROUP BY ALL
+            UNION ALL SELECT 'after', region, CAST(count(*) AS BIGINT) FROM history GROUP BY ALL""",
+        "claims_of_two_handlers": f"""WITH {_NOTIFIED}
+            SELECT first, "alertId", CAST(1 AS BIGINT) AS claims, first || '/0' AS owner, 'FAILED' AS status,
+                   first AS error, CAST(3 AS BIGINT) AS revision
+            FROM notified, (VALUES ('a'), ('b')) AS o(first)
+            WHERE arrived AND severity = 'CRITICAL' AND before <> 'SENT'""",
         "handler_stream": f"""WITH {_STORED}
             SELECT "alertId", severity, "detectedAt",
                    CASE WHEN "alertId" NOT IN (SELECT "alertId" FROM stored WHERE severity = 'CRITICAL')

@@ -105,14 +105,21 @@ def record(results: DataFrame, history: DataFrame, ledger: DataFrame, now: Colum
     """Entries for delivery results `(alertId, error, sequence)`: FAILED with its text, or SENT.
 
     Results for alerts that were never stored change nothing. Of several results for one alert
-    the one with the highest sequence counts.
+    the one with the highest sequence counts. Results may name the `revision` of the claim they are of; such a
+    result counts only while that claim is the alert's state, so that a sender whose claim was taken over
+    changes nothing.
     """
+    held = "revision" in results.columns
+    last = F.max_by(F.struct("error", *(["revision"] if held else [])), F.col("sequence")).alias("last")
     outcome = (
         results.groupBy("alertId")
-        .agg(F.max_by(F.struct("error"), F.col("sequence"))["error"].alias("failure"))
+        .agg(last)
+        .select("alertId", F.col("last.error").alias("failure"), *([F.col("last.revision").alias("follows")] if held else []))
         .join(history.select("alertId"), "alertId", "left_semi")
     )
     state = _state_of(outcome, ledger).join(outcome, "alertId")
+    if held:
+        state = state.filter((F.col("status") == SENDING) & (F.col("revision") == F.col("follows")))
     status = F.when(F.col("failure").isNull(), SENT).otherwise(FAILED)
     return _entries(state, status, F.col("failure"), now, 1)
 

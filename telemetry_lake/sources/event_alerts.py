@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemetry_lake.operators.decode import accepted, decode_alerts
-from telemetry_lake.operators.history import first_arrivals, stored_alerts
+from telemetry_lake.operators.history import stored_alerts
 from telemetry_lake.schemas import BRONZE, READING_FIELDS
 from telemetry_lake.sources.event_readings import TOPIC_PARTITIONS, events, readings_of, regions
 
@@ -64,6 +64,3 @@ def sample_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sample_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_alerts(accepted(decode_alerts(sample_messages(spark, sf_dir))))
 
-
-def sample_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_arrivals(sample_arrivals(spark, sf_dir))

@@ -21,8 +21,9 @@ EVENTS_SCHEMA = (
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as they lie in their files."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """The events, dealt over all cores: the file is one row group, which Spark cannot split."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return rows.repartition(spark.sparkContext.defaultParallelism, "event_id")
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:

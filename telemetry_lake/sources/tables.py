@@ -1,17 +1,22 @@
 """Append-only Parquet tables written by micro-batches, safe to retry.
 
-A micro-batch owns the folder `run=<query>/batch=<id>` and always overwrites just that, so a
-retried batch replaces its own rows and a second query with a new checkpoint adds its own.
+A micro-batch owns the folder `run=<query>/batch=<id>`, so a second query with a new checkpoint adds its own.
+What other streams consume is published: written aside and renamed into its place as a whole, once. A
+retried batch finds it there and leaves it, so no file that a consumer may have listed changes or goes. Other
+tables are overwritten by a retry.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
+from telemetry_lake.sources.commits import exists, move_if_absent, remove
+
 # Partitions of a table that is read by key.
 BUCKETS = 64
 _OWNER = [StructField("run", StringType()), StructField("batch", LongType())]
@@ -25,11 +30,6 @@ def run_name(checkpoint: str) -> str:
     return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
-
-
 def bucket(key: str) -> Column:
     """The partition of a key in a table that is read by key: a micro-batch reads the buckets it touches."""
     return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("bucket")
@@ -58,7 +58,7 @@ def read_before(
 
 def _read(spark: SparkSession, path: str, schema: StructType, buckets: list[int] | None) -> DataFrame:
     full = StructType([*schema.fields, *_OWNER, *([] if buckets is None else [_BUCKET])])
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], full)
     rows = spark.read.schema(full).parquet(path)
     return rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))
@@ -72,6 +72,24 @@ def write_batch(rows: DataFrame, path: str, run: str, batch: int, *partitioned:
     (writer.partitionBy(*partitioned) if partitioned else writer).parquet(f"{path}/run={run}/batch={batch}")
 
 
+def publish_batch(rows: DataFrame, path: str, run: str, batch: int, *partitioned: str) -> bool:
+    """Put the batch's folder in its place, complete, unless it is there; says whether it was written now.
+
+    Folders that begin with an underscore are not read, so a half-written attempt is never seen.
+    """
+    spark, place = rows.sparkSession, f"{path}/run={run}/batch={batch}"
+    if exists(spark, place):
+        return False
+    aside = f"{path}/_attempts/{uuid.uuid4().hex}"
+    if partitioned:
+        rows = rows.hint("rebalance", *[F.col(name) for name in partitioned])
+    (rows.write.partitionBy(*partitioned) if partitioned else rows.write).parquet(aside)
+    if move_if_absent(spark, aside, place):
+        return True
+    remove(spark, aside)
+    return False
+
+
 def write_bucketed(rows: DataFrame, path: str, run: str, batch: int, key: str) -> None:
     write_batch(rows.withColumn("bucket", bucket(key)), path, run, batch, "bucket")
 
@@ -86,7 +104,7 @@ def read_version(spark: SparkSession, path: str, schema: StructType, run: str, v
 def require_version(spark: SparkSession, path: str, run: str, version: int) -> None:
     """Going on without a version would forget what it held."""
     folder = f"{path}/run={run}/batch={version}"
-    if not _exists(spark, f"{folder}/_SUCCESS"):
+    if not exists(spark, f"{folder}/_SUCCESS"):
         raise FileNotFoundError(f"no finished version in {folder}")
 
 

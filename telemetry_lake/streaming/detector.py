@@ -34,6 +34,7 @@ from telemetry_lake.sources.tables import (
     STATE_PLACE,
     buckets_of,
     drop_version,
+    publish_batch,
     read_version,
     require_version,
     run_name,
@@ -149,7 +150,7 @@ def detect_stream(
         decoded = keep(decode_readings(batch))
         try:
             refused = quarantined(decoded, BRONZE.names, clock.instant)
-            write_batch(refused, paths.quarantine, run, batch_id)
+            publish_batch(refused, paths.quarantine, run, batch_id)
             # Detection reads its input twice: give it a narrow typed table.
             typed = timed_readings(decoded, clock.instant)
             write_batch(typed, paths.readings, run, batch_id)
@@ -157,7 +158,7 @@ def detect_stream(
             whole = batch_id % WHOLE == 0
             before = streaks_before(spark, paths.streaks, run, batch_id, None if whole else readings)
             alerts, after = advance(readings, before, clock, rules, width, keep, closed=not whole)
-            write_batch(as_messages(alerts), paths.messages, run, batch_id)
+            publish_batch(as_messages(alerts), paths.messages, run, batch_id)
             write_bucketed(after, paths.streaks, run, batch_id, "transformerId")
             drop_version(spark, paths.readings, run, batch_id)
             if batch_id % WHOLE == 1:

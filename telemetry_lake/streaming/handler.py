@@ -11,16 +11,13 @@ from pyspark.sql.streaming import StreamingQuery
 from telemetry_lake.functions.severity import CRITICAL
 from telemetry_lake.operators import outbox as notifications
 from telemetry_lake.operators.decode import accepted, decode_alerts, quarantined
-from telemetry_lake.operators.history import first_arrivals, not_yet_stored, stored_alerts
-from telemetry_lake.schemas import BRONZE, HISTORY, LEDGER
-from telemetry_lake.sources.tables import (
-    buckets_of,
-    read_before,
-    read_table,
-    run_name,
-    write_batch,
-    write_bucketed,
-)
+from telemetry_lake.operators.history import first_arrivals, stored_alerts
+from telemetry_lake.schemas import BRONZE, LEDGER
+from telemetry_lake.sources import alert_store, commits, ledger_store
+from telemetry_lake.sources.tables import publish_batch, run_name
+
+# Parts of one size that are merged into one.
+FAN_IN = 8
 
 
 @dataclass(frozen=True)
@@ -42,11 +39,10 @@ def handle_stream(
 ) -> StreamingQuery:
     """Store every new alert once and claim a notification for every critical one.
 
-    History and ledger are partitioned by a hash of the alert id, and a batch reads the partitions of the
-    ids it brings.
-
-    A batch sees history and ledger as they were before it, and overwrites only its own folders:
-    a retry repeats its rows, and a replay under a new checkpoint finds every id stored.
+    History and ledger are tables of committed parts (see `sources.alert_store`, `sources.ledger_store`). A
+    batch looks its ids up through their filters, and commits once: a retry finds what it had committed, a replay
+    under a new checkpoint finds every id stored, and of two handlers at work on one topic one claims a
+    notification. Notifications and refused messages are published once per batch.
     """
     run = run_name(paths.checkpoint)
     instant = F.current_timestamp() if now is None else now
@@ -55,24 +51,24 @@ def handle_stream(
         spark = batch.sparkSession
         decoded = decode_alerts(batch).persist()
         try:
-            write_batch(quarantined(decoded, BRONZE.names), paths.quarantine, run, batch_id)
+            publish_batch(quarantined(decoded, BRONZE.names), paths.quarantine, run, batch_id)
             arrived = stored_alerts(accepted(decoded))
-            buckets = buckets_of(arrived, "alertId")
-            before = read_before(spark, paths.history, HISTORY, run, batch_id, buckets)
-            new = not_yet_stored(first_arrivals(arrived), before)
-            write_bucketed(new, paths.history, run, batch_id, "alertId")
+            stored = alert_store.insert_absent(spark, paths.history, first_arrivals(arrived), run, batch_id)
 
-            history = read_table(spark, paths.history, HISTORY, buckets)
-            ledger = read_before(spark, paths.ledger, LEDGER, run, batch_id, buckets)
             critical = arrived.filter(F.col("severity") == CRITICAL)
             ids = critical.select("alertId").distinct()
-            prepared = notifications.prepare(ids, ledger, instant)
-            claimed = notifications.claim(ids, history, ledger, instant, reclaim_after)
-            write_bucketed(prepared.unionByName(claimed), paths.ledger, run, batch_id, "alertId")
-
-            claims = read_table(spark, f"{paths.ledger}/run={run}/batch={batch_id}", LEDGER)
-            due = claims.filter(F.col("status") == notifications.SENDING)
-            write_batch(notifications.outbox(due, critical, recipients), paths.outbox, run, batch_id)
+            history = alert_store.stored_ids(spark, paths.history, stored, ids)
+
+            def claim(ledger: DataFrame) -> DataFrame:
+                prepared = notifications.prepare(ids, ledger, instant)
+                return prepared.unionByName(notifications.claim(ids, history, ledger, instant, reclaim_after))
+
+            ledger = ledger_store.append_step(spark, paths.ledger, ids, claim, run, batch_id)
+            due = ledger_store.claims_of(spark, paths.ledger, ledger, ids, run, batch_id)
+            notes = notifications.outbox(due, critical, recipients)
+            publish_batch(notes.join(due.select("alertId", "revision"), "alertId"), paths.outbox, run, batch_id)
+            alert_store.compact(spark, paths.history, FAN_IN)
+            ledger_store.compact(spark, paths.ledger, FAN_IN)
         finally:
             decoded.unpersist()
 
@@ -81,10 +77,15 @@ def handle_stream(
 
 
 def record_results(results: DataFrame, paths: HandlerPaths, run: str, batch: int, now: Column) -> None:
-    """Append the delivery results `(alertId, error, sequence)` of one send to the ledger."""
+    """Append the delivery results `(alertId, error, sequence)` of one send to the ledger, once.
+
+    With the `revision` that the outbox names, a result counts only while its claim holds.
+    """
     spark = results.sparkSession
-    buckets = buckets_of(results, "alertId")
-    history = read_table(spark, paths.history, HISTORY, buckets)
-    ledger = read_before(spark, paths.ledger, LEDGER, run, batch, buckets)
-    entries = notifications.record(results, history, ledger, now)
-    write_bucketed(entries, paths.ledger, run, batch, "alertId")
+    ids = results.select("alertId").distinct()
+    history = alert_store.stored_ids(spark, paths.history, commits.latest(spark, paths.history), ids)
+
+    def record(ledger: DataFrame) -> DataFrame:
+        return notifications.record(results, history, ledger.select(*LEDGER.names), now)
+
+    ledger_store.append_step(spark, paths.ledger, ids, record, run, batch)

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from telemetry_lake.schemas import BRONZE
 from telemetry_lake.sources.bronze import to_bronze
-from telemetry_lake.sources.tables import read_before, run_name, write_batch
+from telemetry_lake.sources.tables import publish_batch, read_before, run_name
 
 _PLACE = ["topic", "partition", "offset"]
 
@@ -41,7 +41,7 @@ def land(records: DataFrame, path: str, checkpoint: str, bounded: bool = False)
         rows = to_bronze(batch).persist()
         try:
             bronze = read_before(batch.sparkSession, path, BRONZE, run, batch_id)
-            write_batch(unlanded(rows, bronze), path, run, batch_id, "partition")
+            publish_batch(unlanded(rows, bronze), path, run, batch_id, "partition")
         finally:
             rows.unpersist()
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from telemetry_lake.operators import outbox
 from telemetry_lake.operators.decode import accepted, decode_alerts, decode_readings, timed_readings
 from telemetry_lake.operators.detection import ARRIVAL, EVENT, detect
-from telemetry_lake.schemas import BRONZE, HISTORY, LEDGER, STREAK, AlertRules
+from telemetry_lake.schemas import BRONZE, STREAK, AlertRules
+from telemetry_lake.sources import alert_store, ledger_store
 from telemetry_lake.sources.bronze import read_bronze, read_landed
 from telemetry_lake.sources.tables import buckets_of, read_before, read_table, read_version, run_name, write_bucketed
 from telemetry_lake.sources.topics import file_stream
@@ -160,7 +161,7 @@ def test_handler_replay_changes_nothing(spark, tmp_path):
     run("first")
     send(topic(spark, [alert("a", reason="late copy"), alert("c", "minor"), alert("d")], start=4), source)
     run("first")
-    history = lambda: {(r.alertId, r.reason, r.severity) for r in read_table(spark, str(tmp_path / "history"), HISTORY).collect()}
+    history = lambda: {(r.alertId, r.reason, r.severity) for r in alert_store.alerts(spark, str(tmp_path / "history")).collect()}
     reason = "score too high"
     expected = {("a", reason, "CRITICAL"), ("b", reason, "WARNING"), ("c", reason, "UNKNOWN"), ("d", reason, "CRITICAL")}
     assert history() == expected
@@ -169,13 +170,13 @@ def test_handler_replay_changes_nothing(spark, tmp_path):
 
     results = spark.createDataFrame([("a", None, 0), ("d", "refused", 0)], "alertId string, error string, sequence int")
     record_results(results, handler(tmp_path, "first"), "deliveries", 0, now())
-    before = read_table(spark, str(tmp_path / "history"), HISTORY).count()
+    before = alert_store.alerts(spark, str(tmp_path / "history")).count()
     run("second")
-    assert history() == expected and read_table(spark, str(tmp_path / "history"), HISTORY).count() == before
+    assert history() == expected and alert_store.alerts(spark, str(tmp_path / "history")).count() == before
     # The replay sends again only what had failed.
     sent = [r.alertId for r in spark.read.parquet(str(tmp_path / "outbox")).collect()]
     assert sorted(sent) == ["a", "d", "d"]
-    state = outbox.ledger_state(read_table(spark, str(tmp_path / "ledger"), LEDGER))
+    state = outbox.ledger_state(ledger_store.entries(spark, str(tmp_path / "ledger")))
     assert {r.alertId: r.status for r in state.collect()} == {"a": "SENT", "d": "SENDING"}
     assert read_table(spark, str(tmp_path / "quarantine"), BRONZE).count() == 2
 
@@ -187,7 +188,7 @@ def test_readings_to_history_end_to_end(spark, tmp_path):
     detect_stream(file_stream(spark, str(source)), paths, bounded=True).awaitTermination()
     messages = file_stream(spark, f"{paths.messages}/run=*/batch=*")
     handle_stream(messages, handler(tmp_path / "handler", "cp"), "a@b.c", now(), bounded=True).awaitTermination()
-    stored = read_table(spark, str(tmp_path / "handler" / "history"), HISTORY)
+    stored = alert_store.alerts(spark, str(tmp_path / "handler" / "history"))
     assert {(r.severity, r.source.sensorId) for r in stored.collect()} == {
         ("CRITICAL", "s-0"), ("CRITICAL", "s-2"), ("CRITICAL", "s-5"),
     }
