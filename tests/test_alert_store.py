@@ -1,0 +1,218 @@
+"""The stored history and ledger: against plain sets, with writers, readers and merges interleaved."""
+
+from __future__ import annotations
+
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from telemetry_lake.operators import history, outbox
+from telemetry_lake.operators.decode import accepted, decode_alerts
+from telemetry_lake.schemas import LEDGER
+from telemetry_lake.sources import alert_store, commits, ledger_store
+from tests.samples import alert, topic
+
+DAY = 24 * 3600 * 1000
+START = 1_782_000_000_000 // DAY * DAY
+
+
+def arrivals(spark, *values):
+    return history.first_arrivals(history.stored_alerts(accepted(decode_alerts(topic(spark, values)))))
+
+
+def dated(alert_id, when, severity="CRITICAL", **source):
+    return json.dumps({**json.loads(alert(alert_id, severity, **source)), "detectedAt": when})
+
+
+def batch_of(spark, numbers, seed=0):
+    """Alerts spread over ten days, several in a moment, in four regions."""
+    rng = random.Random(seed)
+    return arrivals(
+        spark,
+        *[
+            dated(
+                f"id-{n}", START + rng.randrange(40) * DAY // 4, rng.choice(["CRITICAL", "warning", "minor"]),
+                region=rng.choice(["North", "north", "South/1", " "]),
+            )
+            for n in numbers
+        ],
+    )
+
+
+def as_set(rows):
+    return {(r.alertId, r.severity, r.region, r.detectedAt, r.reason, r.source) for r in rows.collect()}
+
+
+def in_order(rows):
+    return [(r.detectedAt, r.alertId) for r in rows.collect()]
+
+
+@pytest.fixture(scope="module")
+def filled(spark, tmp_path_factory):
+    """Five batches, of which some ids come twice and one batch is tried again."""
+    table = str(tmp_path_factory.mktemp("store"))
+    whole = []
+    for batch, numbers in enumerate([range(60), range(40, 100), range(100, 101), range(0), range(90, 160)]):
+        rows = batch_of(spark, numbers, seed=batch)
+        known = {r.alertId for part in whole for r in part}
+        whole.append([r for r in rows.collect() if r.alertId not in known])
+        for _ in range(2 if batch == 1 else 1):
+            alert_store.insert_absent(spark, table, rows, "q", batch)
+    return table, spark.createDataFrame([r for part in whole for r in part], rows.schema)
+
+
+def check(spark, table, whole):
+    assert as_set(alert_store.alerts(spark, table)) == as_set(whole) and alert_store.alerts(spark, table).count() == 160
+    counted = alert_store.counters(spark, table)
+    assert alert_store.counts(counted).collect() == history.counts(whole).collect()
+    assert alert_store.counts_by_region(counted).collect() == history.counts_by_region(whole).collect()
+    for limit in (1, 7, 50, 159, 160, 500):
+        assert in_order(alert_store.recent(spark, table, limit)) == in_order(history.recent(whole, limit))
+    for region in ("NORTH", "south/1", " ", None, "nowhere"):
+        assert in_order(alert_store.in_region(spark, table, region)) == in_order(history.in_region(whole, region))
+
+
+def test_answers_are_those_of_the_plain_history(spark, filled):
+    check(spark, *filled)
+
+
+def test_answers_stay_through_a_merge(spark, filled, tmp_path):
+    table, whole = filled
+    before = commits.latest(spark, table)
+    after = alert_store.compact(spark, table, 2)
+    assert len(after.parts) < len(before.parts) and after.batches == before.batches
+    check(spark, table, whole)
+    assert as_set(alert_store.alerts(spark, table, before)) == as_set(whole)
+    assert alert_store.counts(alert_store.counters(spark, table, before)).collect() == history.counts(whole).collect()
+    # A replay of everything adds nothing, and a late retry of a merged batch neither.
+    alert_store.insert_absent(spark, table, batch_of(spark, range(160), seed=9), "replay", 0)
+    alert_store.insert_absent(spark, table, batch_of(spark, range(300, 310)), "q", 2)
+    check(spark, table, whole)
+
+
+def test_newest_alerts_are_read_from_the_newest_days(spark, tmp_path):
+    table = str(tmp_path)
+    for batch in range(3):
+        rows = [dated(f"id-{batch}-{n}", START + (10 * batch + n) * DAY) for n in range(10)]
+        alert_store.insert_absent(spark, table, arrivals(spark, *rows), "q", batch)
+    assert len(list(tmp_path.glob("alerts/part=*/day=*/region=*/*.parquet"))) == 30
+    found = alert_store.recent(spark, table, 4)
+    read = found.select("*").withColumn("file", F.input_file_name())
+    days = (START // DAY) + 26
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "day#" in plan and f">= {days}" in plan.partition("PartitionFilters")[2]
+    assert [r.alertId for r in read.collect()] == [f"id-2-{n}" for n in (9, 8, 7, 6)]
+    opened = alert_store._dated(spark, table, None).where(F.col("day") >= days).select(F.input_file_name()).distinct()
+    assert opened.count() == 4
+    # Counts read the counters alone.
+    files = alert_store.counters(spark, table).inputFiles()
+    assert len(files) == 3 and all("/counts/" in f for f in files)
+    regional = alert_store.in_region(spark, table, "nowhere")._jdf.queryExecution().executedPlan().toString()
+    assert "region#" in regional.partition("PartitionFilters")[2].partition("]")[0]
+
+
+def test_two_writers_of_one_id_store_it_once(spark, tmp_path):
+    table, order = str(tmp_path), []
+
+    def other():
+        if not order:
+            order.append("other")
+            alert_store.insert_absent(spark, table, arrivals(spark, alert("a", reason="first"), alert("b")), "other", 0)
+
+    own = arrivals(spark, alert("a", reason="second"), alert("c"))
+    last = alert_store.insert_absent(spark, table, own, "own", 0, before=other)
+    stored = alert_store.alerts(spark, table, last)
+    assert sorted((r.alertId, r.reason) for r in stored.collect()) == [
+        ("a", "first"), ("b", "score too high"), ("c", "score too high"),
+    ]
+    assert alert_store.counts(alert_store.counters(spark, table)).first().total == 3
+    assert len(list((tmp_path / "alerts").iterdir())) == 2
+
+
+def test_empty_store(spark, tmp_path):
+    table = str(tmp_path)
+    assert alert_store.alerts(spark, table).count() == 0 and alert_store.recent(spark, table).count() == 0
+    assert tuple(alert_store.counts(alert_store.counters(spark, table)).first()) == (0, 0, 0, 0)
+    assert alert_store.compact(spark, table) == commits.Version()
+
+
+# ---------------------------------------------------------------- ledger
+
+
+def at(moment):
+    return F.lit(f"2026-06-25 {moment}:00")
+
+
+def claimer(ids, stored, moment, reclaim_after=None):
+    def step(ledger):
+        return outbox.claim(ids, stored, ledger, at(moment), reclaim_after)
+
+    return step
+
+
+def owners(spark, table):
+    rows = ledger_store.entries(spark, table).filter("status = 'SENDING'").collect()
+    return sorted((r.alertId, r.owner, r.revision) for r in rows)
+
+
+@pytest.mark.parametrize(("first", "second"), [("a", "b"), ("b", "a")])
+def test_one_of_two_handlers_claims(spark, tmp_path, first, second):
+    table = str(tmp_path)
+    stored = arrivals(spark, *[alert(f"id-{n}") for n in range(6)])
+    ids, done = stored.select("alertId"), []
+
+    def other():
+        if not done:
+            done.append(first)
+            mine = ids.filter("alertId <> 'id-5'")
+            ledger_store.append_step(spark, table, mine, claimer(mine, stored, "12:00"), first, 0)
+
+    last = ledger_store.append_step(spark, table, ids, claimer(ids, stored, "12:00"), second, 0, before=other)
+    # The second one to commit gets what the first had left.
+    assert owners(spark, table) == [(f"id-{n}", f"{first}/0" if n < 5 else f"{second}/0", 2) for n in range(6)]
+    held = ledger_store.claims_of(spark, table, last, ids, second, 0)
+    assert [r.alertId for r in held.collect()] == ["id-5"]
+    # Its retry finds the same claim and appends nothing.
+    again = ledger_store.append_step(spark, table, ids, claimer(ids, stored, "12:01"), second, 0)
+    assert again == last and ledger_store.entries(spark, table).count() == 6
+
+
+def test_a_stale_owner_changes_nothing(spark, tmp_path):
+    table = str(tmp_path)
+    stored = arrivals(spark, alert("x"), alert("y"))
+    ids = stored.select("alertId")
+    ledger_store.append_step(spark, table, ids, claimer(ids, stored, "12:00"), "dead", 0)
+    takeover = ids.filter("alertId = 'x'")
+    early = ledger_store.append_step(spark, table, takeover, claimer(takeover, stored, "12:10", "15 minutes"), "new", 0)
+    assert len(owners(spark, table)) == 2
+    last = ledger_store.append_step(spark, table, takeover, claimer(takeover, stored, "12:20", "15 minutes"), "new", 1)
+    assert early.number + 1 == last.number and ("x", "new/1", 4) in owners(spark, table)
+
+    def results(*rows):
+        return spark.createDataFrame(rows, "alertId string, error string, sequence int, revision long")
+
+    def send(rows, query):
+        step = lambda ledger: outbox.record(rows, stored, ledger, at("12:30"))
+        ledger_store.append_step(spark, table, rows.select("alertId").distinct(), step, query, 0)
+        return {r.alertId: r.status for r in outbox.ledger_state(ledger_store.entries(spark, table)).collect()}
+
+    # The dead handler's mail of x comes after its claim was taken over; that of y still counts.
+    assert send(results(("x", "late", 1, 2), ("y", None, 1, 2)), "old results") == {"x": "SENDING", "y": "SENT"}
+    assert send(results(("x", "refused", 1, 4), ("x", None, 2, 4)), "new results") == {"x": "SENT", "y": "SENT"}
+    assert send(results(("x", "twice", 1, 4)), "same again") == {"x": "SENT", "y": "SENT"}
+
+
+def test_merged_ledger_keeps_every_entry(spark, tmp_path):
+    table = str(tmp_path)
+    stored = arrivals(spark, *[alert(f"id-{n}") for n in range(4)])
+    ids = stored.select("alertId")
+    for batch in range(5):
+        ledger_store.append_step(spark, table, ids, claimer(ids, stored, f"1{batch}:00", "15 minutes"), "q", batch)
+    whole = owners(spark, table)
+    last = ledger_store.compact(spark, table, 2)
+    assert len(last.parts) < 3 and owners(spark, table) == whole and len(whole) == 20
+    state = outbox.ledger_state(ledger_store.entries(spark, table).select(*LEDGER.names))
+    assert {(r.status, r.revision) for r in state.collect()} == {("SENDING", 10)}
+    assert ledger_store.claims_of(spark, table, last, ids, "q", 4).count() == 4

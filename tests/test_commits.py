@@ -1,0 +1,203 @@
+"""Versions, exclusive commits, filtered lookups and merging."""
+
+from __future__ import annotations
+
+import random
+import threading
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from telemetry_lake.sources import commits, keyed
+from telemetry_lake.sources.commits import Overtaken, Version, append, commit, expire, latest, merge_due, replace
+from telemetry_lake.sources.tables import publish_batch
+from telemetry_lake.sources.topics import file_stream
+
+SCHEMA = "alertId string, n long"
+
+
+def part(name, rows=1):
+    return {"name": name, "kinds": [], "rows": rows}
+
+
+def writer(spark, table, low, high, seen=None):
+    def write(version, name):
+        if seen is not None:
+            seen.append(version.number)
+        rows = spark.range(low, high).select(F.format_string("id-%d", "id").alias("alertId"), F.col("id").alias("n"))
+        return keyed.write_part(rows, table, name, "alertId", schema(spark))
+
+    return write
+
+
+def schema(spark):
+    return spark.createDataFrame([], SCHEMA).schema
+
+
+def ids(spark, *numbers):
+    return spark.createDataFrame([(f"id-{n}",) for n in numbers], "alertId string")
+
+
+def test_a_number_is_committed_once(spark, tmp_path):
+    table = str(tmp_path)
+    empty = latest(spark, table)
+    assert empty == Version()
+    first = commit(spark, table, empty, (part("a"),), {"q": 0})
+    with pytest.raises(Overtaken):
+        commit(spark, table, empty, (part("b"),), {"q": 0})
+    assert latest(spark, table) == first and first.holds("q", 0) and not first.holds("q", 1)
+    # An old hint, or none, costs some looking and nothing else.
+    second = commit(spark, table, first, (part("a"), part("c")), {"q": 1})
+    (tmp_path / "versions" / "LAST").write_text("1")
+    assert latest(spark, table) == second
+    (tmp_path / "versions" / "LAST").unlink()
+    assert latest(spark, table) == second
+    assert not [p for p in (tmp_path / "versions").iterdir() if p.name.startswith(".") and not p.name.endswith(".crc")]
+
+
+def test_many_writers_at_once_lose_nothing(spark, tmp_path):
+    table = str(tmp_path)
+
+    def work(query):
+        for batch in range(5):
+            append(spark, table, lambda version, name: part(name), query, batch)
+
+    threads = [threading.Thread(target=work, args=(f"q{k}",)) for k in range(4)]
+    for thread in threads:
+        thread.start()
+    for thread in threads:
+        thread.join()
+    last = latest(spark, table)
+    assert last.number == 20 and last.batches == {f"q{k}": 4 for k in range(4)}
+    assert len({p["name"] for p in last.parts}) == 20
+
+
+def test_the_loser_decides_again_and_leaves_nothing(spark, tmp_path):
+    table, seen = str(tmp_path), []
+
+    def write(version, name):
+        said = writer(spark, table, 0, 5, seen)(version, name)
+        if len(seen) == 1:
+            append(spark, table, writer(spark, table, 5, 9), "other", 0)
+        return said
+
+    last = append(spark, table, write, "own", 0)
+    assert seen == [0, 1] and [p["query"] for p in last.parts] == ["other", "own"]
+    assert len(list((tmp_path / "rows").iterdir())) == 2 and len(list((tmp_path / "filter").iterdir())) == 2
+    # A retry of what is there writes nothing.
+    assert append(spark, table, write, "own", 0) == last and len(seen) == 2
+
+
+def test_lookups_find_what_is_there(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyed, "BUCKET_ROWS", 300)
+    table = str(tmp_path)
+    for batch, (low, high) in enumerate([(0, 2000), (2000, 2001), (2001, 2900), (0, 50)]):
+        last = append(spark, table, writer(spark, table, low, high), "q", batch)
+    assert [p["buckets"] for p in last.parts] == [3, 0, 2, 0]
+    assert len(list(tmp_path.glob("rows/part=*/bucket=*"))) == 8 + 1 + 4 + 1
+    rng = random.Random(1)
+    wanted = [*rng.sample(range(2900), 40), 2000, *range(5000, 5040)]
+    found = keyed.lookup(spark, table, last.parts, ids(spark, *wanted), "alertId", schema(spark))
+    expected = [(f"id-{n}", n) for n in wanted if n < 2900] + [(f"id-{n}", n) for n in wanted if n < 50]
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+    assert keyed.lookup(spark, table, (), ids(spark, 1), "alertId", schema(spark)).count() == 0
+    assert keyed.read_parts(spark, table, last.parts, schema(spark)).count() == 2950
+
+
+def test_a_batch_of_new_ids_opens_next_to_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyed, "BUCKET_ROWS", 1000)
+    table = str(tmp_path)
+    for batch in range(4):
+        last = append(spark, table, writer(spark, table, 20_000 * batch, 20_000 * (batch + 1)), "q", batch)
+    folders = len(list(tmp_path.glob("rows/part=*/bucket=*")))
+    new = spark.range(10**6, 10**6 + 5000).select(F.format_string("id-%d", "id").alias("alertId"))
+    opened = keyed.buckets_to_open(spark, table, last.parts, new, "alertId")
+    # 5,000 ids against four filters: 20,000 questions, of which one in a thousand is answered wrongly.
+    assert folders == 4 * 32 and len(opened) <= 40
+    old = new.limit(5).union(ids(spark, 3, 70_000))
+    assert 2 <= len(keyed.buckets_to_open(spark, table, last.parts, old, "alertId")) <= 4
+
+
+def test_odd_keys(spark, tmp_path):
+    rows = spark.createDataFrame([("", 1), ("é/漢=%", 2), ("a" * 10_000, 3), ("", 4)], SCHEMA)
+    last = append(spark, str(tmp_path), lambda _, name: keyed.write_part(rows, str(tmp_path), name, "alertId", schema(spark)), "q", 0)
+    keys = spark.createDataFrame([("",), ("é/漢=%",), ("b",)], "alertId string")
+    found = keyed.lookup(spark, str(tmp_path), last.parts, keys, "alertId", schema(spark))
+    assert sorted(r.n for r in found.collect()) == [1, 2, 4]
+    none = rows.limit(0)
+    last = append(spark, str(tmp_path), lambda _, name: keyed.write_part(none, str(tmp_path), name, "alertId", schema(spark)), "q", 1)
+    assert keyed.lookup(spark, str(tmp_path), last.parts, keys, "alertId", schema(spark)).count() == 3
+
+
+def test_merging_between_reader_and_writer(spark, tmp_path):
+    table = str(tmp_path)
+    for batch in range(3):
+        held = append(spark, table, writer(spark, table, 10 * batch, 10 * batch + 10), "q", batch)
+    rows = keyed.read_parts(spark, table, held.parts, schema(spark))
+
+    def merge(name):
+        # Another batch is committed while the merged part is written.
+        append(spark, table, writer(spark, table, 30, 45), "q", 3)
+        return keyed.write_part(rows, table, name, "alertId", schema(spark))
+
+    merged = replace(spark, table, held.parts, merge)
+    assert [p["rows"] for p in merged.parts] == [30, 15] and merged.holds("q", 3)
+    numbers = lambda version: sorted(r.n for r in keyed.read_parts(spark, table, version.parts, schema(spark)).collect())
+    assert numbers(held) == list(range(30)) and numbers(merged) == list(range(45))
+    # The parts are gone from the table, so a second merge of them gives up and cleans up.
+    folders = len(list((tmp_path / "rows").iterdir()))
+    assert replace(spark, table, held.parts, lambda name: writer(spark, table, 0, 1)(None, name)) is None
+    assert len(list((tmp_path / "rows").iterdir())) == folders == 5
+    expire(spark, table, held.number)
+    assert numbers(held) == list(range(30))
+    expire(spark, table, merged.number)
+    assert len(list((tmp_path / "rows").iterdir())) == 2 and numbers(latest(spark, table)) == list(range(45))
+    assert sorted(p.name for p in (tmp_path / "versions").glob("*.json")) == [f"{merged.number:020d}.json"]
+
+
+def test_merges_keep_the_parts_few():
+    parts, sizes = (), []
+    for n in range(200):
+        parts = (*parts, part(str(n), 5))
+        while due := merge_due(parts, 4):
+            parts = (part("m", sum(p["rows"] for p in due)), *(p for p in parts if p not in due))
+        sizes.append(len(parts))
+    assert sum(p["rows"] for p in parts) == 1000 and max(sizes) <= 3 * 5
+
+
+def test_a_batch_is_published_once(spark, tmp_path):
+    topic = str(tmp_path / "topic")
+    rows = lambda low, high: spark.range(low, high).select(F.col("id").alias("n"))
+    got = []
+
+    def consume():
+        stream = file_stream(spark, f"{topic}/run=*/batch=*", schema=rows(0, 1).schema)
+        query = stream.writeStream.foreachBatch(lambda batch, _: got.extend(r.n for r in batch.collect()))
+        query.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+
+    assert publish_batch(rows(0, 5), topic, "r", 0)
+    consume()
+    # The writer failed behind the publication and runs the batch again, next to a consumer that has seen it.
+    files = {p: p.stat().st_mtime_ns for p in Path(topic).rglob("*.parquet")}
+    assert not publish_batch(rows(0, 5), topic, "r", 0)
+    assert {p: p.stat().st_mtime_ns for p in Path(topic).rglob("*.parquet")} == files
+    consume()
+    # An attempt that died half-way is not read by anybody.
+    rows(50, 60).write.parquet(f"{topic}/_attempts/dead")
+    assert publish_batch(rows(5, 7), topic, "r", 1)
+    consume()
+    assert sorted(got) == list(range(7))
+    assert spark.read.parquet(topic).count() == 7
+
+
+def test_two_attempts_of_one_batch(spark, tmp_path):
+    """The move itself decides, not the look before it."""
+    source = [tmp_path / "one", tmp_path / "two"]
+    for folder in source:
+        folder.mkdir()
+        (folder / "f").write_text(folder.name)
+    target = tmp_path / "x" / "batch=0"
+    assert commits.move_if_absent(spark, f"file://{source[0]}", f"file://{target}")
+    assert not commits.move_if_absent(spark, str(source[1]), str(target))
+    assert (target / "f").read_text() == "one" and (source[1] / "f").exists()
