@@ -24,7 +24,7 @@ from telemetry_lake.plans.analytics import answer_all
 from telemetry_lake.plans.datalake import build_layers, layer_counts
 from telemetry_lake.schemas import BRONZE, NUMBER_FIELDS, READING_FIELDS, AlertRules
 from telemetry_lake.session import configure, scratch_dir
-from telemetry_lake.sources import alert_store, commits, event_alerts, event_readings, ledger_store
+from telemetry_lake.sources import alert_store, commits, event_alerts, event_readings, gold_store, ledger_store
 from telemetry_lake.sources.bronze import read_landed
 from telemetry_lake.sources.lake import through_table
 from telemetry_lake.sources.tables import read_table, run_name
@@ -32,6 +32,7 @@ from telemetry_lake.sources.topics import file_stream
 from telemetry_lake.streaming.detector import MESSAGE_SCHEMA, DetectorPaths, detect_stream
 from telemetry_lake.streaming.handler import HandlerPaths, handle_stream, record_results
 from telemetry_lake.streaming.landing import land
+from telemetry_lake.streaming.rollup import roll_up
 
 # The folders of the training-data operators may be absent; everything else works without them.
 try:
@@ -102,6 +103,19 @@ def lake_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain_times(gold)
 
 
+def gold_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold kept by a stream to which the readings come in four drops, every hour spread over all of them."""
+    bronze = through_table(configure(spark), event_readings.sample_bronze(spark, sf_dir), "bronze")
+    folder = scratch_dir(spark, "rollup")
+
+    def run() -> None:
+        records = file_stream(spark, f"{folder}/topic")
+        roll_up(records, f"{folder}/gold", f"{folder}/checkpoint", bounded=True).awaitTermination()
+
+    _in_drops(bronze, f"{folder}/topic", [F.col("offset") % 4 == k for k in (2, 0, 3, 1)], run)
+    return _plain_times(gold_store.read_gold(spark, f"{folder}/gold"))
+
+
 def statistics_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The transformer ranking as saved in JSON."""
     saved = answer_all(_gold(spark, sf_dir), scratch_dir(spark, "stats"))
@@ -606,6 +620,7 @@ def _lake_queries() -> dict[str, Query]:
         "statistics_round_trip": statistics_round_trip,
         "layer_counts": layer_sizes,
         "gold_wide_values": gold_wide_values,
+        "gold_incremental": gold_incremental,
         "bronze_round_trip": bronze_round_trip,
         "bronze_two_landings": bronze_two_landings,
         "bounded_landing": bounded_landing,
@@ -841,6 +856,7 @@ def _lake_sql() -> dict[str, str]:
         "silver_clean": f'WITH {_SILVER} SELECT * REPLACE (CAST("isAlert" AS VARCHAR) AS "isAlert") FROM silver',
         "gold_hourly": gold,
         "lake_round_trip": gold,
+        "gold_incremental": gold,
         "regions_highest_risk": f'WITH {_GOLD} {_REGIONS} ORDER BY "averageRisk" DESC, region',
         "transformers_most_alerts": transformers + ' ORDER BY alerts DESC, "averageRisk" DESC, 1',
         "statistics_round_trip": transformers + ' ORDER BY alerts DESC, "averageRisk" DESC, 1',

@@ -1,6 +1,7 @@
-"""The three streaming services, from Kafka or from folders of records.
+"""The streaming services, from Kafka or from folders of records.
 
     python -m telemetry_lake.plans.streams land    SOURCE BRONZE CHECKPOINT
+    python -m telemetry_lake.plans.streams gold    BRONZE GOLD CHECKPOINT
     python -m telemetry_lake.plans.streams detect  SOURCE ROOT CHECKPOINT
     python -m telemetry_lake.plans.streams handle  SOURCE ROOT CHECKPOINT RECIPIENTS [RECLAIM_AFTER]
     python -m telemetry_lake.plans.streams publish MESSAGES kafka:SERVERS/TOPIC CHECKPOINT
@@ -8,7 +9,7 @@
 SOURCE is a folder, or `kafka:SERVERS/TOPIC` where the Kafka package is installed; `?max=N` behind it
 sets how many files or offsets a micro-batch takes at most, so a backlog is worked off in bounded
 steps. Landing and detection of one topic are two queries with a checkpoint each, so either can be
-stopped alone. `publish` sends the detector's messages to a topic. RECLAIM_AFTER is an interval such as
+stopped alone. `gold` follows the folder that landing writes and keeps hourly gold. `publish` sends the detector's messages to a topic. RECLAIM_AFTER is an interval such as
 "15 minutes" after which a claimed notification may be claimed again.
 """
 
@@ -24,6 +25,7 @@ from telemetry_lake.sources.topics import file_stream, kafka_sink, kafka_stream
 from telemetry_lake.streaming.detector import MESSAGE_SCHEMA, DetectorPaths, detect_stream
 from telemetry_lake.streaming.handler import HandlerPaths, handle_stream
 from telemetry_lake.streaming.landing import land
+from telemetry_lake.streaming.rollup import roll_up
 
 
 # What a micro-batch takes where the source does not say.
@@ -55,6 +57,8 @@ def start(spark: SparkSession, service: str, source: str, target: str, checkpoin
     stream = records(spark, source)
     if service == "land":
         return land(stream, target, checkpoint)
+    if service == "gold":
+        return roll_up(stream, target, checkpoint)
     if service == "detect":
         paths = DetectorPaths(
             messages=f"{target}/messages",
