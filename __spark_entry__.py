@@ -29,6 +29,7 @@ from telemetry_lake.sources.bronze import read_landed
 from telemetry_lake.sources.lake import through_table
 from telemetry_lake.sources.tables import read_table, run_name
 from telemetry_lake.sources.topics import file_stream
+from telemetry_lake.streaming.corrections import WITHDRAWN, CorrectionPaths, detect_corrected, holding
 from telemetry_lake.streaming.detector import MESSAGE_SCHEMA, DetectorPaths, detect_stream
 from telemetry_lake.streaming.handler import HandlerPaths, handle_stream, record_results
 from telemetry_lake.streaming.landing import land
@@ -324,6 +325,26 @@ def detect_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_alerts(accepted(decode_alerts(read_table(spark, paths.messages, MESSAGE_SCHEMA))))
 
 
+def detect_stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings that come up to five days late, in drops by arrival: what holds at the end."""
+    bronze = through_table(configure(spark), event_readings.sample_bronze(spark, sf_dir), "bronze")
+    folder = scratch_dir(spark, "corrections")
+    names = ("messages", "withdrawn", "quarantine", "table", "checkpoint")
+    paths = CorrectionPaths(*[f"{folder}/{name}" for name in names])
+
+    def run() -> None:
+        records = file_stream(spark, f"{folder}/topic")
+        delay = 6 * 24 * 3600 * 1000
+        detect_corrected(records, paths, delay, SAMPLE_RULES, bounded=True).awaitTermination()
+
+    arrival = F.dayofmonth("kafkaTimestamp") + F.pmod(F.col("offset") * 7, F.lit(5))
+    drops = [arrival <= 9, (arrival > 9) & (arrival <= 17), (arrival > 17) & (arrival <= 25), arrival > 25]
+    _in_drops(bronze, f"{folder}/topic", drops, run)
+    said = accepted(decode_alerts(read_table(spark, paths.messages, MESSAGE_SCHEMA)))
+    withdrawn = read_table(spark, paths.withdrawn, WITHDRAWN)
+    return _flat_alerts(holding(said.select("alertId", "severity", "reason", "detectedAt", "source"), withdrawn))
+
+
 def alert_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alert messages by topic key, decoded again."""
     bronze = event_readings.sample_bronze(configure(spark), sf_dir)
@@ -633,6 +654,7 @@ def _lake_queries() -> dict[str, Query]:
         "detect_batch_small_slices": _detect(EVENT, width=HALF_DAY),
         "detect_batch_arrival": _detect(ARRIVAL),
         "detect_stream": detect_streamed,
+        "detect_stream_late": detect_stream_late,
         "alert_envelopes": alert_envelopes,
         "alerts_decoded": alerts_decoded,
         "stored_alerts": stored_alerts,
@@ -929,6 +951,7 @@ def _lake_sql() -> dict[str, str]:
         "detect_batch_small_slices": detected,
         "detect_batch_arrival": detected,
         "detect_stream": detected,
+        "detect_stream_late": detected,
         "alert_envelopes": f"""WITH {_DETECTED}
             SELECT "transformerId" AS "key", CAST(count(*) AS BIGINT) AS messages,
                    min("detectedAt") AS "firstDetectedAt", max("failureRiskScore") AS "highestScore"
