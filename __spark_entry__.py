@@ -17,7 +17,7 @@ from telemetry_lake.operators import history as alerts
 from telemetry_lake.operators import outbox as notes
 from telemetry_lake.operators import questions
 from telemetry_lake.operators.decode import accepted, decode_alerts, decode_readings, quarantined, timed_readings
-from telemetry_lake.operators.detection import ARRIVAL, EVENT, Clock, as_messages, detect
+from telemetry_lake.operators.detection import ARRIVAL, EVENT, Clock, as_messages, detect, detect_by_count
 from telemetry_lake.operators.gold import to_gold
 from telemetry_lake.operators.silver import parse_text_readings, to_silver
 from telemetry_lake.plans.analytics import answer_all
@@ -296,6 +296,14 @@ def _detect(clock: Clock, **options: int) -> Query:
     return run
 
 
+def detect_batch_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices of equal numbers of readings, chained by a tree."""
+    bronze = event_readings.sample_bronze(configure(spark), sf_dir)
+    readings = through_table(spark, timed_readings(decode_readings(bronze), EVENT.instant), "readings")
+    pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return _flat_alerts(detect_by_count(readings, scratch_dir(spark, "pieces"), pieces, EVENT, SAMPLE_RULES, levels=1))
+
+
 def _in_drops(bronze: DataFrame, folder: str, parts: list, run: Callable[[], None]) -> None:
     """Append the parts one after the other to `folder`, running the stream after each."""
     for part in parts:
@@ -653,6 +661,7 @@ def _lake_queries() -> dict[str, Query]:
         "detect_batch": _detect(EVENT),
         "detect_batch_small_slices": _detect(EVENT, width=HALF_DAY),
         "detect_batch_arrival": _detect(ARRIVAL),
+        "detect_batch_by_count": detect_batch_by_count,
         "detect_stream": detect_streamed,
         "detect_stream_late": detect_stream_late,
         "alert_envelopes": alert_envelopes,
@@ -950,6 +959,7 @@ def _lake_sql() -> dict[str, str]:
         "detect_batch": detected,
         "detect_batch_small_slices": detected,
         "detect_batch_arrival": detected,
+        "detect_batch_by_count": detected,
         "detect_stream": detected,
         "detect_stream_late": detected,
         "alert_envelopes": f"""WITH {_DETECTED}

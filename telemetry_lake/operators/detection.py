@@ -119,23 +119,40 @@ def slice_ends(rows: DataFrame) -> DataFrame:
     )
 
 
-def chain(ends: DataFrame) -> DataFrame:
+# Slices of one block of the tree over slice ends.
+FAN = 1024
+
+
+def chain(ends: DataFrame, levels: int = 0) -> DataFrame:
     """Adds `carried` (streak open where the slice begins) and `open` (where it ends).
 
-    A slice decides its own end if it holds a lower reading or nothing was open before it;
-    otherwise the streak of the last deciding slice runs on through it.
+    What a stretch of slices does to a streak is summed up like one slice: a lower reading in any of them, and
+    the streak open at the end of those behind the last such. This is associative, so the slices of a
+    transformer need not meet in one task: with `levels`, each block of FAN slices is scanned by itself and
+    summed up in one row, the blocks are chained in the same way, one level less, and what is open where a
+    block begins is handed to its slices.
     """
-    window = Window.partitionBy("transformerId").orderBy("slice")
-    before = F.lag(F.struct("broken", "since")).over(window)
-    decides = F.col("broken") | before.isNull() | (before["broken"] & before["since"].isNull())
-    running = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    deciding = F.last(F.when(F.col("decides"), F.struct("since")), ignorenulls=True).over(running)
-    return (
-        ends.withColumn("decides", decides)
-        .withColumn("open", deciding["since"])
-        .withColumn("carried", F.lag("open").over(window))
-        .drop("decides")
-    )
+    block = F.struct(F.col("slice.part").alias("part"), _stretch(F.col("slice.stretch"), FAN).alias("stretch"))
+    cut = ["transformerId"] + (["block"] if levels else [])
+    rows = ends.withColumn("block", block) if levels else ends
+    within = Window.partitionBy(*cut).orderBy("slice")
+    running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # A stretch begins at a slice with a lower reading; the first streak in it is the one open at each of its ends.
+    rows = rows.withColumn("stretch", F.sum(F.col("broken").cast("int")).over(running))
+    same = Window.partitionBy(*cut, "stretch").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("open", F.first("since", ignorenulls=True).over(same))
+    if not levels:
+        return rows.withColumn("carried", F.lag("open").over(within)).drop("stretch")
+
+    last = F.max_by(F.struct((F.col("stretch") > 0).alias("broken"), F.col("open").alias("since"), "now"), F.col("slice"))
+    blocks = rows.groupBy(*cut).agg(last.alias("end")).select("transformerId", F.col("block").alias("slice"), "end.*")
+    handed = chain(blocks, levels - 1).select("transformerId", F.col("slice").alias("block"), F.col("carried").alias("handed"))
+    rows = rows.join(handed.where("handed IS NOT NULL"), cut, "left")
+    whole = F.when(F.col("stretch") > 0, F.col("open")).otherwise(F.coalesce("handed", "open"))
+    rows = rows.withColumn("open", whole)
+    first = F.lag(F.struct("open")).over(within)
+    carried = F.when(first.isNull(), F.col("handed")).otherwise(first["open"])
+    return rows.withColumn("carried", carried).drop("stretch", "block", "handed")
 
 
 def alerts_of(rows: DataFrame, rules: AlertRules) -> DataFrame:
@@ -168,22 +185,53 @@ def resolve(rows: DataFrame, carried: DataFrame) -> DataFrame:
 
 
 def detect(
-    readings: DataFrame, clock: Clock = EVENT, rules: AlertRules = AlertRules(), width: int | None = None
+    readings: DataFrame,
+    clock: Clock = EVENT,
+    rules: AlertRules = AlertRules(),
+    width: int | None = None,
+    levels: int = 0,
 ) -> DataFrame:
     """All alerts of a complete set of readings (the replay form of the detector).
 
     `readings` needs the reading fields and the columns of the clock. They are read twice (slice ends
     and alerts), so pass a table rather than undecoded messages. `width` is that of a slice, in
-    microseconds of event time or in offsets.
+    microseconds of event time or in offsets; `levels` is that of the tree over the slices (see `chain`), which
+    narrow slices need.
     """
     # Nothing is late in a complete set.
-    keyed = keyed_readings(readings, clock, rules, width).withColumn("late", F.lit(False))
+    return _detected(keyed_readings(readings, clock, rules, width).withColumn("late", F.lit(False)), rules, levels)
+
+
+def _detected(keyed: DataFrame, rules: AlertRules, levels: int) -> DataFrame:
     # The payload stays behind where only the slice ends are wanted.
     narrow = keyed.select("transformerId", "slice", "seq", "now", "level", "late")
-    carried = chain(slice_ends(streaks_within_slices(narrow)))
+    carried = chain(slice_ends(streaks_within_slices(narrow)), levels)
     return alerts_of(resolve(streaks_within_slices(keyed), carried), rules)
 
 
+def detect_by_count(
+    readings: DataFrame,
+    path: str,
+    pieces: int,
+    clock: Clock = EVENT,
+    rules: AlertRules = AlertRules(),
+    levels: int = 0,
+) -> DataFrame:
+    """The same alerts, with slices of equal numbers of readings, wherever these crowd.
+
+    A slice by width holds all that a transformer sent in it, be it everything it ever sent. Here the order itself
+    is range-partitioned into `pieces` and written to `path`: a slice is what a transformer has in
+    one piece, so no task of the windows gets more than a piece, and every transformer's slices still follow its order.
+    """
+    keyed = keyed_readings(readings, clock, rules).withColumn("late", F.lit(False))
+    ranged = keyed.repartitionByRange(pieces, "transformerId", "seq")
+    # What a sample decides may come out otherwise in a second attempt; once written it stays.
+    piece = F.struct(F.lit(0).alias("part"), F.spark_partition_id().cast("bigint").alias("stretch"))
+    cut = ranged.withColumn("slice", piece)
+    cut.write.mode("overwrite").parquet(path)
+    return _detected(readings.sparkSession.read.schema(cut.schema).parquet(path), rules, levels)
+
+
 def as_messages(alerts: DataFrame, topic: str = "ST2") -> DataFrame:
     """Alerts as topic records: `key` is the transformer, `value` the JSON envelope.
 

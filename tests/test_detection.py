@@ -7,8 +7,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from telemetry_lake.operators import detection
 from telemetry_lake.operators.decode import accepted, decode_readings, quarantined, timed_readings
-from telemetry_lake.operators.detection import ARRIVAL, EVENT, detect, keyed_readings
+from telemetry_lake.operators.detection import ARRIVAL, EVENT, detect, detect_by_count, keyed_readings
 from telemetry_lake.plans.replay import replay
 from telemetry_lake.schemas import READING, STREAK, AlertRules
 from telemetry_lake.streaming.detector import advance
@@ -107,6 +108,35 @@ def test_any_history(spark, steps, width):
     assert found(detect(readings(spark, rows), ARRIVAL, rules, width)) == brute_force(rows, 4.0)
 
 
+@pytest.mark.parametrize("levels", [1, 2])
+def test_a_tree_of_slices_never_changes_the_answer(spark, monkeypatch, levels):
+    monkeypatch.setattr(detection, "FAN", 4)
+    for seed, width in ((21, 1), (22, 7)):
+        rows = hot_rows(700, seed)
+        got = detect(readings(spark, rows), ARRIVAL, AlertRules(window_millis=5000), width, levels)
+        assert found(got) == brute_force(rows, 5.0)
+    rows = [(t, o, o, s) for t, o, _, s in hot_rows(300, 23)]
+    got = detect(readings(spark, rows), EVENT, AlertRules(window_millis=5000), 2_000_000, levels)
+    assert found(got) == brute_force(rows, 5.0)
+
+
+def test_all_readings_of_one_transformer_in_one_second(spark, tmp_path):
+    rng = random.Random(31)
+    scores = [rng.choice([0.85, 0.85, 0.85, 0.95, 0.1]) for _ in range(4000)]
+    # A hundred readings to a millisecond, then a long quiet streak.
+    rows = [("hot", n, n // 100 / 1000, s) for n, s in enumerate(scores)]
+    rows += [("hot", 4000 + n, 0.9, 0.85) for n in range(500)] + [("t", 9000, 0.5, 0.95)]
+    bronze = readings(spark, rows).withColumn("sensorId", F.format_string("s-%d", 10_000 + F.col("offset")))
+    rules = AlertRules(window_millis=3)
+    got = detect_by_count(bronze, str(tmp_path / "pieces"), 8, EVENT, rules, levels=1)
+    assert {(t, n - 10_000, w) for t, n, w in found(got)} == brute_force(rows, 0.003)
+    sizes = spark.read.parquet(str(tmp_path / "pieces")).groupBy("transformerId", "slice").count()
+    hot = [r["count"] for r in sizes.where("transformerId = 'hot'").collect()]
+    assert len(hot) >= 7 and max(hot) < 4500 / 3
+    # By width they would all be one slice.
+    assert keyed_readings(bronze, EVENT, rules).where("transformerId = 'hot'").select("slice").distinct().count() == 1
+
+
 def test_hot_transformer_is_spread_over_slices(spark):
     rows = hot_rows(3000, seed=1)
     keyed = keyed_readings(readings(spark, rows), ARRIVAL, AlertRules(), 50)
