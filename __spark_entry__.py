@@ -25,7 +25,7 @@ from telemetry_lake.plans.datalake import build_layers, layer_counts
 from telemetry_lake.schemas import BRONZE, NUMBER_FIELDS, READING_FIELDS, AlertRules
 from telemetry_lake.session import configure, scratch_dir
 from telemetry_lake.sources import alert_store, commits, event_alerts, event_readings, gold_store, ledger_store
-from telemetry_lake.sources.bronze import read_landed
+from telemetry_lake.sources.bronze import bound_of, first_records, object_stream, offset_gaps, read_bronze, read_landed, write_objects
 from telemetry_lake.sources.lake import through_table
 from telemetry_lake.sources.tables import read_table, run_name
 from telemetry_lake.sources.topics import file_stream
@@ -178,6 +178,29 @@ def bronze_two_landings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _landed(spark, folder)
 
 
+def objects_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readings as one object per record, landed from there in two batches, and read back; gaps in the
+    offsets that a partition should have all of are reported with the records."""
+    bronze = through_table(configure(spark), event_readings.sample_bronze(spark, sf_dir), "bronze")
+    folder = scratch_dir(spark, "objects")
+    for half in (F.col("offset") % 2 == 0, F.col("offset") % 2 == 1):
+        write_objects(bronze.filter(half), f"{folder}/objects")
+        stream = object_stream(spark, f"{folder}/objects", topic=event_readings.TOPIC)
+        land(stream, f"{folder}/bronze", f"{folder}/checkpoint", bounded=True).awaitTermination()
+    landed = read_bronze(spark, f"{folder}/bronze")
+    missing = offset_gaps(landed).groupBy("partition").agg(F.sum(F.col("high") - F.col("low") + 1).alias("missing"))
+    return landed.join(missing, "partition", "left").select(
+        "topic", "partition", "offset", *_payload(), F.coalesce("missing", F.lit(0)).alias("missing")
+    )
+
+
+def bounded_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 777 records of bronze, by offset, as silver; an unreadable bound would take all."""
+    bronze = through_table(configure(spark), event_readings.sample_bronze(spark, sf_dir), "bronze")
+    taken = first_records(first_records(bronze, bound_of("all")), bound_of("777"))
+    return _plain_times(taken).select("partition", "offset", *_payload())
+
+
 def bounded_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A backlog landed one file a micro-batch."""
     day = F.dayofmonth("kafkaTimestamp")
@@ -653,6 +676,8 @@ def _lake_queries() -> dict[str, Query]:
         "bronze_round_trip": bronze_round_trip,
         "bronze_two_landings": bronze_two_landings,
         "bounded_landing": bounded_landing,
+        "bounded_records": bounded_records,
+        "objects_round_trip": objects_round_trip,
         "fan_out": fan_out,
         "risk_score": risk_score,
         "score_severity": score_severity,
@@ -918,6 +943,13 @@ def _lake_sql() -> dict[str, str]:
             SELECT {_RAW}, false AS "hasNewline" FROM readings""",
         "bronze_two_landings": f"WITH {_READINGS} SELECT {_RAW} FROM readings",
         "bounded_landing": f"WITH {_READINGS} SELECT {_RAW} FROM readings",
+        "bounded_records": f"""WITH {_READINGS}
+            SELECT * FROM (SELECT CAST(topic_partition AS INTEGER) AS "partition", event_id AS "offset", {_FIELDS}
+                           FROM readings ORDER BY event_id, topic_partition LIMIT 777)""",
+        "objects_round_trip": f"""WITH {_READINGS}
+            SELECT 'ST' AS topic, CAST(topic_partition AS INTEGER) AS "partition", event_id AS "offset", {_FIELDS},
+                   CAST(max(event_id) OVER place - min(event_id) OVER place + 1 - count(*) OVER place AS BIGINT) AS missing
+            FROM readings WINDOW place AS (PARTITION BY topic_partition)""",
         "fan_out": f"""WITH {_DETECTED}
             SELECT CAST(topic_partition AS INTEGER) AS "partition", CAST(count(*) AS BIGINT) AS records,
                    any_value(found) AS alerts

@@ -2,7 +2,8 @@
 
     python -m telemetry_lake.plans.datalake BRONZE SILVER GOLD [RECORDS]
 
-BRONZE is a landed folder, or `objects:FOLDER` for one object per record. RECORDS bounds the records taken.
+BRONZE is a landed folder, or `objects:FOLDER` for one object per record. RECORDS bounds the records taken; text
+that is no number is no bound.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from telemetry_lake.operators.gold import to_gold
 from telemetry_lake.operators.silver import parse_text_readings, to_silver
 from telemetry_lake.schemas import GOLD, SILVER, AlertRules
 from telemetry_lake.session import configure
-from telemetry_lake.sources.bronze import first_records, read_bronze
+from telemetry_lake.sources.bronze import bound_of, first_records, read_bronze
 from telemetry_lake.sources.lake import read_layer, write_layer
 
 
@@ -35,15 +36,15 @@ def build_layers(
 
 
 def layer_counts(bronze: DataFrame, silver: DataFrame, gold: DataFrame) -> dict[str, int]:
-    """Rows per layer. Layers in Parquet answer from their footers, so nothing is recomputed,
-    and unlike metrics gathered while writing, the counts hold when a task ran twice."""
+    """Rows per layer. Unlike metrics gathered while writing, the counts hold when a task ran twice. Layers
+    in Parquet answer from their footers; bounded bronze counts its offsets again."""
     return {"bronze": bronze.count(), "silver": silver.count(), "gold": gold.count()}
 
 
 def main(args: list[str]) -> None:
     bronze_path, silver_path, gold_path, *bound = args
     spark = configure(SparkSession.builder.appName("telemetry-datalake").getOrCreate())
-    bronze = first_records(read_bronze(spark, bronze_path), int(bound[0]) if bound else None)
+    bronze = first_records(read_bronze(spark, bronze_path), bound_of(bound[0] if bound else None))
     silver, gold = build_layers(bronze, silver_path, gold_path)
     print("[datalake]", layer_counts(bronze, silver, gold))
     spark.stop()

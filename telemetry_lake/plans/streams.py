@@ -6,7 +6,7 @@
     python -m telemetry_lake.plans.streams handle  SOURCE ROOT CHECKPOINT RECIPIENTS [RECLAIM_AFTER]
     python -m telemetry_lake.plans.streams publish MESSAGES kafka:SERVERS/TOPIC CHECKPOINT
 
-SOURCE is a folder, or `kafka:SERVERS/TOPIC` where the Kafka package is installed; `?max=N` behind it
+SOURCE is a folder, `objects:FOLDER` for one object per record, or `kafka:SERVERS/TOPIC` where the Kafka package is installed; `?max=N` behind it
 sets how many files or offsets a micro-batch takes at most, so a backlog is worked off in bounded
 steps. Landing and detection of one topic are two queries with a checkpoint each, so either can be
 stopped alone. `gold` follows the folder that landing writes and keeps hourly gold. `publish` sends the detector's messages to a topic. RECLAIM_AFTER is an interval such as
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from telemetry_lake.session import configure
+from telemetry_lake.sources.bronze import object_stream
 from telemetry_lake.sources.topics import file_stream, kafka_sink, kafka_stream
 from telemetry_lake.streaming.detector import MESSAGE_SCHEMA, DetectorPaths, detect_stream
 from telemetry_lake.streaming.handler import HandlerPaths, handle_stream
@@ -42,6 +43,8 @@ def records(spark: SparkSession, source: str) -> DataFrame:
     source, _, bound = source.partition("?max=")
     if source.startswith("kafka:"):
         return kafka_stream(spark, *_topic_of(source), int(bound or MAX_OFFSETS))
+    if source.startswith("objects:"):
+        return object_stream(spark, source.removeprefix("objects:"), int(bound or MAX_FILES))
     return file_stream(spark, source, int(bound or MAX_FILES))
 
 

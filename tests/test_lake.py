@@ -10,8 +10,10 @@ from telemetry_lake.operators.silver import parse_text_readings, to_silver
 from telemetry_lake.plans.analytics import answer_all
 from telemetry_lake.plans.datalake import build_layers, layer_counts
 from telemetry_lake.schemas import GOLD, SILVER
-from telemetry_lake.sources.bronze import distinct_records, first_records, read_objects
+from telemetry_lake.sources import bronze as bronze_module
+from telemetry_lake.sources.bronze import bound_of, first_records, object_stream, offset_gaps, read_bronze, read_objects, write_objects
 from telemetry_lake.sources.lake import read_layer, through_table, write_layer, write_statistics
+from telemetry_lake.streaming.landing import land
 from tests.samples import reading, topic
 
 
@@ -83,10 +85,80 @@ def test_one_object_per_record_layout(spark, tmp_path):
     assert {r.sensorId for r in silver.collect()} == {"0-3", "0-11", "4-0"}
 
 
-def test_bronze_copies_and_bounds(spark):
-    twice = topic(spark, ["a", "b"]).union(topic(spark, ["a", "b"]))
-    assert distinct_records(twice).count() == 2
-    assert first_records(twice, 3).count() == 3 and first_records(twice, None).count() == 4
+def places(rows):
+    return sorted((r.partition, r.offset, r.value) for r in rows.collect())
+
+
+def landed(spark, path, run, *parts):
+    for batch, part in enumerate(parts):
+        part.write.partitionBy("partition").parquet(f"{path}/run={run}/batch={batch}")
+
+
+def test_copies_of_two_landings_are_taken_once(spark, tmp_path):
+    path = str(tmp_path)
+    landed(spark, path, "a", topic(spark, ["a0", "a1"]), topic(spark, ["a2", "a3"], start=2), topic(spark, ["x"], partition=5))
+    alone = read_bronze(spark, path)
+    assert alone.count() == 5 and "Join" not in alone._jdf.queryExecution().executedPlan().toString()
+    landed(spark, path, "b", topic(spark, ["a3", "a4", "a4"], start=3).filter("value <> 'a4' OR offset = 4"), topic(spark, ["y"], partition=6))
+    landed(spark, path, "c", topic(spark, ["a2", "a3", "a4"], start=2))
+    once = read_bronze(spark, path)
+    assert places(once) == [(0, n, f"a{n}") for n in range(5)] + [(5, 0, "x"), (6, 0, "y")]
+
+
+def test_silver_of_landed_bronze_moves_no_payload(spark, tmp_path):
+    path = str(tmp_path)
+    landed(spark, path, "a", topic(spark, [reading()] * 5))
+    landed(spark, path, "b", topic(spark, [reading()] * 5, start=3))
+    silver = to_silver(parse_text_readings(read_bronze(spark, path)))
+    assert silver.count() == 8
+    plan = silver._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and " Exchange" not in plan.replace("BroadcastExchange", "")
+
+
+def test_the_first_records(spark):
+    rows = topic(spark, [f"p0-{n}" for n in range(30)]).union(topic(spark, [f"p3-{n}" for n in range(0, 20)], partition=3, start=5))
+    rows = rows.union(topic(spark, ["far"], partition=1, start=5_000_000)).repartition(5)
+    order = sorted(places(rows), key=lambda r: (r[1], r[0]))
+    for count in (0, 1, 5, 6, 7, 31, 49, 50, 51, 52, 10**9):
+        assert places(first_records(rows, count)) == sorted(order[:count])
+    assert first_records(rows, None) is rows and first_records(rows, -3).count() == 0
+    plan = first_records(rows, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "Limit" not in plan and "SinglePartition" not in plan
+    assert [bound_of(t) for t in ("12", None, "", "many", "1.5", "-1")] == [12, None, None, None, None, -1]
+
+
+def test_gaps_between_offsets(spark, monkeypatch):
+    monkeypatch.setattr(bronze_module, "GAP_STRETCH", 8)
+    there = [0, 1, 2, 7, 8, 9, 30, 31, 100]
+    rows = topic(spark, ["v"] * 200).filter(F.col("offset").isin(there)).union(topic(spark, ["w"] * 20, partition=2, start=4))
+    gaps = offset_gaps(rows.union(topic(spark, ["one"], partition=7, start=3)))
+    assert sorted((r.partition, r.low, r.high) for r in gaps.collect()) == [(0, 3, 6), (0, 10, 29), (0, 32, 99)]
+
+
+def test_objects_are_landed_a_batch_at_a_time(spark, tmp_path):
+    def put(partition, offset):
+        folder = tmp_path / "objects" / f"partition={partition}"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"offset={offset}.json").write_text(f"{partition}\n-\r\n{offset}")
+
+    def run():
+        records = object_stream(spark, str(tmp_path / "objects"), 2, "ST")
+        land(records, str(tmp_path / "bronze"), str(tmp_path / "cp"), bounded=True).awaitTermination()
+
+    for offset in (0, 1, 3):
+        put(0, offset)
+    run()
+    put(0, 2), put(4, 9)
+    run()
+    found = read_bronze(spark, str(tmp_path / "bronze"))
+    assert places(found) == [(0, n, f"0-{n}") for n in range(4)] + [(4, 9, "4-9")]
+    assert {r.topic for r in found.collect()} == {"ST"} and offset_gaps(found).count() == 0
+    # The same layout written from records: once more over the same objects, and one beside them.
+    rows = topic(spark, [f"0\n-{n}" for n in range(4)]).union(topic(spark, ["4-9"], partition=4, start=9))
+    assert write_objects(rows, str(tmp_path / "objects")) == 5
+    whole = read_bronze(spark, f"objects:{tmp_path / 'objects'}")
+    assert places(whole) == places(found)
+    assert whole.count() == 5 and whole.filter("value LIKE '%-%'").count() == 5
 
 
 def test_through_table_reads_a_scan(spark):
