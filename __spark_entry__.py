@@ -291,7 +291,7 @@ def readings_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def readings_quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     decoded = decode_readings(event_readings.sample_bronze(spark, sf_dir))
-    return quarantined(decoded, BRONZE.names).select("partition", "offset")
+    return quarantined(decoded, BRONZE.names).select("partition", "offset", *_payload())
 
 
 # ---------------------------------------------------------------- detection
@@ -376,6 +376,15 @@ def detect_stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_alerts(holding(said.select("alertId", "severity", "reason", "detectedAt", "source"), withdrawn))
 
 
+def alert_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alert messages by topic key, decoded again, whole."""
+    bronze = event_readings.sample_bronze(configure(spark), sf_dir)
+    readings = through_table(spark, timed_readings(decode_readings(bronze)), "readings")
+    messages = as_messages(detect(readings, EVENT, SAMPLE_RULES))
+    decoded = accepted(decode_alerts(messages))
+    return decoded.select("key", "topic", "partition", "offset", "alertId", "severity", "reason", "detectedAt", *[F.col("source")[n].alias(n) for n in READING_FIELDS])
+
+
 def alert_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alert messages by topic key, decoded again."""
     bronze = event_readings.sample_bronze(configure(spark), sf_dir)
@@ -494,7 +503,19 @@ def claims_of_two_handlers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alerts_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = decode_alerts(event_alerts.sample_messages(configure(spark), sf_dir))
-    return decoded.select("partition", "offset", "isValid")
+    fields = {name: F.col(name) for name in ("alertId", "severity", "reason", "detectedAt")}
+    fields |= {name: F.col("source")[name] for name in READING_FIELDS}
+    read = [F.when(F.col("isValid"), value).alias(name) for name, value in fields.items()]
+    return decoded.select("partition", "offset", "isValid", *read)
+
+
+def alert_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored alerts through their JSON texts, as an operator's query gets them."""
+    arrived = event_alerts.sample_arrivals(configure(spark), sf_dir)
+    alerts_again = alerts.read_payloads(arrived.select(alerts.payload().alias("value")))
+    return alerts_again.select(
+        "alertId", "severity", "originalSeverity", F.col("reason").alias("why"), "detectedAt", *[F.col("source")[n].alias(n) for n in READING_FIELDS]
+    )
 
 
 def stored_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -690,7 +711,9 @@ def _lake_queries() -> dict[str, Query]:
         "detect_stream": detect_streamed,
         "detect_stream_late": detect_stream_late,
         "alert_envelopes": alert_envelopes,
+        "alert_messages": alert_messages,
         "alerts_decoded": alerts_decoded,
+        "alert_payloads": alert_payloads,
         "stored_alerts": stored_alerts,
         "alert_history": _of_store(alert_store.alerts),
         "insert_if_absent": insert_if_absent,
@@ -986,7 +1009,7 @@ def _lake_sql() -> dict[str, str]:
             SELECT CAST(topic_partition AS INTEGER) AS "partition", event_id AS "offset",
                    {_FIELDS} FROM readings WHERE status IS NOT NULL""",
         "readings_quarantined": f"""WITH {_READINGS}
-            SELECT CAST(topic_partition AS INTEGER) AS "partition", event_id AS "offset"
+            SELECT CAST(topic_partition AS INTEGER) AS "partition", event_id AS "offset", {_FIELDS}
             FROM readings WHERE status IS NULL""",
         "detect_batch": detected,
         "detect_batch_small_slices": detected,
@@ -998,9 +1021,33 @@ def _lake_sql() -> dict[str, str]:
             SELECT "transformerId" AS "key", CAST(count(*) AS BIGINT) AS messages,
                    min("detectedAt") AS "firstDetectedAt", max("failureRiskScore") AS "highestScore"
             FROM detected GROUP BY 1""",
-        "alerts_decoded": f"""WITH {_STORED}
-            SELECT CAST(message_partition AS INTEGER) AS "partition", event_id AS "offset",
-                   word IS NOT NULL AS "isValid" FROM messages""",
+        "alert_messages": f"""WITH {_DETECTED}
+            SELECT d."transformerId" AS key, 'ST2' AS topic, CAST(topic_partition AS INTEGER) AS "partition",
+                   event_id AS "offset", d."alertId", d.severity, d.reason, d."detectedAt", {_FIELDS}
+            FROM detected d JOIN readings ON d."sensorId" = sensor_id""",
+        "alerts_decoded": f"""WITH {_STORED}, raw AS (
+              SELECT *, word IS NOT NULL AS valid,
+                CASE WHEN event_id % 10 = 0 THEN '  ' WHEN event_id % 10 <= 2 THEN 'alert-' || (event_id // 10) || '-d'
+                     ELSE chr(9) || 'alert-' || event_id || ' ' END AS raw_id,
+                CASE status WHEN 'overheating' THEN 'critical' WHEN ' Overload ' THEN ' Warning '
+                            WHEN 'normal' THEN 'minor' WHEN 'ONLINE' THEN chr(9) END AS raw_word,
+                CASE WHEN event_id % 4 = 0 THEN '' ELSE ' reason ' || event_id END AS raw_reason,
+                CASE WHEN event_id % 7 = 0 THEN ' ' ELSE r_name END AS raw_region FROM messages)
+            SELECT CAST(message_partition AS INTEGER) AS "partition", event_id AS "offset", valid AS "isValid",
+                   CASE WHEN valid THEN raw_id END AS "alertId", raw_word AS severity,
+                   CASE WHEN valid THEN raw_reason END AS reason, CASE WHEN valid THEN epoch_us(ts) // 1000 END AS "detectedAt",
+                   CASE WHEN valid THEN sensor_id END AS "sensorId", CASE WHEN valid THEN transformer_id END AS "transformerId",
+                   CASE WHEN valid THEN ts_text END AS "timestamp", CASE WHEN valid THEN raw_region END AS region,
+                   CASE WHEN valid THEN voltage END AS voltage, CASE WHEN valid THEN amperes END AS "current",
+                   CASE WHEN valid THEN temperature END AS temperature, CASE WHEN valid THEN load_percent END AS "load",
+                   CASE WHEN valid THEN score END AS "failureRiskScore", CASE WHEN valid THEN status END AS status
+            FROM raw""",
+        "alert_payloads": f"""WITH {_STORED}
+            SELECT "alertId", severity, "originalSeverity", reason AS why, "detectedAt", "sensorId",
+                   transformer_id AS "transformerId", ts_text AS "timestamp",
+                   CASE WHEN event_id % 7 = 0 THEN ' ' ELSE r_name END AS region, voltage, amperes AS "current",
+                   temperature, load_percent AS "load", score AS "failureRiskScore", status
+            FROM stored JOIN (SELECT event_id, ts_text, r_name FROM readings) ON "offset" = event_id""",
         "stored_alerts": f"WITH {_STORED} {_FLAT} FROM stored",
         "alert_history": f"WITH {_STORED} {_FLAT} FROM history",
         "insert_if_absent": f"""WITH {_STORED} {_FLAT} FROM history

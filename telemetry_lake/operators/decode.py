@@ -25,14 +25,15 @@ _MAYBE_NOT_TEXT = r"^(-?[0-9.]+([eE][-+]?[0-9]+)?|true|false|[\[{].*)$"
 _PLAIN_JSON = {"allowNonNumericNumbers": "false", "allowSingleQuotes": "false"}
 
 _ALERT_TEXTS = ("alertId", "severity", "reason")
+_STORED_TEXTS = ("alertId", "severity", "originalSeverity", "reason")
 
 
 def _reading_schema(kind: str) -> str:
     return ", ".join(f"{name} {kind}" for name in READING_FIELDS)
 
 
-def _alert_schema(kind: str) -> str:
-    own = ", ".join(f"{name} {kind}" for name in (*_ALERT_TEXTS, "detectedAt"))
+def _alert_schema(kind: str, texts: tuple[str, ...]) -> str:
+    own = ", ".join(f"{name} {kind}" for name in (*texts, "detectedAt"))
     return f"{own}, source struct<{_reading_schema(kind)}>"
 
 
@@ -130,22 +131,30 @@ def decode_readings(raw: DataFrame) -> DataFrame:
 
 def decode_alerts(raw: DataFrame) -> DataFrame:
     """`raw` plus `alertId, severity, reason, detectedAt, source` and `isValid`."""
+    return _decode_envelopes(raw, _ALERT_TEXTS)
+
+
+def decode_stored(raw: DataFrame) -> DataFrame:
+    """Stored payloads in `value`, by the same rules: `raw` plus `alertId, severity, originalSeverity, reason,
+    detectedAt, source` and `isValid`."""
+    return _decode_envelopes(raw, _STORED_TEXTS)
+
+
+def _decode_envelopes(raw: DataFrame, texts: tuple[str, ...]) -> DataFrame:
     parsed, typed = F.col("_parsed"), F.col("_typed")
     fields = [
-        *[parsed[name].alias(name) for name in _ALERT_TEXTS],
+        *[parsed[name].alias(name) for name in texts],
         _number(parsed["detectedAt"], "bigint").alias("detectedAt"),
         F.struct(*_reading(parsed["source"])).alias("source"),
     ]
     typed_fields = [
-        *[_typed_text(typed[name]).alias(name) for name in _ALERT_TEXTS],
+        *[_typed_text(typed[name]).alias(name) for name in texts],
         _number(F.try_variant_get(typed["detectedAt"], "$", "string"), "bigint").alias("detectedAt"),
         F.struct(*_typed_reading(typed["source"])).alias("source"),
     ]
-    doubts = [*[_doubt(parsed[name]) for name in _ALERT_TEXTS], *_doubts(parsed["source"])]
-    needed = [*_ALERT_TEXTS, "detectedAt", *[f"source.{name}" for name in READING_FIELDS]]
-    return _decode(
-        raw, _alert_schema("string"), _alert_schema("variant"), fields, typed_fields, doubts, needed
-    )
+    doubts = [*[_doubt(parsed[name]) for name in texts], *_doubts(parsed["source"])]
+    needed = [*texts, "detectedAt", *[f"source.{name}" for name in READING_FIELDS]]
+    return _decode(raw, _alert_schema("string", texts), _alert_schema("variant", texts), fields, typed_fields, doubts, needed)
 
 
 def accepted(decoded: DataFrame) -> DataFrame:

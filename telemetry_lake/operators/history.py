@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from telemetry_lake.functions.messages import log_line
 from telemetry_lake.functions.severity import CRITICAL, WARNING, badge_class, severity_category
 from telemetry_lake.functions.text import MISSING_ALERT_ID, NO_REASON, UNKNOWN, or_fallback, region_or_unknown
-from telemetry_lake.schemas import HISTORY
+from telemetry_lake.operators.decode import decode_stored
+from telemetry_lake.schemas import HISTORY, NUMBER_FIELDS, READING_FIELDS, STORED_ALERT
 
 RECENT_LIMIT = 500
 LATEST_LIMIT = 10
@@ -44,6 +45,29 @@ def stored_alerts(alerts: DataFrame) -> DataFrame:
     )
 
 
+def payload() -> Column:
+    """A stored alert as one JSON text, with every field: a measurement that is no number is written as null."""
+    source = F.struct(
+        *[
+            F.when(~F.isnan(F.col("source")[name]), F.col("source")[name]).alias(name)
+            if name in NUMBER_FIELDS
+            else F.col("source")[name].alias(name)
+            for name in READING_FIELDS
+        ]
+    )
+    own = [name for name in STORED_ALERT.names if name != "source"]
+    return F.to_json(F.struct(*own, source.alias("source")), {"ignoreNullFields": "false"})
+
+
+def read_payloads(rows: DataFrame) -> DataFrame:
+    """The stored alerts of JSON texts in `value`. One that cannot be read fails the query, as an answer that
+    left it out would be wrong."""
+    decoded = decode_stored(rows.select("value"))
+    broken = F.raise_error(F.concat(F.lit("Invalid alert payload: "), F.coalesce("value", F.lit("null"))))
+    first, *rest = STORED_ALERT.names
+    return decoded.select(F.when(F.col("isValid"), F.col(first)).otherwise(broken).alias(first), *rest)
+
+
 def first_arrivals(stored: DataFrame) -> DataFrame:
     """One row per alert id: the message with the lowest (partition, offset).
 

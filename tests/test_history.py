@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from telemetry_lake.operators import history
 from telemetry_lake.operators.decode import accepted, decode_alerts
-from telemetry_lake.schemas import HISTORY
+from telemetry_lake.schemas import HISTORY, STORED_ALERT
 from tests.samples import alert, topic
 
 
@@ -106,3 +108,21 @@ def test_log_lines(spark):
     ]
     assert lines["b"].splitlines()[0] == lines["b"].splitlines()[-1] == "=" * 60
     assert lines["c"].startswith("[UNKNOWN SEVERITY] alert=c severity=MINOR region=unknown-region")
+
+
+def test_payloads_read_back_whole(spark):
+    rows = history.stored_alerts(accepted(decode_alerts(topic(spark, [alert("a", reason="q\"é\n"), alert("b", "minor", voltage=None)]))))
+    texts = rows.select(history.payload().alias("value"))
+    back = history.read_payloads(texts)
+    assert back.columns == STORED_ALERT.names
+    want = sorted(map(repr, rows.select(*STORED_ALERT.names).collect()))
+    assert sorted(map(repr, back.collect())) == want and "nan" in "".join(want)
+    assert all(json.loads(r.value).keys() == set(STORED_ALERT.names) for r in texts.collect())
+
+
+@pytest.mark.parametrize("broken", ["{", "{}", None, '{"alertId": 3}'])
+def test_a_broken_payload_fails_the_query(spark, broken):
+    rows = history.stored_alerts(accepted(decode_alerts(topic(spark, [alert("a")]))))
+    texts = rows.select(history.payload().alias("value")).union(spark.createDataFrame([(broken,)], "value string"))
+    with pytest.raises(Exception, match="Invalid alert payload"):
+        history.read_payloads(texts).collect()
