@@ -414,6 +414,10 @@ def _flat_history(rows: DataFrame) -> DataFrame:
     )
 
 
+def alert_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat_history(alerts.first_arrivals(event_alerts.sample_arrivals(configure(spark), sf_dir)))
+
+
 # Where the sample's history is stored, by application and data.
 _STORES: dict[tuple[str, str], str] = {}
 
@@ -715,7 +719,8 @@ def _lake_queries() -> dict[str, Query]:
         "alerts_decoded": alerts_decoded,
         "alert_payloads": alert_payloads,
         "stored_alerts": stored_alerts,
-        "alert_history": _of_store(alert_store.alerts),
+        "alert_history": alert_history,
+        "history_stored": _of_store(alert_store.alerts),
         "insert_if_absent": insert_if_absent,
         "history_while_merging": history_while_merging,
         "alerts_newest_first": _of_store(lambda spark, folder: alerts.newest_first(alert_store.alerts(spark, folder))),
@@ -1050,6 +1055,7 @@ def _lake_sql() -> dict[str, str]:
             FROM stored JOIN (SELECT event_id, ts_text, r_name FROM readings) ON "offset" = event_id""",
         "stored_alerts": f"WITH {_STORED} {_FLAT} FROM stored",
         "alert_history": f"WITH {_STORED} {_FLAT} FROM history",
+        "history_stored": f"WITH {_STORED} {_FLAT} FROM history",
         "insert_if_absent": f"""WITH {_STORED} {_FLAT} FROM history
             WHERE "alertId" NOT IN (SELECT "alertId" FROM stored WHERE "partition" % 2 = 0)""",
         "alerts_newest_first": f"WITH {_STORED} {_FLAT} FROM history{_NEWEST}",

@@ -53,8 +53,9 @@ def _write(rows: DataFrame, counts: DataFrame | None, table: str, name: str) ->
     spark = rows.sparkSession
     folder = f"{table}/alerts/part={name}"
     dated = rows.select(*HISTORY.names).withColumn("day", _day_of(_hour()))
-    dealt = dated.hint("rebalance", F.col("day"), F.col("region"))
-    dealt.sortWithinPartitions("day", "region", "detectedAt").write.partitionBy("day", "region").parquet(folder)
+    # Ranges of the order itself: a region's crowded day is cut by time, and files of a day do not overlap.
+    order = ["day", "region", "detectedAt", KEY]
+    dated.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("day", "region").parquet(folder)
     written = spark.read.schema(StructType([*HISTORY.fields, _DAY])).parquet(folder)
     said = keyed.write_part(written.select(*IDS.names), table, name, KEY, IDS)
     if counts is None:
