@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from telemetry_lake.operators import history, outbox
 from telemetry_lake.operators.decode import accepted, decode_alerts
+from telemetry_lake.plans.maintain import maintain
 from telemetry_lake.schemas import LEDGER
 from telemetry_lake.sources import alert_store, commits, ledger_store
 from tests.samples import alert, topic
@@ -216,3 +217,19 @@ def test_merged_ledger_keeps_every_entry(spark, tmp_path):
     state = outbox.ledger_state(ledger_store.entries(spark, table).select(*LEDGER.names))
     assert {(r.status, r.revision) for r in state.collect()} == {("SENDING", 10)}
     assert ledger_store.claims_of(spark, table, last, ids, "q", 4).count() == 4
+
+
+def test_maintenance_removes_what_is_merged(spark, tmp_path):
+    history_table, ledger_table = str(tmp_path / "history"), str(tmp_path / "ledger")
+    for batch in range(3):
+        rows = arrivals(spark, alert(f"id-{batch}"))
+        alert_store.insert_absent(spark, history_table, rows, "q", batch)
+        ids = rows.select("alertId")
+        ledger_store.append_step(spark, ledger_table, ids, claimer(ids, rows, "12:00"), "q", batch)
+    assert maintain(spark, history_table, ledger_table, keep=1, fan_in=3) == {history_table: 1, ledger_table: 1}
+    for table, kinds in ((history_table, 4), (ledger_table, 2)):
+        assert len(list((tmp_path / table).glob("*/part=*"))) == kinds
+        assert len(list((tmp_path / table / "versions").glob("*.json"))) == 1
+    assert alert_store.alerts(spark, history_table).count() == 3 and len(owners(spark, ledger_table)) == 3
+    # Nothing is due, and nothing but the last version is left to read.
+    assert maintain(spark, history_table, ledger_table, keep=1, fan_in=3)[history_table] == 1

@@ -41,8 +41,7 @@ def in_time(rows):
     return sorted(rows, key=lambda r: r[2])
 
 
-@pytest.mark.parametrize("width", [3_000_000, None])
-def test_shuffled_readings_end_as_the_replay_does(spark, tmp_path, monkeypatch, width):
+def test_shuffled_readings_end_as_the_replay_does(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(corrections, "WHOLE", 2)
     rng, paths = random.Random(3), paths_in(tmp_path)
     rows = [
@@ -54,7 +53,7 @@ def test_shuffled_readings_end_as_the_replay_does(spark, tmp_path, monkeypatch,
     so_far = []
     for batch, (a, b) in enumerate([(0, 50), (50, 51), (51, 100), (100, 130), (130, 160)]):
         so_far += arrival[a:b]
-        version = take(spark, paths, arrival[a:b], batch, 30, width)
+        version = take(spark, paths, arrival[a:b], batch, 30, 3_000_000)
         assert holds(spark, paths) == brute_force(in_time(so_far), 4.0)
     assert read_table(spark, paths.withdrawn, WITHDRAWN).count() == 5
     # What is settled is let go of: only late parts still hold open readings.
