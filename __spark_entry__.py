@@ -427,7 +427,7 @@ def _stored_history(spark: SparkSession, sf_dir: str) -> str:
     each of them twice."""
     configure(spark)
     place = spark.sparkContext.applicationId, sf_dir
-    if place not in _STORES:
+    if place not in _STORES or not commits.exists(spark, f"{_STORES[place]}/versions"):
         folder = scratch_dir(spark, "history")
         arrived = through_table(spark, event_alerts.sample_arrivals(spark, sf_dir), "arrivals")
         for batch in (0, 0, 1, 1):
