@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import sentencepiece
 from public_tokenizers import path
@@ -40,7 +41,7 @@ LONGEST = 62
 # Rows of an input file that share a dictionary.
 BLOCK = 1 << 13
 # Distinct words a task holds before it hands them on.
-HELD = 500_000
+HELD = 200_000
 # What Viterbi charges for a character without a piece.
 UNKNOWN = -100.0
 
@@ -283,44 +284,57 @@ def encode(blocked: DataFrame, model: str = MODEL, fold: str = "merge") -> DataF
     finally:
         needed.unpersist()
 
-    def dictionary(block: int) -> dict[str, bytes]:
-        store, base = file_store(folder)
-        if store.get_file_info(f"{base}/block={block}").type.name == "NotFound":
-            return {}
-        rows = pq.read_table(f"{base}/block={block}", filesystem=store, columns=["word", "ids"], partitioning=None)
-        ids = rows["ids"].combine_chunks()
-        flat, ends = ids.values.to_numpy().astype("<u4").tobytes(), ids.offsets.to_numpy() * 4
-        spans = zip(rows["word"].to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)
-        return {word: flat[a:b] for word, a, b in spans}
-
     def apply(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, known = None, None
         for part in parts:
-            out = []
-            for block, value in zip(part.column(1).to_pylist(), part.column(2), strict=True):
-                if block != now:
+            out: list[bytes] = []
+            blocks = part.column(1).to_numpy()
+            for rows in np.split(np.arange(len(blocks)), np.flatnonzero(np.diff(blocks)) + 1):
+                if not len(rows):
+                    continue
+                if (block := int(blocks[rows[0]])) != now:
                     known = None  # before the next dictionary is loaded
-                    now, known = block, _Known(dictionary(block), pieces, model)
-                text = value.as_py() or ""
-                out.append(b"".join(map(known.__getitem__, text.split(" "))) if _plain(text) else known.of(words(text, pieces)))
+                    now, known = block, Dictionary(folder, block)
+                texts = [value.as_py() or "" for value in part.column(2).slice(rows[0], len(rows))]
+                out += _spelled(texts, known, pieces, model)
             yield pa.record_batch([part.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
     return blocked.select("doc_id", "block", "text").mapInArrow(apply, "doc_id long, ids binary")
 
 
-class _Known(dict):
-    """A block's ids by the parts between spaces, each put together from its words when first asked for."""
+class Dictionary:
+    """A block's words and ids, as Arrow columns: a word costs its bytes, and no Python object."""
 
-    def __init__(self, ids: dict[str, bytes], pieces: Pieces, model: str):
-        super().__init__()
-        self.ids, self.pieces, self.model = ids, pieces, model
-
-    def of(self, found: list[str]) -> bytes:
-        return b"".join([self.ids.get(w) or _long_word(w, self.model) for w in found])
-
-    def __missing__(self, part: str) -> bytes:
-        value = self[part] = self.of(words(part, self.pieces) or [MARK])
-        return value
+    def __init__(self, folder: str, block: int):
+        store, base = file_store(folder)
+        self.words, self.ids, self.ends = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        if store.get_file_info(f"{base}/block={block}").type.name != "NotFound":
+            rows = pq.read_table(f"{base}/block={block}", filesystem=store, columns=["word", "ids"], partitioning=None)
+            ids = rows["ids"].combine_chunks()
+            self.words = rows["word"].combine_chunks()
+            self.ids, self.ends = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
+
+    def of(self, some: list[str]) -> dict[str, bytes]:
+        """The ids of those of the words that the dictionary has."""
+        places = pc.index_in(pa.array(some, pa.string()), self.words).fill_null(-1).to_numpy()
+        first, stop = self.ends[places], self.ends[np.minimum(places + 1, len(self.ends) - 1)]
+        found = zip(some, places.tolist(), first.tolist(), stop.tolist(), strict=True)
+        return {word: self.ids[a:b].tobytes() for word, place, a, b in found if place >= 0}
+
+
+def _spelled(texts: list[str], known: Dictionary, pieces: Pieces, model: str) -> list[bytes]:
+    """The ids of each text; a part between spaces, and a word, is looked up once for all of them."""
+    plain = [_plain(text) for text in texts]
+    between = {part: words(part, pieces) or [MARK] for part in set().union(*(t.split(" ") for t, p in zip(texts, plain, strict=True) if p))}
+    other = [[] if p else words(t, pieces) for t, p in zip(texts, plain, strict=True)]
+    every = set().union(*between.values(), *other)
+    ids = known.of(list(every))
+    ids |= {word: _long_word(word, model) for word in every if word not in ids}
+    spelled = {part: b"".join([ids[w] for w in found]) for part, found in between.items()}
+    return [
+        b"".join([spelled[part] for part in t.split(" ")]) if p else b"".join([ids[w] for w in found])
+        for t, p, found in zip(texts, plain, other, strict=True)
+    ]
 
 
 def _long_word(word: str, model: str) -> bytes:
