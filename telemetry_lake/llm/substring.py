@@ -33,6 +33,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.99
 TILE = 256
+# Bytes of short texts that a task hashes together, so that numpy's calls are few and their arrays stay in the cache.
+TOGETHER = 1 << 18
+# Runs that a task hands on at once.
+HELD = 1 << 17
 # Bits of a bitmap: 2**18 rows of 64 bits where it is a table, 2 MB where it is an array.
 BITMAP = 1 << 24
 
@@ -54,12 +58,16 @@ _SEEDS = np.random.default_rng(11).integers(0, 2**64, (2, BANDS * ROWS, 1), np.u
 
 
 class Document:
-    """Words and paragraphs of one text, by byte."""
+    """Words and paragraphs of one text, or of several one after another, by byte."""
 
-    def __init__(self, text: bytes):
-        self.data = np.frombuffer(text, np.uint8)
+    def __init__(self, *texts: bytes):
+        # A line end between two texts: no word and no line spans them.
+        self.data = np.frombuffer(b"\n".join(texts), np.uint8)
+        self.offsets = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
         self.starts, self.ends = word_spans(self.data)
         self.words = span_hashes(self.data, self.starts, self.ends)
+        # The first word of each text.
+        self.begins = np.searchsorted(self.starts, self.offsets)
         breaks = np.flatnonzero(self.data == ord("\n"))
         cuts = np.concatenate(([0], np.searchsorted(self.starts, breaks), [len(self.words)]))
         long = np.diff(cuts) >= WORDS
@@ -89,17 +97,27 @@ class Document:
         return total.T
 
     def runs(self) -> tuple[np.ndarray, np.ndarray]:
-        """First words and hashes of the chosen runs of WORDS words; the text's first and last run are chosen."""
+        """First words and hashes of the chosen runs of WORDS words; a text's first and last run are chosen."""
         if len(self.words) < WORDS:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         hashes = shingles(self.words, WORDS)
-        if len(hashes) >= GAP:
-            least = np.lib.stride_tricks.sliding_window_view(hashes, GAP).argmin(axis=1) + np.arange(len(hashes) - GAP + 1)
-        else:
-            least = hashes.argmin(keepdims=True)
-        at = np.unique(np.concatenate(([0, len(hashes) - 1], least)))
+        # Each text's first run and the one behind its last.
+        first, stop = self.begins, np.append(self.begins[1:], len(self.words)) - WORDS + 1
+        first, stop = first[stop > first], stop[stop > first]
+        chosen = np.zeros(len(hashes), bool)
+        chosen[first] = chosen[stop - 1] = True
+        long = stop - first >= GAP
+        least = leftmost_least(hashes, GAP)
+        inside = np.zeros(len(least) + 1, np.int64)
+        np.add.at(inside, first[long], 1)
+        np.add.at(inside, stop[long] - GAP + 1, -1)
+        chosen[least[np.cumsum(inside)[:-1] > 0]] = True
+        for a, b in zip(first[~long].tolist(), stop[~long].tolist(), strict=True):
+            chosen[a + hashes[a:b].argmin()] = True
         # A word said over and over makes one run, not one at every word.
-        at = at[(at == 0) | (hashes[at] != hashes[at - 1])]
+        new = np.append(True, hashes[1:] != hashes[:-1])
+        new[first] = True
+        at = np.flatnonzero(chosen & new)
         return at, hashes[at]
 
     def around(self, seeds: np.ndarray, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -127,9 +145,29 @@ class Document:
         return hashes[first[near]], first[near], last[near] + WORDS - 1, wanted[near]
 
 
-def _texts(column: pa.Array) -> Iterator[bytes]:
-    for value in column:
-        yield value.as_py() or b""
+def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least value, the leftmost of equal ones, in every stretch of `width` values."""
+    at, reach = np.arange(len(values)), 1
+    while reach < width and len(at):
+        step = min(reach, width - reach)
+        left, right = at[: max(len(at) - step, 0)], at[step:]
+        at, reach = np.where(values[right] < values[left], right, left), reach + step
+    return at
+
+
+def _together(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """The column's texts in groups of up to TOGETHER bytes, a longer one by itself, and each group's first row."""
+    group: list[bytes] = []
+    size = first = 0
+    for k, value in enumerate(column):
+        text = value.as_py() or b""
+        if group and size + len(text) > TOGETHER:
+            yield first, group
+            group, size, first = [], 0, k
+        group.append(text)
+        size += len(text) + 1
+    if group:
+        yield first, group
 
 
 UNITS = "run boolean, key long, doc_id long, row long, start int, stop int, bands array<long>"
@@ -146,27 +184,33 @@ def units(docs: DataFrame) -> DataFrame:
     def find(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             columns: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (bool, np.int64, np.int64, np.int64, np.int32, np.int32)]
-            bands, widths, known = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)], []
-            for doc_id, row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _texts(part.column(2)), strict=True):
-                doc = Document(text)
+            bands, widths = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+            missing = [np.zeros(0, bool)]
+            doc_ids = part.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            unknown = part.column(0).is_null().to_numpy(zero_copy_only=False)
+            rows = part.column(1).to_numpy(zero_copy_only=False)
+            for base, texts in _together(part.column(2)):
+                doc = Document(*texts)
                 at, hashes = doc.runs()
                 n, m = len(doc.first), len(at)
                 if not n + m:
                     continue
                 keys = np.concatenate((doc.line_keys(), hashes)).view(np.int64)
-                starts = doc.starts[np.concatenate((doc.first, at))]
-                stops = doc.ends[np.concatenate((doc.last, at + WORDS)) - 1]
-                same = np.full(n + m, doc_id or 0), np.full(n + m, row)
-                for held, new in zip(columns, (np.arange(n + m) >= n, keys, *same, starts, stops), strict=True):
+                heads = np.concatenate((doc.first, at))
+                owner = np.searchsorted(doc.begins, heads, "right") - 1
+                starts = doc.starts[heads] - doc.offsets[owner]
+                stops = doc.ends[np.concatenate((doc.last, at + WORDS)) - 1] - doc.offsets[owner]
+                owner += base
+                fresh = (np.arange(n + m) >= n, keys, doc_ids[owner], rows[owner], starts, stops)
+                for held, new in zip(columns, fresh, strict=True):
                     held.append(new)
-                known.append(np.full(n + m, doc_id is not None))
+                missing.append(unknown[owner])
                 bands.append(doc.bands().view(np.int64).ravel())
                 widths += [np.full(n, BANDS), np.zeros(m, np.int64)]
             run, key, doc_id, row, start, stop = map(np.concatenate, columns)
-            missing = ~np.concatenate([np.zeros(0, bool), *known])
             places = np.cumsum(np.concatenate(widths)).astype(np.int32)
             banded = pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(bands)))
-            arrays = [pa.array(run), pa.array(key), pa.array(doc_id, mask=missing), pa.array(row)]
+            arrays = [pa.array(run), pa.array(key), pa.array(doc_id, mask=np.concatenate(missing)), pa.array(row)]
             arrays += [pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), banded]
             yield pa.record_batch(arrays, [f.split()[0] for f in UNITS.split(", ")])
 
@@ -224,8 +268,8 @@ def _line_shingles(docs: DataFrame, keys: DataFrame) -> DataFrame:
     def find(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             lines: dict[int, np.ndarray] = {}
-            for text in _texts(part.column(0)):
-                doc = Document(text)
+            for _, texts in _together(part.column(0)):
+                doc = Document(*texts)
                 keys = doc.line_keys()
                 at = _spark_hash(keys.view(np.int64)) % BITMAP
                 hit = slots.value[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)
@@ -343,13 +387,19 @@ def _repeated_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
     def extend(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in AROUND.split(", ")]
         for part in parts:
-            for doc_id, row, text, seeds, repeated in zip(*part.columns, strict=True):
+            found: list[tuple[np.ndarray, ...]] = []
+            for k, (text, seeds, repeated) in enumerate(zip(*part.columns[2:], strict=True)):
                 doc = Document(text.as_py())
                 seeds, repeated = (np.searchsorted(doc.starts, x.values.to_numpy(zero_copy_only=False)) for x in (seeds, repeated))
                 keys, first, last, wanted = doc.around(seeds, repeated)
-                places = [pa.array(x.astype(np.int32), mask=~wanted) for x in (doc.starts[first], doc.ends[last])]
-                same = [pa.array([x.as_py()] * len(keys), pa.int64()) for x in (doc_id, row)]
-                yield pa.record_batch([pa.array(keys.view(np.int64)), *same, *places], names)
+                same = np.full(len(keys), k)
+                found.append((same, keys.view(np.int64), doc.starts[first].astype(np.int32), doc.ends[last].astype(np.int32), wanted))
+                if sum(len(f[0]) for f in found) >= HELD or k + 1 == len(part):
+                    owner, keys, start, stop, wanted = map(np.concatenate, zip(*found, strict=True))
+                    same = (part.column(i).take(pa.array(owner)) for i in (0, 1))
+                    places = (pa.array(x, mask=~wanted) for x in (start, stop))
+                    yield pa.record_batch([pa.array(keys), *same, *places], names)
+                    found = []
 
     around = stored(some.mapInArrow(extend, AROUND), "around")
     wanted = around.where("start IS NOT NULL")
