@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from telemetry_lake.llm import substring as ss
@@ -163,3 +164,36 @@ def test_a_word_said_over_and_over_is_one_place(spark):
     rows = [(0, f"{x[0]} {'of ' * 300}{x[1]}"), (1, f"{x[2]} {'of ' * 500}{x[3]}")]
     got = {r.doc_id: r.text for r in run(spark, rows)}
     assert got == {0: rows[0][1], 1: f"{x[2]} {x[3]}"}
+
+
+def test_texts_hashed_together_are_as_by_themselves():
+    texts = ["", "a b", prose(19), prose(20), prose(33), "x " * 30, "", prose(400) + "\n" + prose(25) + "\n\n" + prose(3), "of " * 500, prose(21), ""]
+    texts = [t.encode() for t in texts]
+    doc = ss.Document(*texts)
+    at, hashes = doc.runs()
+    owner, line_owner = (np.searchsorted(doc.begins, x, "right") - 1 for x in (at, doc.first))
+    bands, keys = doc.bands(), doc.line_keys()
+    for k, text in enumerate(texts):
+        one = ss.Document(text)
+        one_at, one_hashes = one.runs()
+        assert (doc.starts[at[owner == k]] - doc.offsets[k]).tolist() == one.starts[one_at].tolist()
+        assert hashes[owner == k].tolist() == one_hashes.tolist()
+        assert keys[line_owner == k].tolist() == one.line_keys().tolist()
+        assert bands[line_owner == k].tolist() == one.bands().tolist()
+
+
+def test_the_leftmost_least_of_every_stretch():
+    for n in (0, 1, 5, 13, 14, 15, 60):
+        values = np.array([RNG.randrange(9) for _ in range(n)], np.uint64)
+        for width in (1, 2, 5, 14):
+            want = [k + int(values[k : k + width].argmin()) for k in range(n - width + 1)]
+            assert ss.leftmost_least(values, width).tolist() == want
+
+
+def test_groups_hold_every_text_once(monkeypatch):
+    monkeypatch.setattr(ss, "TOGETHER", 10)
+    column = pa.array([b"abc", None, b"", b"x" * 50, b"defghi", b"jklmnop", b"q"])
+    groups = list(ss._together(column))
+    assert [t for _, group in groups for t in group] == [v or b"" for v in column.to_pylist()]
+    assert [first for first, _ in groups] == [sum(len(g) for _, g in groups[:k]) for k in range(len(groups))]
+    assert list(ss._together(pa.array([], pa.binary()))) == []
