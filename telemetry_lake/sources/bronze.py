@@ -33,10 +33,10 @@ def read_landed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BRONZE).parquet(path).select(*BRONZE.names)
 
 
-def _as_objects(texts: DataFrame, topic: str | None) -> DataFrame:
+def _as_objects(files: DataFrame, topic: str | None) -> DataFrame:
     name = F.col("_metadata.file_path")
-    return texts.select(
-        "value",
+    return files.select(
+        F.col("content").cast("string").alias("value"),
         F.lit(topic).cast("string").alias("topic"),
         "partition",
         F.regexp_extract(name, r"offset(?:=|%3D)([0-9]+)", 1).try_cast("bigint").alias("offset"),
@@ -44,7 +44,8 @@ def _as_objects(texts: DataFrame, topic: str | None) -> DataFrame:
     )
 
 
-_OBJECT = "value string, partition int"
+# Spark opens a small file some ten times faster as bytes than as a whole text.
+_OBJECT = "path string, modificationTime timestamp, length long, content binary, partition int"
 
 
 def read_objects(spark: SparkSession, path: str, topic: str | None = None) -> DataFrame:
@@ -52,16 +53,16 @@ def read_objects(spark: SparkSession, path: str, topic: str | None = None) -> Da
 
     Spark packs many of the small objects into one task. The record time is unknown there.
     """
-    return _as_objects(spark.read.schema(_OBJECT).text(path, wholetext=True), topic)
+    return _as_objects(spark.read.schema(_OBJECT).format("binaryFile").load(path), topic)
 
 
 def object_stream(spark: SparkSession, path: str, max_files: int | None = None, topic: str | None = None) -> DataFrame:
     """The same layout as a stream, so that objects can be landed a batch at a time: the stream's own log
     remembers which objects it has taken, and a batch opens the new ones only."""
-    reader = spark.readStream.schema(_OBJECT)
+    reader = spark.readStream.schema(_OBJECT).format("binaryFile")
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return _as_objects(reader.text(path, wholetext=True), topic)
+    return _as_objects(reader.load(path), topic)
 
 
 def write_objects(bronze: DataFrame, folder: str) -> int:

@@ -85,6 +85,19 @@ def test_one_object_per_record_layout(spark, tmp_path):
     assert {r.sensorId for r in silver.collect()} == {"0-3", "0-11", "4-0"}
 
 
+def test_small_objects_share_tasks(spark, tmp_path):
+    for n in range(400):
+        folder = tmp_path / f"partition={n % 2}"
+        folder.mkdir(exist_ok=True)
+        (folder / f"offset={n}.json").write_bytes(f"\ufeff{n} \u00e9\n".encode())
+    rows = read_objects(spark, str(tmp_path))
+    # Hardly more than cores: the default cost of opening a file gives 13.
+    assert rows.rdd.getNumPartitions() <= 6
+    assert {(r.offset, r.partition): r.value for r in rows.collect()} == {
+        (n, n % 2): f"\ufeff{n} \u00e9\n" for n in range(400)
+    }
+
+
 def places(rows):
     return sorted((r.partition, r.offset, r.value) for r in rows.collect())
 
