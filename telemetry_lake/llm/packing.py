@@ -21,6 +21,8 @@ from telemetry_lake.llm import tokens
 from telemetry_lake.llm.common import configure, table, texts
 
 LENGTH = 4096
+# Documents of one batch of pieces; their ids' bytes stay far below 2 GB.
+DOCUMENTS = 200
 PIECES = "doc_id long, start long, length long, doc_tokens long, bucket int, ids binary"
 
 
@@ -29,6 +31,26 @@ def piece_lengths(n: int, longest: int = LENGTH) -> list[int]:
     return [longest] * (n // longest) + [1 << k for k in reversed(range(longest.bit_length() - 1)) if n % longest >> k & 1]
 
 
+def _cut(doc_ids: pa.Array, encoded: list[bytes], longest: int) -> pa.RecordBatch:
+    """The pieces of some documents, whose ids are given as bytes, one document after another."""
+    sizes = np.array([len(ids) // 4 for ids in encoded], np.int64)
+    cut = [piece_lengths(n, longest) for n in sizes.tolist()]
+    counts = np.array([len(lengths) for lengths in cut], np.int64)
+    lengths = np.array([n for some in cut for n in some], np.int64)
+    # Pieces follow one another, so their ends are those of the ids put together.
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    of = np.repeat(np.arange(len(sizes)), counts)
+    columns = [
+        doc_ids.cast(pa.int64()).take(pa.array(of)),
+        pa.array(ends[:-1] - (np.cumsum(sizes) - sizes)[of]),
+        pa.array(lengths),
+        pa.array(sizes[of]),
+        pa.array(np.log2(lengths).astype(np.int32)),
+        pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(b"".join(encoded))]),
+    ]
+    return pa.record_batch(columns, ["doc_id", "start", "length", "doc_tokens", "bucket", "ids"])
+
+
 def pieces(docs: DataFrame, longest: int = LENGTH, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
     """The sequences of every row of `doc_id`, `text` (further columns are left out).
 
@@ -44,34 +66,13 @@ def pieces(docs: DataFrame, longest: int = LENGTH, vocabulary: str = tokens.VOCA
     configure(docs.sparkSession)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for doc_id, text in zip(part.column(0), texts(part.column(1)), strict=True):
-                ids = tokens.encode(text, vocabulary)
-                lengths = np.array(piece_lengths(len(ids) // 4, longest), np.int64)
-                starts = np.cumsum(lengths) - lengths
-                same = np.ones(len(lengths), np.int64)
-                columns = [
-                    pa.array([doc_id.as_py()] * len(lengths), pa.int64()),
-                    pa.array(starts),
-                    pa.array(lengths),
-                    pa.array(same * (len(ids) // 4)),
-                    pa.array(np.log2(lengths).astype(np.int32)),
-                    pa.array([ids[4 * a : 4 * (a + n)] for a, n in zip(starts, lengths, strict=True)], pa.binary()),
-                ]
-                yield pa.record_batch(columns, ["doc_id", "start", "length", "doc_tokens", "bucket", "ids"])
-
-    def joined(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Some hundred documents' pieces to a batch."""
-        held: list[pa.RecordBatch] = []
-        for part in batches(parts):
-            held.append(part)
-            if len(held) == 200:
-                yield pa.concat_batches(held)
-                held = []
-        if held:
-            yield pa.concat_batches(held)
-
-    found = docs.select("doc_id", "text").mapInArrow(joined, PIECES)
+        for part in parts:
+            for at in range(0, part.num_rows, DOCUMENTS):
+                some = part.slice(at, DOCUMENTS)
+                yield _cut(some.column(0), [tokens.encode(text, vocabulary) for text in texts(some.column(1))], longest)
+
+    found = docs.select("doc_id", "text").mapInArrow(batches, PIECES)
     return found.withColumn("sequence_id", F.monotonically_increasing_id())
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from public_tokenizers import path
 from tokenizers import Tokenizer
@@ -115,3 +116,17 @@ def test_pieces_cover_each_document(spark, tmp_path):
         assert at == len(ids) and len(mine) == copies * len(mine[::copies])
     packing.write_buckets(found, str(tmp_path / "b"))
     assert spark.read.parquet(str(tmp_path / "b")).count() == len(got)
+
+
+def test_documents_are_cut_together():
+    sizes = [5, 0, 1, 19, 8]
+    encoded = [bytes([doc]) * 4 * n for doc, n in enumerate(sizes)]
+    found = packing._cut(pa.array([7, None, 3, 7, -1], pa.int64()), encoded, 8)
+    found.validate(full=True)
+    lengths = [(7, 0, [4, 1]), (3, 2, [1]), (7, 3, [8, 8, 2, 1]), (-1, 4, [8])]
+    want = [
+        (doc_id, sum(cut[:k]), n, sizes[doc], n.bit_length() - 1, bytes([doc]) * 4 * n)
+        for doc_id, doc, cut in lengths
+        for k, n in enumerate(cut)
+    ]
+    assert [tuple(row.values()) for row in found.to_pylist()] == want
