@@ -13,6 +13,7 @@ Every micro-batch is a part (see `commits`) of four kinds of files, which appear
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,7 @@ from telemetry_lake.operators.history import RECENT_LIMIT, newest_first
 from telemetry_lake.schemas import HISTORY
 from telemetry_lake.sources import commits, keyed
 from telemetry_lake.sources.commits import Version, read_kind
+from telemetry_lake.sources.lake import through_table
 
 KEY = "alertId"
 IDS = StructType([StructField(KEY, StringType()), StructField("severity", StringType())])
@@ -78,9 +80,17 @@ def insert_absent(
     `before` is called before each commit (tests let others commit there).
     """
 
+    @functools.cache
+    def arrived() -> DataFrame:
+        """The arrivals as a table: they are looked up, joined and sorted by a sample, each of which would make them again."""
+        return through_table(spark, arrivals.select(*HISTORY.names), "arrived")
+
     def write(version: Version, name: str) -> dict:
-        known = stored_ids(spark, table, version, arrivals.select(KEY))
-        said = _write(arrivals.join(known.select(KEY), KEY, "left_anti"), None, table, name)
+        rows = arrived()
+        if version.parts:
+            known = stored_ids(spark, table, version, rows.select(KEY))
+            rows = through_table(spark, rows.join(known.select(KEY), KEY, "left_anti"), "absent")
+        said = _write(rows, None, table, name)
         before()
         return said
 

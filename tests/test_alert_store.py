@@ -233,3 +233,18 @@ def test_maintenance_removes_what_is_merged(spark, tmp_path):
     assert alert_store.alerts(spark, history_table).count() == 3 and len(owners(spark, ledger_table)) == 3
     # Nothing is due, and nothing but the last version is left to read.
     assert maintain(spark, history_table, ledger_table, keep=1, fan_in=3)[history_table] == 1
+
+
+def test_arrivals_are_made_once(spark, tmp_path):
+    """They are looked up, joined and sorted by a sample; what makes them may be a whole decoding."""
+    table, made = str(tmp_path / "store"), spark.sparkContext.accumulator(0)
+    alert_store.insert_absent(spark, table, batch_of(spark, range(20)), "q", 0)
+
+    @F.udf("string")
+    def counted(value):
+        made.add(1)
+        return value
+
+    rows = batch_of(spark, range(10, 40)).withColumn("reason", counted("reason"))
+    alert_store.insert_absent(spark, table, rows, "q", 1)
+    assert made.value == 30 and alert_store.alerts(spark, table).count() == 40
