@@ -17,13 +17,28 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     # A region can be all digits; never let the reader turn it into a number.
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
-    # A small object is opened in a fraction of the time that reading the default (4 MB) takes, which would put
-    # 32 objects into a task; and a batch of many files is looked up in so many tasks, not in 10,000.
+}
+
+# A small object is opened in a fraction of the time that reading the default (4 MB) takes, which would put
+# 32 objects into a task; and a batch of many files is looked up in so many tasks, not in 10,000.
+SMALL_FILES = {
     "spark.sql.files.openCostInBytes": "64k",
     "spark.sql.sources.parallelPartitionDiscovery.parallelism": "200",
 }
 
 
+def for_small_files(spark: SparkSession) -> SparkSession:
+    """A session with the settings of this one that reads many small files in a task. Files are dealt by the settings
+    of the session that named them, so the other tables keep theirs."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.get(key, None) != value:
+            own.conf.set(key, value)
+    for key, value in SMALL_FILES.items():
+        own.conf.set(key, value)
+    return own
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else created."""
     for key, value in RUNTIME_CONF.items():

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from telemetry_lake.schemas import BRONZE
+from telemetry_lake.session import for_small_files
 from telemetry_lake.sources.lake import through_table
 
 PLACE = ["topic", "partition", "offset"]
@@ -59,7 +60,7 @@ def read_objects(spark: SparkSession, path: str, topic: str | None = None) -> Da
 def object_stream(spark: SparkSession, path: str, max_files: int | None = None, topic: str | None = None) -> DataFrame:
     """The same layout as a stream, so that objects can be landed a batch at a time: the stream's own log
     remembers which objects it has taken, and a batch opens the new ones only."""
-    reader = spark.readStream.schema(_OBJECT).format("binaryFile")
+    reader = for_small_files(spark).readStream.schema(_OBJECT).format("binaryFile")
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return _as_objects(reader.load(path), topic)

@@ -13,6 +13,7 @@ from telemetry_lake.schemas import GOLD, SILVER
 from telemetry_lake.sources import bronze as bronze_module
 from telemetry_lake.sources.bronze import bound_of, first_records, object_stream, offset_gaps, read_bronze, read_objects, write_objects
 from telemetry_lake.sources.lake import read_layer, through_table, write_layer, write_statistics
+from telemetry_lake.streaming import landing
 from telemetry_lake.streaming.landing import land
 from tests.samples import reading, topic
 
@@ -85,17 +86,22 @@ def test_one_object_per_record_layout(spark, tmp_path):
     assert {r.sensorId for r in silver.collect()} == {"0-3", "0-11", "4-0"}
 
 
-def test_small_objects_share_tasks(spark, tmp_path):
+def test_small_objects_share_tasks(spark, tmp_path, monkeypatch):
     for n in range(400):
-        folder = tmp_path / f"partition={n % 2}"
-        folder.mkdir(exist_ok=True)
+        folder = tmp_path / "objects" / f"partition={n % 2}"
+        folder.mkdir(parents=True, exist_ok=True)
         (folder / f"offset={n}.json").write_bytes(f"\ufeff{n} \u00e9\n".encode())
-    rows = read_objects(spark, str(tmp_path))
+    whole = {(r.offset, r.partition): r.value for r in read_objects(spark, str(tmp_path / "objects")).collect()}
+    assert whole == {(n, n % 2): f"\ufeff{n} \u00e9\n" for n in range(400)}
+
+    tasks, unlanded = [], landing.unlanded
+    monkeypatch.setattr(landing, "unlanded", lambda rows, old: tasks.append(rows.rdd.getNumPartitions()) or unlanded(rows, old))
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    records = object_stream(spark, str(tmp_path / "objects"), topic="ST")
+    land(records, str(tmp_path / "bronze"), str(tmp_path / "cp"), bounded=True).awaitTermination()
     # Hardly more than cores: the default cost of opening a file gives 13.
-    assert rows.rdd.getNumPartitions() <= 6
-    assert {(r.offset, r.partition): r.value for r in rows.collect()} == {
-        (n, n % 2): f"\ufeff{n} \u00e9\n" for n in range(400)
-    }
+    assert max(tasks) <= 6 and read_bronze(spark, str(tmp_path / "bronze")).count() == 400
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == cost
 
 
 def places(rows):
