@@ -40,8 +40,10 @@ MARK = "▁"
 LONGEST = 62
 # Rows of an input file that share a dictionary.
 BLOCK = 1 << 13
-# Distinct words a task holds before it hands them on.
-HELD = 200_000
+# Distinct words a task holds before it hands them on; they are Arrow columns, of some 15 bytes a word.
+HELD = 1 << 20
+# Bytes of texts, or of ids, that are worked on together; what numpy holds of them for a while is some 40 times as much.
+TOGETHER = 1 << 18
 # What Viterbi charges for a character without a piece.
 UNKNOWN = -100.0
 
@@ -98,6 +100,86 @@ def _plain(text: str) -> bool:
     return bool(text) and text[0] != " " and "  " not in text and MARK not in text
 
 
+@dataclass(frozen=True)
+class Cuts:
+    """Which characters may stand next to each other within a word, as a table."""
+
+    letters: np.ndarray
+    joined: np.ndarray
+
+    @classmethod
+    def of(cls, pieces: Pieces) -> Cuts:
+        letters = sorted({letter for pair in pieces.neighbours for letter in pair})
+        at = {letter: k for k, letter in enumerate(letters, 1)}
+        # Row and column 0 are for all other characters.
+        joined = np.zeros((len(letters) + 1,) * 2, bool)
+        for a, b in pieces.neighbours:
+            joined[at[a], at[b]] = True
+        return cls(np.array([ord(letter) for letter in letters], np.int64), joined)
+
+    @functools.cached_property
+    def places(self) -> np.ndarray:
+        """The row of every code point."""
+        places = np.zeros(0x110000, np.int32)
+        places[self.letters] = np.arange(1, len(self.letters) + 1)
+        return places
+
+    def words(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The words of all texts one after another, their lengths, and the place of each text's first word (and the end).
+
+        The same words as `words` gives, for a whole column at once.
+        """
+        texts = texts.cast(pa.large_string()).fill_null("")
+        mark, empty = pa.scalar(MARK, pa.large_string()), pa.scalar("", pa.large_string())
+        marked = pc.binary_join_element_wise(mark, pc.replace_substring(texts, " ", MARK), empty)
+        marked = pc.if_else(pc.equal(texts, empty), empty, marked)
+        ends = _ends_of(marked)
+        data = _data_of(marked)
+        raw = np.frombuffer(data, np.uint8)[: ends[-1]]
+        points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), "<u4")
+        begins = np.flatnonzero((raw & 0xC0) != 0x80)
+        first = np.ones(len(points), bool)
+        rows = self.places[points]
+        first[1:] = ~self.joined[rows[:-1], rows[1:]]
+        first[np.searchsorted(begins, ends[:-1][np.diff(ends) > 0])] = True
+        at = np.flatnonzero(first)
+        starts = begins[at]
+        found = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(np.append(starts, len(raw))), data])
+        return found, np.diff(np.append(at, len(points))), np.searchsorted(starts, ends)
+
+
+def _ends_of(column: pa.Array) -> np.ndarray:
+    """Where the values of a large_string or large_binary column begin, and where the last one ends."""
+    if not len(column):
+        return np.zeros(1, np.int64)
+    return np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+
+
+def _data_of(column: pa.Array) -> pa.Buffer:
+    return column.buffers()[2] or pa.py_buffer(b"")
+
+
+def _stretches(column: pa.Array) -> Iterator[pa.Array]:
+    """The rows in stretches of up to TOGETHER bytes; a larger row by itself."""
+    first = held = 0
+    for k, size in enumerate(pc.binary_length(column).fill_null(0).to_pylist()):
+        if k > first and held + size > TOGETHER:
+            yield column.slice(first, k - first)
+            first, held = k, 0
+        held += size
+    if first < len(column):
+        yield column.slice(first)
+
+
+def _by_block(blocks: pa.Array, column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """The rows of one block after those of another."""
+    numbers = blocks.to_numpy()
+    cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+    for first, stop in zip(cuts, cuts[1:], strict=False):
+        if first < stop:
+            yield int(numbers[first]), column.slice(first, stop - first)
+
+
 # ---------------------------------------------------------------- lattice
 
 
@@ -224,46 +306,43 @@ def file_blocks(docs: DataFrame) -> DataFrame:
     return docs.select("*", F.xxhash64(F.col("_metadata.file_path"), place).alias("block"))
 
 
-def _needed(blocked: DataFrame, pieces: Pieces) -> DataFrame:
-    """`block`, `word`: the words of up to LONGEST characters of each block, with few repeats."""
+def _needed(blocked: DataFrame, cuts: Cuts) -> DataFrame:
+    """`block`, `word`: the words of up to LONGEST characters of each block, once unless there are more than HELD."""
 
     def find(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Per block the parts between spaces, whose words are found once, and words of other texts.
-        held: dict[int, tuple[set[str], set[str]]] = {}
+        now, held, size = 0, [], 0
 
         def handed_on() -> Iterator[pa.RecordBatch]:
-            for block, (between, found) in held.items():
-                for part in between:
-                    found.update(words(part, pieces) or [MARK])
-                some = [w for w in found if len(w) <= LONGEST]
-                for at in range(0, len(some), 20_000):
-                    part = some[at : at + 20_000]
-                    yield pa.record_batch([pa.array([block] * len(part), pa.int64()), pa.array(part, pa.string())], ["block", "word"])
-            held.clear()
-
-        size = 0
+            some = _distinct(held)
+            for at in range(0, len(some), 20_000):
+                part = some.slice(at, 20_000)
+                yield pa.record_batch([pa.array(np.full(len(part), now)), part.cast(pa.string())], ["block", "word"])
+
         for part in parts:
-            for block, value in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                if block not in held:
+            for block, texts in _by_block(part.column(0), part.column(1)):
+                if block != now:
                     # The rows of a block follow one another; the one before is done.
                     yield from handed_on()
-                    size = 0
-                between, found = held.setdefault(block, (set(), set()))
-                size -= len(between) + len(found)
-                text = value.as_py() or ""
-                if _plain(text):
-                    between.update(text.split(" "))
-                else:
-                    found.update(words(text, pieces))
-                size += len(between) + len(found)
-                if size > HELD:
-                    yield from handed_on()
-                    size = 0
+                    now, held, size = block, [], 0
+                for some in _stretches(texts):
+                    found, lengths, _ = cuts.words(some)
+                    held.append(_distinct([found.filter(pa.array(lengths <= LONGEST))]))
+                    size += len(held[-1])
+                    if size > HELD:
+                        held = [_distinct(held)]
+                        size = len(held[0])
+                    if size > HELD // 2 and len(held) == 1:
+                        yield from handed_on()
+                        held, size = [], 0
         yield from handed_on()
 
     return blocked.select("block", "text").mapInArrow(find, "block long, word string")
 
 
+def _distinct(some: list[pa.Array]) -> pa.Array:
+    return pc.unique(pa.chunked_array(some, pa.large_string()))
+
+
 def encode(blocked: DataFrame, model: str = MODEL, fold: str = "merge") -> DataFrame:
     """`doc_id` and `ids` (little-endian unsigned 32-bit) of every row of `doc_id`, `text`, `block`.
 
@@ -274,8 +353,9 @@ def encode(blocked: DataFrame, model: str = MODEL, fold: str = "merge") -> DataF
     spark = blocked.sparkSession
     configure(spark)
     pieces = load(model)
+    cuts = Cuts.of(pieces)
     # Dealt by word and kept: the distinct words, their lattices and the join below all stay where they are.
-    needed = _needed(blocked, pieces).repartition(partitions(spark), "word").persist(StorageLevel.DISK_ONLY)
+    needed = _needed(blocked, cuts).repartition(partitions(spark), "word").persist(StorageLevel.DISK_ONLY)
     folder = scratch_dir(spark, "words")
     try:
         found = segmented(needed.select("word").distinct(), pieces, fold)
@@ -287,54 +367,52 @@ def encode(blocked: DataFrame, model: str = MODEL, fold: str = "merge") -> DataF
     def apply(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, known = None, None
         for part in parts:
-            out: list[bytes] = []
-            blocks = part.column(1).to_numpy()
-            for rows in np.split(np.arange(len(blocks)), np.flatnonzero(np.diff(blocks)) + 1):
-                if not len(rows):
-                    continue
-                if (block := int(blocks[rows[0]])) != now:
+            out = [pa.array([], pa.binary())]
+            for block, texts in _by_block(part.column(1), part.column(2)):
+                if block != now:
                     known = None  # before the next dictionary is loaded
                     now, known = block, Dictionary(folder, block)
-                texts = [value.as_py() or "" for value in part.column(2).slice(rows[0], len(rows))]
-                out += _spelled(texts, known, pieces, model)
-            yield pa.record_batch([part.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
+                out.append(_spelled(texts, known, cuts, model))
+            yield pa.record_batch([part.column(0), pa.concat_arrays(out)], ["doc_id", "ids"])
 
     return blocked.select("doc_id", "block", "text").mapInArrow(apply, "doc_id long, ids binary")
 
 
 class Dictionary:
-    """A block's words and ids, as Arrow columns: a word costs its bytes, and no Python object."""
+    """A block's words and ids (little-endian unsigned 32-bit), as Arrow columns: a word costs its bytes, and no Python object."""
 
     def __init__(self, folder: str, block: int):
         store, base = file_store(folder)
-        self.words, self.ids, self.ends = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self.words, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
         if store.get_file_info(f"{base}/block={block}").type.name != "NotFound":
-            rows = pq.read_table(f"{base}/block={block}", filesystem=store, columns=["word", "ids"], partitioning=None)
+            rows = pq.read_table(f"{base}/block={block}", filesystem=store, columns=["word", "ids"], partitioning=None, use_threads=False)
+            self.words = rows["word"].combine_chunks().cast(pa.large_string())
             ids = rows["ids"].combine_chunks()
-            self.words = rows["word"].combine_chunks()
-            self.ids, self.ends = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
-
-    def of(self, some: list[str]) -> dict[str, bytes]:
-        """The ids of those of the words that the dictionary has."""
-        places = pc.index_in(pa.array(some, pa.string()), self.words).fill_null(-1).to_numpy()
-        first, stop = self.ends[places], self.ends[np.minimum(places + 1, len(self.ends) - 1)]
-        found = zip(some, places.tolist(), first.tolist(), stop.tolist(), strict=True)
-        return {word: self.ids[a:b].tobytes() for word, place, a, b in found if place >= 0}
-
-
-def _spelled(texts: list[str], known: Dictionary, pieces: Pieces, model: str) -> list[bytes]:
-    """The ids of each text; a part between spaces, and a word, is looked up once for all of them."""
-    plain = [_plain(text) for text in texts]
-    between = {part: words(part, pieces) or [MARK] for part in set().union(*(t.split(" ") for t, p in zip(texts, plain, strict=True) if p))}
-    other = [[] if p else words(t, pieces) for t, p in zip(texts, plain, strict=True)]
-    every = set().union(*between.values(), *other)
-    ids = known.of(list(every))
-    ids |= {word: _long_word(word, model) for word in every if word not in ids}
-    spelled = {part: b"".join([ids[w] for w in found]) for part, found in between.items()}
-    return [
-        b"".join([spelled[part] for part in t.split(" ")]) if p else b"".join([ids[w] for w in found])
-        for t, p, found in zip(texts, plain, other, strict=True)
-    ]
+            ends = pa.py_buffer(4 * ids.offsets.to_numpy().astype(np.int64))
+            self.ids = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, ends, pa.py_buffer(ids.values.to_numpy().astype("<u4"))])
+
+    def of(self, some: pa.Array) -> pa.Array:
+        """The ids of each of the words, null for one that the dictionary does not have."""
+        return self.ids.take(pc.index_in(some, self.words))
+
+
+def _spelled(texts: pa.Array, known: Dictionary, cuts: Cuts, model: str) -> pa.Array:
+    """The ids of each text; a word is looked up once for all of them."""
+    found, ends = [pa.array([], pa.large_string())], [np.zeros(1, np.int64)]
+    for some in _stretches(texts):
+        words_of, _, at = cuts.words(some)
+        found.append(words_of)
+        ends.append(ends[-1][-1] + at[1:])
+    coded = pa.concat_arrays(found).dictionary_encode()
+    ids = known.of(coded.dictionary)
+    if ids.null_count:
+        missing = ids.is_null()
+        long = [_long_word(word, model) for word in coded.dictionary.filter(missing).to_pylist()]
+        ids = pc.replace_with_mask(ids, missing, pa.array(long, pa.large_binary()))
+    # What is taken lies one after another, so a text's ids reach from its first word to the next text's.
+    taken = ids.take(coded.indices)
+    places = _ends_of(taken)[np.concatenate(ends)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(places), _data_of(taken)])
 
 
 def _long_word(word: str, model: str) -> bytes:
@@ -350,25 +428,46 @@ def _long_word(word: str, model: str) -> bytes:
     return np.array(ids[lead:], "<u4").tobytes()
 
 
+def _text(ids: pa.Array, spell: pa.Array) -> pa.Array:
+    """The text of each row of ids; `spell` has the bytes of every id."""
+    ids = ids.cast(pa.large_binary()).fill_null(b"")
+    ends = _ends_of(ids)
+    if (np.diff(ends) % 4).any():
+        raise ValueError("ids are not whole 32-bit integers")
+    numbers = np.frombuffer(_data_of(ids), np.uint8)[ends[0] : ends[-1]].view("<u4")
+    taken = spell.take(pa.array(np.minimum(numbers, len(spell) - 1)))
+    data, ends = np.frombuffer(_data_of(taken), np.uint8), _ends_of(taken)[(ends - ends[0]) // 4]
+    # The space in front of each text goes.
+    starts = ends[:-1][np.diff(ends) > 0]
+    spaces = starts[data[starts] == ord(" ")]
+    data, ends = np.delete(data[: ends[-1]], spaces), ends - np.searchsorted(spaces, ends)
+    starts = ends[:-1][np.diff(ends) > 0]
+    try:
+        if (data[starts] & 0xC0 == 0x80).any():
+            raise ValueError("a text begins within a character")
+        data.tobytes().decode()
+    except ValueError:
+        return pa.array([data[a:b].tobytes().decode(errors="replace") for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+    return pa.Array.from_buffers(pa.string(), len(ids), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """Every row of `ids` (and any others) with its `text`: the pieces' text without the leading space.
 
     A column named text is replaced. Null ids count as none. Bytes that are no UTF-8 become U+FFFD; ids without text (control pieces) are skipped.
     """
     configure(encoded.sparkSession)
-    spell = load(model).spell()
+    known = load(model).spell()
+    # The place behind the last piece is for ids without text.
+    spell = pa.array([known.get(n, b"") for n in range(max(known) + 2)], pa.large_binary())
 
     encoded = encoded.drop("text")
     names, at = encoded.columns, encoded.columns.index("ids")
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            out = []
-            for ids in part.column(at):
-                numbers = np.frombuffer(ids.as_py() or b"", "<u4").tolist()
-                text = b"".join([spell.get(n, b"") for n in numbers])
-                out.append(text.removeprefix(b" ").decode(errors="replace"))
-            yield pa.record_batch([*part.columns, pa.array(out, pa.string())], [*names, "text"])
+            out = [_text(ids, spell) for ids in _stretches(part.column(at))]
+            yield pa.record_batch([*part.columns, pa.concat_arrays([pa.array([], pa.string()), *out])], [*names, "text"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(read, f"{kinds}, text string")

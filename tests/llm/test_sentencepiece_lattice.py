@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import sentencepiece
 from public_tokenizers import path
 
@@ -97,3 +98,31 @@ def test_empty_table_and_control_ids(spark, tmp_path):
     assert sl.encode(table(spark, [], tmp_path, "e")).collect() == []
     rows = spark.createDataFrame([(1, bytearray(np.array([1, 0, 2], "<u4").tobytes())), (2, None)], "doc_id long, ids binary")
     assert [r.text for r in sl.decode(rows).collect()] == ["", ""]
+
+
+def test_a_column_is_cut_as_its_texts_are():
+    pieces = sl.load()
+    cuts = sl.Cuts.of(pieces)
+    for texts in (TEXTS, [None], ["", None, ""], []):
+        found, lengths, at = cuts.words(pa.array([*texts, "x"], pa.string()).slice(0, len(texts)))
+        got = [found[a:b].to_pylist() for a, b in zip(at[:-1], at[1:], strict=True)]
+        assert got == [sl.words(text or "", pieces) for text in texts]
+        assert lengths.tolist() == [len(word) for word in found.to_pylist()]
+
+
+def test_a_block_gives_each_word_once(spark, tmp_path):
+    low, high = (" ".join(f"w{n}" for n in some) for some in (range(100_000, 220_000), range(220_000, 340_000)))
+    rows = [(1, low, 0), (2, high, 0), (3, low, 0)]
+    blocked = spark.createDataFrame(rows, "doc_id long, text string, block long").coalesce(1)
+    needed = sl._needed(blocked, sl.Cuts.of(sl.load()))
+    assert needed.count() == needed.distinct().count()
+
+
+def test_ids_that_are_no_text():
+    known = sl.load().spell()
+    spell = pa.array([known.get(n, b"") for n in range(max(known) + 2)], pa.large_binary())
+    first = sl.load().byte_ids[0]
+    # A character in two rows, an id beyond the pieces, no ids.
+    rows = [[first + 0xE2, first + 0x96], [first + 0x81, 4_000_000_000], None, []]
+    ids = pa.array([None if r is None else np.array(r, "<u4").tobytes() for r in rows], pa.binary())
+    assert sl._text(ids, spell).to_pylist() == ["�", "�", "", ""]
