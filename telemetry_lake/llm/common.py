@@ -19,10 +19,18 @@ from telemetry_lake.session import scratch_dir
 # with texts of up to some 100,000 characters a thousand rows stay far below the worker's memory.
 ARROW_ROWS = 1000
 ARROW_BYTES = 16 << 20
+# An executor keeps several Python workers beside its heap, also between stages. So that each gives back what a batch
+# took, Arrow takes its memory where numpy does, arrays of 4 MB and more are mapped, and 16 MB at most stay free.
+WORKERS = {
+    "ARROW_DEFAULT_MEMORY_POOL": "system",
+    "MALLOC_ARENA_MAX": "1",
+    "MALLOC_MMAP_THRESHOLD_": str(4 << 20),
+    "MALLOC_TRIM_THRESHOLD_": str(16 << 20),
+}
 
 
 def configure(spark: SparkSession) -> None:
-    """Bound the Arrow batches; everything else is left as the cluster has it.
+    """Bound the Arrow batches and what a Python worker holds on to; everything else is left as the cluster has it.
 
     Workers on this machine also get the folder of this package, wherever the session was started; on
     a cluster the package is installed or sent along as usual.
@@ -32,6 +40,8 @@ def configure(spark: SparkSession) -> None:
     environment = spark.sparkContext.environment
     paths = [str(Path(__file__).resolve().parents[2]), *environment.get("PYTHONPATH", "").split(os.pathsep)]
     environment["PYTHONPATH"] = os.pathsep.join(dict.fromkeys(filter(None, paths)))
+    for key, value in WORKERS.items():
+        environment.setdefault(key, value)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -67,10 +67,13 @@ def pieces(docs: DataFrame, longest: int = LENGTH, vocabulary: str = tokens.VOCA
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Some hundred documents' pieces to a batch."""
-        for part in parts:
-            for at in range(0, part.num_rows, DOCUMENTS):
-                some = part.slice(at, DOCUMENTS)
-                yield _cut(some.column(0), [tokens.encode(text, vocabulary) for text in texts(some.column(1))], longest)
+        try:
+            for part in parts:
+                for at in range(0, part.num_rows, DOCUMENTS):
+                    some = part.slice(at, DOCUMENTS)
+                    yield _cut(some.column(0), [tokens.encode(text, vocabulary) for text in texts(some.column(1))], longest)
+        finally:
+            tokens.forget(vocabulary)
 
     found = docs.select("doc_id", "text").mapInArrow(batches, PIECES)
     return found.withColumn("sequence_id", F.monotonically_increasing_id())

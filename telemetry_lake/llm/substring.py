@@ -276,8 +276,9 @@ def _line_shingles(docs: DataFrame, keys: DataFrame) -> DataFrame:
                 for k in np.flatnonzero(hit):
                     if (key := int(keys[k].view(np.int64))) not in lines:
                         lines[key] = doc.line_grams(k).view(np.int64)
-            arrays = [pa.array(list(lines), pa.int64()), pa.array([list(g) for g in lines.values()], pa.list_(pa.int64()))]
-            yield pa.record_batch(arrays, ["key", "grams"])
+            ends = np.cumsum([0, *map(len, lines.values())]).astype(np.int32)
+            grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *lines.values()])))
+            yield pa.record_batch([pa.array(list(lines), pa.int64()), grams], ["key", "grams"])
 
     rows = docs.select(F.encode("text", "UTF-8").alias("text")).mapInArrow(find, "key long, grams array<long>")
     return rows.join(keys, "key").groupBy("key").agg(F.first("grams").alias("grams"))

@@ -65,6 +65,9 @@ class _Words:
         merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in about["merges"]]
         self.model = models.BPE(about["vocab"], merges, cache_capacity=0, end_of_word_suffix=about["end_of_word_suffix"])
         self.alphabet = _alphabet()
+        self.forget()
+
+    def forget(self) -> None:
         self.pieces = _Remembered(self._piece)
         self.words = _Remembered(self._word)
 
@@ -92,6 +95,11 @@ def _words(vocabulary: str) -> _Words:
     return _Words(path(vocabulary))
 
 
+def forget(vocabulary: str = VOCABULARY) -> None:
+    """Let go of the remembered words, which are hundreds of MB: the worker stays and other stages use it, next to new ones."""
+    _words(vocabulary).forget()
+
+
 @functools.cache
 def vocabulary_size(vocabulary: str = VOCABULARY) -> int:
     return Tokenizer.from_file(path(vocabulary)).get_vocab_size()

@@ -130,3 +130,14 @@ def test_documents_are_cut_together():
         for k, n in enumerate(cut)
     ]
     assert [tuple(row.values()) for row in found.to_pylist()] == want
+
+
+def test_a_task_lets_go_of_its_words(spark):
+    def held(parts):
+        for _ in parts:
+            yield pa.record_batch([pa.array([len(tokens._words(tokens.VOCABULARY).words)], pa.int64())], ["n"])
+
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat('word', id, ' other', id) AS text").repartition(8)
+    assert packing.pieces(docs).count() >= 2000
+    # The same workers, in another stage.
+    assert [r.n for r in spark.range(0, 8, 1, 8).mapInArrow(held, "n long").collect()] == [0] * 8
