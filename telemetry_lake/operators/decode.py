@@ -183,3 +183,14 @@ def quarantined(decoded: DataFrame, raw_columns: list[str], instant: str | None
         return decoded.filter(~F.col("isValid")).select(*raw_columns)
     timed = _with_event_time(decoded)
     return timed.filter(~F.col("isValid") | F.col(instant).isNull()).select(*raw_columns)
+
+
+def apart(decoded: DataFrame, instant: str) -> DataFrame:
+    """Every row with its event time and `refused`: what `quarantined` gives, the others being those of `timed_readings`.
+
+    Only refused rows keep their payload and topic, so a table of this holds no payload twice.
+    """
+    timed = _with_event_time(decoded)
+    refused = ~F.col("isValid") | F.col(instant).isNull()
+    payload = {name: F.when(F.col("refused"), F.col(name)) for name in ("value", "topic")}
+    return timed.withColumn("refused", refused).withColumns(payload).drop("isValid")

@@ -176,9 +176,9 @@ def alerts_of(rows: DataFrame, rules: AlertRules) -> DataFrame:
 
 
 def resolve(rows: DataFrame, carried: DataFrame) -> DataFrame:
-    """Replace `since` by the carried streak for readings before the first break of a slice."""
+    """The readings that may alert, with `since` replaced by the carried streak before the first break of a slice."""
     handed = carried.filter(F.col("carried").isNotNull()).select("transformerId", "slice", "carried")
-    joined = rows.join(handed, ["transformerId", "slice"], "left")
+    joined = rows.filter(F.col("level") > 0).join(handed, ["transformerId", "slice"], "left")
     return joined.withColumn(
         "since", F.when(~F.col("broken") & F.col("carried").isNotNull(), F.col("carried")).otherwise(F.col("since"))
     )

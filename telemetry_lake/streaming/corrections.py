@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from telemetry_lake.operators.decode import decode_readings, quarantined, timed_readings
+from telemetry_lake.operators.decode import apart, decode_readings
 from telemetry_lake.operators.detection import EVENT, alerts_of, as_messages, keyed_readings
 from telemetry_lake.schemas import BRONZE, READING_FIELDS, STREAK, AlertRules
 from telemetry_lake.sources import commits
@@ -106,7 +106,9 @@ def take_batch(
         state = streaks_at(spark, table, version)
         touched = new.where(is_open).select("transformerId").distinct()
 
-        found, _ = advance(rows.join(touched, "transformerId", "left_semi"), state, EVENT, rules, width)
+        # What is open came after the horizon, and the streaks lie before it: nothing is late.
+        entering = state.join(touched, "transformerId", "left_semi")
+        found, _ = advance(rows.join(touched, "transformerId", "left_semi"), entering, EVENT, rules, width, in_order=True)
         found = through_table(spark, found, "found")
         said = standing(spark, table, version).join(touched, "transformerId", "left_semi")
         fresh = found.join(said.select("alertId"), "alertId", "left_anti")
@@ -123,7 +125,7 @@ def take_batch(
         whole = sum(part["streaks"] for part in version.parts) >= WHOLE
         behind = rows.where(now <= horizon)
         known = state if whole else state.join(behind.select("transformerId").distinct(), "transformerId", "left_semi")
-        _, folded = advance(behind, known, EVENT, rules, width, closed=True)
+        _, folded = advance(behind, known, EVENT, rules, width, closed=True, in_order=True)
         folded.withColumn("step", F.lit(step).cast("long")).write.parquet(f"{table}/streaks/part={name}")
 
         last = spark.read.schema(_SAID).parquet(f"{table}/said/part={name}").agg(F.max("detectedAt").alias("at")).first().at
@@ -152,13 +154,12 @@ def detect_corrected(
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        decoded = decode_readings(batch).persist()
-        try:
-            publish_batch(quarantined(decoded, BRONZE.names, EVENT.instant), paths.quarantine, run, batch_id)
-            typed = through_table(spark, timed_readings(decoded, EVENT.instant), "readings")
-            take_batch(spark, paths, typed, run, batch_id, delay, rules, width)
-        finally:
-            decoded.unpersist()
+        # One pass over the payloads; a table that is read by columns holds both what is taken and what is refused.
+        told_apart = through_table(spark, apart(decode_readings(batch), EVENT.instant), "decoded")
+        refused = told_apart.where(F.col("refused")).select(*BRONZE.names)
+        publish_batch(refused, paths.quarantine, run, batch_id)
+        typed = told_apart.where(~F.col("refused")).drop("refused", "value", "topic")
+        take_batch(spark, paths, typed, run, batch_id, delay, rules, width)
 
     writer = records.writeStream.foreachBatch(step).option("checkpointLocation", paths.checkpoint)
     return (writer.trigger(availableNow=True) if bounded else writer).start()

@@ -64,31 +64,35 @@ def advance(
     width: int | None = None,
     keep: Callable[[DataFrame], DataFrame] = lambda data: data,
     closed: bool = False,
+    in_order: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Alerts of the new readings and the streaks after them.
 
     A reading older than the last one of its transformer came late: it leaves the streak alone,
     and only a critical one still alerts. `keep` may cache what is used more than once. `closed` keeps
-    streaks that ended, to overrule an older state where only changes are stored.
+    streaks that ended, to overrule an older state where only changes are stored. `in_order` promises that no
+    reading is older than its transformer's state and that `streaks` has a row for a transformer at most, so
+    that the state need not be looked up for each slice.
     """
     rows = keyed_readings(readings, clock, rules, width)
-    # The old state is handed to slices, not to rows: this join is on (transformer, slice) like
-    # the windows after it, so it adds no shuffle of the readings and no heavy key.
-    touched = rows.groupBy("transformerId", "slice").agg(F.count(F.lit(1)).alias("rows")).drop("rows")
-    state = touched.join(streaks, "transformerId", "left")
-    rows = rows.join(state.select("transformerId", "slice", "lastMillis"), ["transformerId", "slice"], "left")
-    late = F.lit(False)
-    if clock.can_be_late:
-        late = F.coalesce(F.col("now") < F.col("lastMillis"), F.lit(False))
+    late, state = F.lit(False), streaks
+    if not in_order:
+        # The old state is handed to slices, not to rows: this join is on (transformer, slice) like
+        # the windows after it, so it adds no shuffle of the readings and no heavy key.
+        touched = rows.groupBy("transformerId", "slice").agg(F.count(F.lit(1)).alias("rows")).drop("rows")
+        state = touched.join(streaks, "transformerId", "left")
+        rows = rows.join(state.select("transformerId", "slice", "lastMillis"), ["transformerId", "slice"], "left")
+        if clock.can_be_late:
+            late = F.coalesce(F.col("now") < F.col("lastMillis"), F.lit(False))
     rows = keep(streaks_within_slices(rows.withColumn("late", late).drop("lastMillis")))
 
     # An open streak enters the chain as a slice of its own before the first.
     before_all = F.struct(F.lit(-1).alias("part"), F.lit(0).cast("bigint").alias("stretch"))
-    entering = (
-        state.filter(F.col("since").isNotNull())
-        .select("transformerId", before_all.alias("slice"), F.lit(True).alias("broken"), "since", F.col("lastMillis").alias("now"))
-        .distinct()
+    entering = state.filter(F.col("since").isNotNull()).select(
+        "transformerId", before_all.alias("slice"), F.lit(True).alias("broken"), "since", F.col("lastMillis").alias("now")
     )
+    if not in_order:
+        entering = entering.distinct()
     chained = keep(chain(slice_ends(rows).unionByName(entering)))
     alerts = alerts_of(resolve(rows, chained.filter("slice.part >= 0")), rules)
 

@@ -5,7 +5,7 @@ import math
 
 import pytest
 
-from telemetry_lake.operators.decode import accepted, decode_alerts, decode_readings, quarantined
+from telemetry_lake.operators.decode import accepted, apart, decode_alerts, decode_readings, quarantined, timed_readings
 from telemetry_lake.schemas import BRONZE
 from tests.samples import READING, alert, reading, topic
 
@@ -64,3 +64,14 @@ def test_alert_refused(spark, value):
 
 def test_blank_alert_fields_are_accepted(spark):
     assert accepted(decode_alerts(topic(spark, [alert(alert_id="", severity=" ", reason="")]))).count() == 1
+
+
+def test_told_apart_in_one_pass(spark):
+    raw = topic(spark, ["nope", reading(), reading(status=None), reading(timestamp="no time")])
+    messages = decode_readings(raw)
+    both = apart(messages, "eventTime")
+    refused = both.where("refused").select(*BRONZE.names)
+    assert sorted(refused.collect()) == sorted(quarantined(messages, BRONZE.names, "eventTime").collect())
+    taken, timed = both.where("NOT refused"), timed_readings(messages, "eventTime")
+    assert taken.where("value IS NOT NULL OR topic IS NOT NULL").count() == 0
+    assert sorted(taken.select(*timed.columns).collect()) == sorted(timed.collect()) and taken.count() == 2

@@ -246,3 +246,18 @@ def test_reading_schema_is_kept_in_the_envelope(spark):
     alerts = detect(readings(spark, [("t", 0, 0, 0.95)]))
     assert alerts.columns == ["alertId", "severity", "reason", "detectedAt", "source", "partition", "offset"]
     assert [(f.name, f.dataType) for f in alerts.schema["source"].dataType] == [(f.name, f.dataType) for f in READING]
+
+
+def test_readings_behind_the_state_need_no_look_at_it(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), second, second, rng.choice([0.1, 0.85, 0.85, 0.85, 0.95])) for second in range(80)]
+    start = spark.createDataFrame([], STREAK)
+    _, state = advance(readings(spark, rows[:40]), start, EVENT, width=3_000_000)
+    plain, ordered = (
+        advance(readings(spark, rows[40:]), state, EVENT, width=3_000_000, closed=True, in_order=kept) for kept in (False, True)
+    )
+    assert found(ordered[0]) == found(plain[0])
+    assert sorted(ordered[1].collect()) == sorted(plain[1].collect())
+    # Two shuffles of readings less: the state is not joined to them.
+    joins = [str(a._jdf.queryExecution().optimizedPlan()).count("Join") for a in (plain[0], ordered[0])]
+    assert joins[1] < joins[0]
