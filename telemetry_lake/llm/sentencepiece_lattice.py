@@ -190,7 +190,9 @@ def lattice(distinct: DataFrame, pieces: Pieces) -> DataFrame:
     distinct words are, so grouping the edges moves nothing.
     """
     spark = distinct.sparkSession
-    known = spark.createDataFrame(list(pieces.rows), "piece string, id int, score double")
+    # From Arrow: rows of Python objects would pass through workers of their own on every executor, which then stay.
+    columns = zip(("piece", "id", "score"), (pa.string(), pa.int32(), pa.float64()), zip(*pieces.rows, strict=True), strict=True)
+    known = spark.createDataFrame(pa.table({name: pa.array(values, kind) for name, kind, values in columns}))
     start = F.explode(F.sequence(F.lit(0), F.length("word") - 1))
     stop = F.explode(F.sequence(F.col("i") + 1, F.least(F.length("word"), F.col("i") + pieces.longest)))
     spans = distinct.withColumn("i", start).withColumn("j", stop)
