@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemetry_lake.llm import tokens
-from telemetry_lake.llm.common import configure, table, texts
+from telemetry_lake.llm.common import configure, table
 
 LENGTH = 4096
 # Documents of one batch of pieces; their ids' bytes stay far below 2 GB.
@@ -68,10 +68,9 @@ def pieces(docs: DataFrame, longest: int = LENGTH, vocabulary: str = tokens.VOCA
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Some hundred documents' pieces to a batch."""
         try:
-            for part in parts:
-                for at in range(0, part.num_rows, DOCUMENTS):
-                    some = part.slice(at, DOCUMENTS)
-                    yield _cut(some.column(0), [tokens.encode(text, vocabulary) for text in texts(some.column(1))], longest)
+            for doc_ids, encoded in tokens.encoded(parts, vocabulary):
+                for at in range(0, len(encoded), DOCUMENTS):
+                    yield _cut(doc_ids.slice(at, DOCUMENTS), encoded[at : at + DOCUMENTS], longest)
         finally:
             tokens.forget(vocabulary)
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from telemetry_lake.llm import tokens
-from telemetry_lake.llm.common import configure, file_store, partitions, table, texts
+from telemetry_lake.llm.common import configure, file_store, partitions, table
 from telemetry_lake.session import scratch_dir
 
 MAGIC = b"TKP1"
@@ -176,10 +176,10 @@ def write(docs: DataFrame, folder: str, vocabulary: str = tokens.VOCABULARY) ->
     def write_part(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId()
         name, writer = f"part-{number:06d}.tkp", None
-        for part in parts:
-            for doc_id, text in zip(part.column(0), texts(part.column(1)), strict=True):
+        for doc_ids, encoded in tokens.encoded(parts, vocabulary):
+            for doc_id, ids in zip(doc_ids, encoded, strict=True):
                 writer = writer or Writer(folder, name, bits)
-                writer.add(doc_id.as_py(), np.frombuffer(tokens.encode(text, vocabulary), "<u4"))
+                writer.add(doc_id.as_py(), np.frombuffer(ids, "<u4"))
         if writer:
             about = writer.close()
             columns = [[number], [name], [about["documents"]], [about["ids"]]]

@@ -141,3 +141,45 @@ def test_a_task_lets_go_of_its_words(spark):
     assert packing.pieces(docs).count() >= 2000
     # The same workers, in another stage.
     assert [r.n for r in spark.range(0, 8, 1, 8).mapInArrow(held, "n long").collect()] == [0] * 8
+
+
+def test_texts_are_encoded_together(monkeypatch):
+    signs = [*map(chr, range(1, 0x260)), *"  '<>/wstd019 ſḰ漢🙂"]
+    rng = np.random.default_rng(5)
+    texts = [*TEXTS, *("".join(rng.choice(signs, n)) for n in rng.integers(0, 60, 2000)), "x" * 30_000 + " " + "ab" * 9000]
+    texts += [a + b for a in ("", "wort", "a1", "ü'") for b in map(chr, range(1, 0x250))]
+    batches = pa.table({"doc_id": pa.array([None, *range(1, len(texts))], pa.int64()), "text": pa.array(texts, pa.string())}).to_batches(300)
+    calls = []
+    whole = tokens._words(tokens.VOCABULARY).whole
+    for together in (1, 20_000, tokens.TOGETHER):
+        monkeypatch.setattr(tokens, "TOGETHER", together)
+        found = list(tokens.encoded(iter(batches)))
+        calls.append(len(found))
+        assert [d for doc_ids, _ in found for d in doc_ids.to_pylist()] == [None, *range(1, len(texts))]
+        got = [ids for _, some in found for ids in some]
+        assert got == [whole(t or "") + (2).to_bytes(4, "little") for t in texts]
+    assert calls[0] == len(batches) > calls[1] > calls[2] == 1
+
+
+def test_the_model_is_asked_for_many_pieces_at_once(monkeypatch):
+    own = tokens._words(tokens.VOCABULARY)
+    asked = []
+
+    class Model:
+        def encode(self, text):
+            asked.append(text)
+            return model.encode(text)
+
+    model = own.model
+    monkeypatch.setattr(own, "model", Model())
+    texts = [f"wort{chr(97 + k // 26)}{chr(97 + k % 26)}, Wort{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(600)] * 3
+    own.texts(pa.array(texts, pa.string()))
+    pieces = " ".join(asked).split()
+    assert len(pieces) == len(set(pieces)) == 601 and len(asked) == 1
+
+
+def test_a_piece_without_an_end_is_no_quiet_loss(monkeypatch):
+    own = tokens._words(tokens.VOCABULARY)
+    monkeypatch.setattr(own, "ends", np.zeros_like(own.ends))
+    with pytest.raises(ValueError):
+        tokens.encode("word")
