@@ -192,5 +192,14 @@ def apart(decoded: DataFrame, instant: str) -> DataFrame:
     """
     timed = _with_event_time(decoded)
     refused = ~F.col("isValid") | F.col(instant).isNull()
-    payload = {name: F.when(F.col("refused"), F.col(name)) for name in ("value", "topic")}
-    return timed.withColumn("refused", refused).withColumns(payload).drop("isValid")
+    return _payloads_where(timed.withColumn("refused", refused), F.col("refused")).drop("isValid")
+
+
+def only_refused_payloads(decoded: DataFrame) -> DataFrame:
+    """Every row, of which only the refused ones keep their payload and topic: what `quarantined` gives, and what is
+    decoded of the others."""
+    return _payloads_where(decoded, ~F.col("isValid"))
+
+
+def _payloads_where(rows: DataFrame, kept: Column) -> DataFrame:
+    return rows.withColumns({name: F.when(kept, F.col(name)) for name in ("value", "topic")})

@@ -10,9 +10,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from telemetry_lake.functions.severity import CRITICAL
 from telemetry_lake.operators import outbox as notifications
-from telemetry_lake.operators.decode import accepted, decode_alerts, quarantined
+from telemetry_lake.operators.decode import accepted, decode_alerts, only_refused_payloads, quarantined
 from telemetry_lake.operators.history import first_arrivals, stored_alerts
 from telemetry_lake.schemas import BRONZE, LEDGER
+from telemetry_lake.session import scratch_dir
 from telemetry_lake.sources import alert_store, commits, ledger_store
 from telemetry_lake.sources.tables import publish_batch, run_name
 
@@ -49,8 +50,12 @@ def handle_stream(
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        decoded = decode_alerts(batch).persist()
+        # A table, not a cache: batches of cached rows that have to go to disk are held by a hundred while they do.
+        folder = scratch_dir(spark, "decoded")
         try:
+            made = only_refused_payloads(decode_alerts(batch))
+            made.write.parquet(folder)
+            decoded = spark.read.schema(made.schema).parquet(folder)
             publish_batch(quarantined(decoded, BRONZE.names), paths.quarantine, run, batch_id)
             arrived = stored_alerts(accepted(decoded))
             stored = alert_store.insert_absent(spark, paths.history, first_arrivals(arrived), run, batch_id)
@@ -70,7 +75,7 @@ def handle_stream(
             alert_store.compact(spark, paths.history, FAN_IN)
             ledger_store.compact(spark, paths.ledger, FAN_IN)
         finally:
-            decoded.unpersist()
+            commits.remove(spark, folder)
 
     writer = messages.writeStream.foreachBatch(step).option("checkpointLocation", paths.checkpoint)
     return (writer.trigger(availableNow=True) if bounded else writer).start()

@@ -5,15 +5,17 @@ from datetime import timezone
 import pytest
 from pyspark.sql import functions as F
 
+from telemetry_lake import session
 from telemetry_lake.operators import outbox
 from telemetry_lake.operators.decode import accepted, decode_alerts, decode_readings, timed_readings
 from telemetry_lake.operators.detection import ARRIVAL, EVENT, detect
 from telemetry_lake.schemas import BRONZE, STREAK, AlertRules
-from telemetry_lake.sources import alert_store, ledger_store
+from telemetry_lake.sources import alert_store, commits, ledger_store
 from telemetry_lake.sources.bronze import read_bronze, read_landed
 from telemetry_lake.sources.tables import buckets_of, read_before, read_table, read_version, run_name, write_bucketed
 from telemetry_lake.sources.topics import file_stream
 from telemetry_lake.streaming import detector as detector_module
+from telemetry_lake.streaming import handler as handler_module
 from telemetry_lake.streaming.detector import MESSAGE_SCHEMA, DetectorPaths, detect_stream, streaks_before
 from telemetry_lake.streaming.handler import HandlerPaths, handle_stream, record_results
 from telemetry_lake.streaming.landing import land
@@ -193,3 +195,26 @@ def test_readings_to_history_end_to_end(spark, tmp_path):
         ("CRITICAL", "s-0"), ("CRITICAL", "s-2"), ("CRITICAL", "s-5"),
     }
     assert spark.read.parquet(str(tmp_path / "handler" / "outbox")).count() == 3
+
+
+def test_the_handler_caches_no_rows_and_leaves_no_decoded_batch(spark, tmp_path, monkeypatch):
+    cached, made, insert_absent = [], [], alert_store.insert_absent
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+
+    def insert(own, table, arrivals, *rest):
+        cached.append(own.sparkContext._jsc.getPersistentRDDs().size())
+        plan = arrivals._jdf.queryExecution().executedPlan().toString()
+        assert "InMemoryTableScan" not in plan and f"{made[-1]}]" in plan
+        rows = spark.read.parquet(made[-1])
+        # Payloads of refused messages only.
+        assert rows.filter("isValid <> (value IS NULL)").count() == 0 and rows.count() == 3
+        return insert_absent(own, table, arrivals, *rest)
+
+    monkeypatch.setattr(alert_store, "insert_absent", insert)
+    monkeypatch.setattr(handler_module, "scratch_dir", lambda *a: made.append(session.scratch_dir(*a)) or made[-1], raising=False)
+    send(topic(spark, [alert("a"), "junk", alert("b", "WARNING")]), tmp_path / "in")
+    handle_stream(file_stream(spark, str(tmp_path / "in")), handler(tmp_path, "cp"), "a@b.c", now(), bounded=True).awaitTermination()
+    assert cached == [held] and len(made) == 1 and not commits.exists(spark, made[0])
+    refused = read_table(spark, str(tmp_path / "quarantine"), BRONZE).collect()
+    assert [(r.value, r.topic, r.partition, r.offset, r.kafkaTimestamp) for r in refused] == [("junk", "ST", 0, 1, at(1))]
+    assert alert_store.alerts(spark, str(tmp_path / "history")).count() == 2
