@@ -7,7 +7,6 @@ import operator
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -15,6 +14,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from telemetry_lake.schemas import BRONZE
 from telemetry_lake.session import for_small_files
 from telemetry_lake.sources.lake import through_table
+from telemetry_lake.sources.object_list import follow, is_known, offset_of, opened, store_of
 
 PLACE = ["topic", "partition", "offset"]
 
@@ -35,12 +35,16 @@ def read_landed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _as_objects(files: DataFrame, topic: str | None) -> DataFrame:
-    name = F.col("_metadata.file_path")
+    offset = F.regexp_extract(F.col("_metadata.file_path"), r"offset(?:=|%3D)([0-9]+)", 1).try_cast("bigint")
+    return _records(files, offset, topic)
+
+
+def _records(files: DataFrame, offset: Column, topic: str | None) -> DataFrame:
     return files.select(
         F.col("content").cast("string").alias("value"),
         F.lit(topic).cast("string").alias("topic"),
         "partition",
-        F.regexp_extract(name, r"offset(?:=|%3D)([0-9]+)", 1).try_cast("bigint").alias("offset"),
+        offset.alias("offset"),
         F.lit(None).cast("timestamp").alias("kafkaTimestamp"),
     )
 
@@ -59,8 +63,16 @@ def read_objects(spark: SparkSession, path: str, topic: str | None = None) -> Da
 
 def object_stream(spark: SparkSession, path: str, max_files: int | None = None, topic: str | None = None) -> DataFrame:
     """The same layout as a stream, so that objects can be landed a batch at a time: the stream's own log
-    remembers which objects it has taken, and a batch opens the new ones only."""
-    reader = for_small_files(spark).readStream.schema(_OBJECT).format("binaryFile")
+    remembers what it has taken of the list of objects, and a batch opens the new ones only.
+
+    The list is made by tasks and lies beside the objects (see `object_list`). Where pyarrow does not know the
+    store, Spark's file source lists it, which keeps all names on the driver.
+    """
+    own = for_small_files(spark)
+    if is_known(path):
+        objects = opened(follow(own, path, max_files), path)
+        return _records(objects, offset_of(F.col("name")), topic)
+    reader = own.readStream.schema(_OBJECT).format("binaryFile")
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return _as_objects(reader.load(path), topic)
@@ -72,7 +84,7 @@ def write_objects(bronze: DataFrame, folder: str) -> int:
 
     `folder` is a path that all workers share, or a URI whose file system pyarrow knows (`s3://`, `gs://`, `hdfs://`).
     """
-    store, root = fs.FileSystem.from_uri(folder if ":" in folder.partition("/")[0] else f"file://{folder}")
+    store, root = store_of(folder)
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = set()

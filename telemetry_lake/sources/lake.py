@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from telemetry_lake.session import scratch_dir
+from telemetry_lake.sources.commits import remove
 
 
 def write_layer(data: DataFrame, path: str) -> None:
@@ -51,3 +55,18 @@ def through_table(spark: SparkSession, data: DataFrame, name: str) -> DataFrame:
     path = scratch_dir(spark, name)
     data.write.parquet(path)
     return spark.read.schema(data.schema).parquet(path)
+
+
+@contextmanager
+def held(rows: DataFrame, folder: str) -> Iterator[DataFrame]:
+    """The rows as a table in `folder`, which is there as long as the block lasts.
+
+    In place of a cache: cached rows that have to go to disk are written by Java's serializer, which holds on to
+    the last hundred of a task's batches, so a large micro-batch would not fit in an executor.
+    """
+    spark = rows.sparkSession
+    try:
+        rows.write.parquet(folder)
+        yield spark.read.schema(rows.schema).parquet(folder)
+    finally:
+        remove(spark, folder)

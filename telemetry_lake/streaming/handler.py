@@ -15,6 +15,7 @@ from telemetry_lake.operators.history import first_arrivals, stored_alerts
 from telemetry_lake.schemas import BRONZE, LEDGER
 from telemetry_lake.session import scratch_dir
 from telemetry_lake.sources import alert_store, commits, ledger_store
+from telemetry_lake.sources.lake import held
 from telemetry_lake.sources.tables import publish_batch, run_name
 
 # Parts of one size that are merged into one.
@@ -50,12 +51,7 @@ def handle_stream(
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        # A table, not a cache: batches of cached rows that have to go to disk are held by a hundred while they do.
-        folder = scratch_dir(spark, "decoded")
-        try:
-            made = only_refused_payloads(decode_alerts(batch))
-            made.write.parquet(folder)
-            decoded = spark.read.schema(made.schema).parquet(folder)
+        with held(only_refused_payloads(decode_alerts(batch)), scratch_dir(spark, "decoded")) as decoded:
             publish_batch(quarantined(decoded, BRONZE.names), paths.quarantine, run, batch_id)
             arrived = stored_alerts(accepted(decoded))
             stored = alert_store.insert_absent(spark, paths.history, first_arrivals(arrived), run, batch_id)
@@ -74,8 +70,6 @@ def handle_stream(
             publish_batch(notes.join(due.select("alertId", "revision"), "alertId"), paths.outbox, run, batch_id)
             alert_store.compact(spark, paths.history, FAN_IN)
             ledger_store.compact(spark, paths.ledger, FAN_IN)
-        finally:
-            commits.remove(spark, folder)
 
     writer = messages.writeStream.foreachBatch(step).option("checkpointLocation", paths.checkpoint)
     return (writer.trigger(availableNow=True) if bounded else writer).start()

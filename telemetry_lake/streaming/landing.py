@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from telemetry_lake.schemas import BRONZE
 from telemetry_lake.sources.bronze import to_bronze
+from telemetry_lake.sources.lake import held
 from telemetry_lake.sources.tables import publish_batch, read_before, run_name
 
 _PLACE = ["topic", "partition", "offset"]
@@ -38,12 +41,10 @@ def land(records: DataFrame, path: str, checkpoint: str, bounded: bool = False)
     run = run_name(checkpoint)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        rows = to_bronze(batch).persist()
-        try:
+        # Objects are opened and payloads cleaned once: the rows are read for their places, and to be landed.
+        with held(to_bronze(batch), f"{path}/_attempts/{uuid.uuid4().hex}") as rows:
             bronze = read_before(batch.sparkSession, path, BRONZE, run, batch_id)
             publish_batch(unlanded(rows, bronze), path, run, batch_id, "partition")
-        finally:
-            rows.unpersist()
 
     writer = records.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if bounded else writer).start()

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import json
+import os
+import time
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from telemetry_lake.operators.questions import QUESTIONS
@@ -11,6 +14,7 @@ from telemetry_lake.plans.analytics import answer_all
 from telemetry_lake.plans.datalake import build_layers, layer_counts
 from telemetry_lake.schemas import GOLD, SILVER
 from telemetry_lake.sources import bronze as bronze_module
+from telemetry_lake.sources import commits, object_list
 from telemetry_lake.sources.bronze import bound_of, first_records, object_stream, offset_gaps, read_bronze, read_objects, write_objects
 from telemetry_lake.sources.lake import read_layer, through_table, write_layer, write_statistics
 from telemetry_lake.streaming import landing
@@ -180,6 +184,121 @@ def test_objects_are_landed_a_batch_at_a_time(spark, tmp_path):
     assert whole.count() == 5 and whole.filter("value LIKE '%-%'").count() == 5
 
 
+def put_objects(folder, *places):
+    for partition, name, text in places:
+        at = folder / f"partition={partition}"
+        at.mkdir(parents=True, exist_ok=True)
+        (at / name).write_bytes(text if isinstance(text, bytes) else text.encode())
+
+
+def test_the_driver_follows_a_list_of_objects_not_each_of_them(spark, tmp_path, monkeypatch):
+    put_objects(tmp_path / "objects", *[(n % 3, f"offset={n}.json", f"v{n}") for n in range(300)])
+    cached, unlanded = [], landing.unlanded
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+
+    def rows_of(rows, old):
+        cached.append(spark.sparkContext._jsc.getPersistentRDDs().size() - held)
+        return unlanded(rows, old)
+
+    monkeypatch.setattr(landing, "unlanded", rows_of)
+    for _ in range(2):
+        records = object_stream(spark, str(tmp_path / "objects"), topic="ST")
+        land(records, str(tmp_path / "bronze"), str(tmp_path / "cp"), bounded=True).awaitTermination()
+    taken = [line for log in (tmp_path / "cp" / "sources" / "0").glob("[0-9]*") for line in log.read_text().splitlines()[1:]]
+    assert 1 <= len(taken) <= 4 and cached == [0]
+    assert places(read_bronze(spark, str(tmp_path / "bronze"))) == sorted((n % 3, n, f"v{n}") for n in range(300))
+    assert not list((tmp_path / "bronze" / "_attempts").iterdir())
+    # The list is not among the objects.
+    assert read_objects(spark, str(tmp_path / "objects")).count() == 300
+
+
+def test_objects_come_oldest_first_and_some_a_batch(spark, tmp_path):
+    taken = []
+
+    def run():
+        records = object_stream(spark, str(tmp_path / "objects"), 3)
+        step = lambda batch, number: taken.append([r.offset for r in batch.orderBy("offset").collect()])
+        query = records.writeStream.foreachBatch(step).option("checkpointLocation", str(tmp_path / "cp"))
+        query.trigger(availableNow=True).start().awaitTermination()
+
+    def put(times):
+        put_objects(tmp_path / "objects", *[(n % 2, f"offset={n}.json", "v") for n in times])
+        for n, time in times.items():
+            os.utime(tmp_path / "objects" / f"partition={n % 2}" / f"offset={n}.json", (time, time))
+
+    put({n: 1_000_000 - n for n in range(7)})
+    run()
+    assert taken == [[4, 5, 6], [1, 2, 3], [0]]
+    put({8: 5, 9: 4, 10: 3, 11: 2})
+    run()
+    assert taken[3:] == [[9, 10, 11], [8]]
+    run()
+    assert len(taken) == 5
+
+
+def test_streamed_objects_are_those_that_are_read(spark, tmp_path):
+    odd = [(0, "offset=007.json", "a"), (0, "offset=None.json", "b"), (1, "notes.txt", "c"), (1, "_no.json", "d"), (1, ".no.json", "e")]
+    odd += [(2, "offset=9.json", ""), (2, "offset=99999999999999999999.json", "f"), (2, "offset=3.json", b"\xff\n\xc3"), (2, "offset=4 %3D.json", "g")]
+    put_objects(tmp_path / "objects", *odd)
+    (tmp_path / "objects" / "partition=__HIVE_DEFAULT_PARTITION__").mkdir()
+    (tmp_path / "objects" / "partition=__HIVE_DEFAULT_PARTITION__" / "offset=5.json").write_text("h")
+    whole = read_objects(spark, str(tmp_path / "objects"), "ST")
+    seen = []
+    step = lambda batch, number: seen.extend(batch.withColumn("value", F.hex(F.encode("value", "utf-8"))).collect())
+    records = object_stream(spark, str(tmp_path / "objects"), topic="ST")
+    assert records.schema == whole.schema
+    records.writeStream.foreachBatch(step).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    expected = whole.withColumn("value", F.hex(F.encode("value", "utf-8"))).collect()
+    assert len(expected) == 7 and sorted(map(repr, seen)) == sorted(map(repr, expected))
+
+
+def test_two_that_list_at_once_name_an_object_once(spark, tmp_path, monkeypatch):
+    folder, listed, move = tmp_path / "objects", str(tmp_path / "objects" / "_listed" / "all"), object_list.move_if_absent
+    put_objects(folder, (0, "offset=1.json", "a"), (4, "offset=2.json", "b"))
+    others = []
+
+    def after_another(*args):
+        if not others:
+            others.append(1)
+            put_objects(folder, (0, "offset=3.json", "c"))
+            assert object_list.take_stock(spark, str(folder), listed, 10, False)
+        return move(*args)
+
+    monkeypatch.setattr(object_list, "move_if_absent", after_another)
+    assert not object_list.take_stock(spark, str(folder), listed, 10, False)
+    names = spark.read.schema(object_list.NAMES).parquet(listed)
+    assert sorted(r.name for r in names.collect()) == ["partition=0/offset=1.json", "partition=0/offset=3.json", "partition=4/offset=2.json"]
+    # One that has gone is left out, but not a folder that this worker does not have.
+    (folder / "partition=4" / "offset=2.json").unlink()
+    got = object_list.opened(names, str(folder))
+    assert sorted((r.partition, bytes(r.content)) for r in got.collect()) == [(0, b"a"), (0, b"c")]
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        object_list.opened(names, str(tmp_path / "elsewhere")).collect()
+
+
+def test_a_running_stream_finds_later_objects(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.noDataProgressEventInterval", "200ms")
+    try:
+        put_objects(tmp_path / "objects", (0, "offset=1.json", "a"))
+        records = object_stream(spark, str(tmp_path / "objects"), 5)
+        put_objects(tmp_path / "objects", (0, "offset=2.json", "b"))
+        query = land(records, str(tmp_path / "bronze"), str(tmp_path / "cp"))
+        try:
+            for offset in (3, 4):
+                until = time.time() + 60
+                while time.time() < until and len(list((tmp_path / "bronze").glob("run=*/batch=*"))) < offset - 2:
+                    time.sleep(0.2)
+                put_objects(tmp_path / "objects", (2, f"offset={offset}.json", f"{offset}"))
+            until = time.time() + 60
+            while time.time() < until and (not commits.exists(spark, str(tmp_path / "bronze")) or read_bronze(spark, str(tmp_path / "bronze")).count() < 4):
+                time.sleep(0.5)
+        finally:
+            query.stop()
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataProgressEventInterval")
+    assert places(read_bronze(spark, str(tmp_path / "bronze"))) == [(0, 1, "a"), (0, 2, "b"), (2, 3, "3"), (2, 4, "4")]
+
+
 def test_through_table_reads_a_scan(spark):
     table = through_table(spark, topic(spark, ["a", "b"]), "t")
     assert "FileScan parquet" in table._jdf.queryExecution().executedPlan().toString()
